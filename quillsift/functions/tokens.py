@@ -68,10 +68,11 @@ def bare_words(text: Column) -> Column:
     )
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Neighbouring tokens joined by a control character; empty when there are too few.
+def ngrams(tokens: Column, n: int, separator: str = _BREAK) -> Column:
+    """Neighbouring tokens joined by a separator; empty when there are too few.
 
     Strings rather than structs, because ``array_distinct`` on strings is many times faster.
+    ``tokens`` is used several times: pass a column, not an expression.
     """
     size = F.size(tokens)
     joined = tokens
@@ -80,17 +81,16 @@ def ngrams(tokens: Column, n: int) -> Column:
         joined = F.zip_with(
             F.slice(joined, F.lit(1), count),
             F.slice(tokens, F.lit(width), count),
-            lambda left, right: F.concat(left, F.lit(_BREAK), right),
+            lambda left, right: F.concat(left, F.lit(separator), right),
         )
     return joined
 
 
-def terms(text: Column, max_n: int = 2) -> Column:
-    """TF-IDF terms: words of two or more characters and their space-joined n-grams."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM_PATTERN), F.lit(0))
-    if max_n == 1:
-        return words
-    grams = [words] + [
-        F.transform(ngrams(words, n), lambda gram: F.translate(gram, _BREAK, " ")) for n in range(2, max_n + 1)
-    ]
-    return F.concat(*grams)
+def term_words(text: Column) -> Column:
+    """Words of two or more characters, the single-word terms of TF-IDF."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM_PATTERN), F.lit(0))
+
+
+def terms(words: Column, max_n: int = 2) -> Column:
+    """TF-IDF terms: the given words and their space-joined n-grams."""
+    return F.concat(words, *[ngrams(words, n, " ") for n in range(2, max_n + 1)])

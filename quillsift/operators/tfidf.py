@@ -13,7 +13,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quillsift.functions.tokens import terms
+from quillsift.functions.tokens import term_words, terms
 
 # Vocabulary limits.
 MAX_FEATURES, MIN_DF, MAX_DF, MAX_N = 1000, 2, 0.95, 2
@@ -27,8 +27,8 @@ def tfidf_vocabulary(df: DataFrame, text: str = "normalized_text", max_features:
     is marked. One shuffle by term, after partial sums, then yields both the number of
     occurrences and the number of documents.
     """
-    ordered = F.sort_array(terms(F.col(text), max_n))
-    marked = df.select(ordered.alias("_t")).select(
+    words = df.select(term_words(F.col(text)).alias("_words"))
+    marked = words.select(F.sort_array(terms(F.col("_words"), max_n)).alias("_t")).select(
         F.explode(
             F.zip_with(
                 "_t",
@@ -59,7 +59,8 @@ def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str = "normalized_
     names = [row["term"] for row in rows]
     idf = F.array(*[F.lit(math.log((1 + row["n_docs"]) / (1 + row["df"])) + 1) for row in rows])
     counter = CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="_counts")
-    counted = counter.transform(df.withColumn("_terms", terms(F.col(text), max_n)))
+    words = df.withColumn("_words", term_words(F.col(text)))
+    counted = counter.transform(words.withColumn("_terms", terms(F.col("_words"), max_n)))
     weights = F.zip_with(
         vector_to_array("_counts"), idf,
         lambda count, factor: F.when(count > 0, (F.lit(1.0) + F.ln(count)) * factor).otherwise(F.lit(0.0)),
@@ -68,7 +69,7 @@ def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str = "normalized_
     # The assembler stores a mostly-zero vector sparsely; the normaliser keeps it so.
     sparse = VectorAssembler(inputCols=["_weights"], outputCol="_sparse").transform(weighted)
     unit = Normalizer(p=2.0, inputCol="_sparse", outputCol=output).transform(sparse)
-    return unit.drop("_terms", "_counts", "_weights", "_sparse"), names
+    return unit.drop("_words", "_terms", "_counts", "_weights", "_sparse"), names
 
 
 def tfidf_weights(vectors: DataFrame, names: list[str], id_column: str = "text_id",
@@ -87,20 +88,21 @@ def svd_reduce(vectors: DataFrame, n_components: int = N_COMPONENTS, column: str
                output: str = "svd") -> tuple[DataFrame, np.ndarray]:
     """Adds U*S of the uncentred truncated SVD as an array; returns V (columns are components).
 
-    The decomposition runs on the columns' Gram matrix, summed over executors in a tree: its
-    size depends on the vocabulary only. Signs are fixed so that each component's largest
-    loading is positive. The projection is one matrix product per Arrow batch.
+    One pass sums the columns' Gram matrix over executors in a tree. Its size depends on the
+    vocabulary only (8 MB for 1000 terms), so its eigenvectors are found on the driver; Spark's
+    own SVD would pass over the rows hundreds of times at this width. Signs are fixed so that
+    each component's largest loading is positive. The projection is one matrix product per
+    Arrow batch. ``vectors`` is read twice: stage it first.
     """
-    old = MLUtils.convertVectorColumnsFromML(vectors.select(column), column)
-    matrix = RowMatrix(old)
-    k = min(n_components, matrix.numCols())
-    basis = matrix.computeSVD(k, computeU=False).V.toArray()
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(column), column))
+    _, eigenvectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
+    basis = eigenvectors[:, ::-1][:, :n_components]
     peaks = basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])]
-    basis = basis * np.where(peaks < 0, -1.0, 1.0)
+    basis = np.ascontiguousarray(basis * np.where(peaks < 0, -1.0, 1.0))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(rows: pd.Series) -> pd.Series:
-        return pd.Series(list(np.vstack(rows.to_numpy()) @ basis))
+    def project(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(np.vstack(batch.to_numpy()) @ basis)) if len(batch) else batch
 
     return vectors.withColumn(output, project(vector_to_array(column))), basis
 

@@ -12,6 +12,7 @@ from quillsift.plans.catalog.registry import query
 from quillsift.schemas import (
     ALL_FEATURES, LINGUISTIC_FEATURES, PERPLEXITY_FEATURES, READABILITY_FEATURES, STATISTICAL_FEATURES,
 )
+from quillsift.session import materialise
 
 
 def _readability(df):
@@ -97,8 +98,6 @@ moments AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long GR
 SELECT id AS text_id, feature, round(CASE WHEN s > 0 THEN (value - m) / s ELSE 0 END::DOUBLE, 6) AS value
 FROM long JOIN moments USING (feature)""")
 def standard_scale(spark, sf_dir):
-    from quillsift.session import materialise
-
     rows = materialise(per_doc.statistical_features(bind.prepared_turns(spark, sf_dir)).select("text_id", *STATISTICAL_FEATURES))
     scaled = matrix.standard_scaler(rows, STATISTICAL_FEATURES).transform(rows)
     return scaled.unpivot(["text_id"], STATISTICAL_FEATURES, "feature", "value")
@@ -125,8 +124,6 @@ def tfidf_vocabulary(spark, sf_dir):
 
 
 def _tfidf(spark, sf_dir):
-    from quillsift.session import materialise
-
     texts = materialise(bind.prepared_documents(spark, sf_dir).select("doc_id", "normalized_text"))
     return tfidf.tfidf_vectors(texts, tfidf.tfidf_vocabulary(texts))
 
@@ -141,14 +138,17 @@ def tfidf_weights(spark, sf_dir):
     return tfidf.tfidf_weights(*_tfidf(spark, sf_dir), "doc_id")
 
 
+def _reduced(spark, sf_dir):
+    vectors, _ = _tfidf(spark, sf_dir)
+    return tfidf.svd_reduce(materialise(vectors.select("doc_id", "tfidf")))
+
+
 @query("svd_reduce")
 def svd_reduce(spark, sf_dir):
-    vectors, _ = _tfidf(spark, sf_dir)
-    reduced, _ = tfidf.svd_reduce(vectors.select("doc_id", "tfidf"))
+    reduced, _ = _reduced(spark, sf_dir)
     return reduced.select("doc_id", F.posexplode("svd").alias("component", "value"))
 
 
 @query("svd_explained_variance")
 def svd_explained_variance(spark, sf_dir):
-    vectors, _ = _tfidf(spark, sf_dir)
-    return tfidf.svd_explained_variance(tfidf.svd_reduce(vectors.select("doc_id", "tfidf"))[0])
+    return tfidf.svd_explained_variance(_reduced(spark, sf_dir)[0])

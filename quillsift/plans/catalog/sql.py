@@ -197,7 +197,7 @@ PERPLEXITY_BODY = """
 freq AS (SELECT id, token, count(*) AS c FROM toks GROUP BY id, token),
 sizes AS (SELECT id, sum(c) AS n, count(*) AS uniq FROM freq GROUP BY id),
 ent AS (
-  SELECT freq.id, -sum(c / n * log2(c / n)) AS entropy, any_value(uniq / n) AS ratio
+  SELECT freq.id, sum(c / n * log2(n / c)) AS entropy, any_value(uniq / n) AS ratio
   FROM freq JOIN sizes ON freq.id = sizes.id GROUP BY freq.id
 ),
 perp AS (
