@@ -18,14 +18,15 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomFore
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.operators.evaluation import classification_metrics
 from quillsift.operators.matrix import absolute_values, standard_scaler
 
 # Training defaults.
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-4
 ELASTIC_NET = {"l1": 1.0, "l2": 0.0, "elasticnet": 0.5}
 N_TREES = 100
 GRID_C = [0.01, 0.1, 1.0, 10.0, 100.0]
@@ -45,12 +46,14 @@ def _lr(penalty: str, c: float, n_train: int, max_iter: int) -> LogisticRegressi
     """C weighs the data against the penalty; Spark averages the loss, so divide by the rows."""
     return LogisticRegression(
         labelCol="label", featuresCol="features", regParam=1.0 / (c * n_train),
-        elasticNetParam=ELASTIC_NET[penalty], maxIter=max_iter, standardization=False,
+        elasticNetParam=ELASTIC_NET[penalty], maxIter=max_iter, tol=TOLERANCE, standardization=False,
     )
 
 
 def train_lr(train: DataFrame, columns: Sequence[str], penalty: str = "l2", c: float = 1.0,
-             scale: bool = False, max_iter: int = MAX_ITERATIONS) -> PipelineModel:
+             scale: bool = True, max_iter: int = MAX_ITERATIONS) -> PipelineModel:
+    """Scaled features converge in some tens of passes over the table; unscaled ones, whose
+    ranges differ by orders of magnitude, can take all ``max_iter``."""
     steps = [standard_scaler(train, columns)] if scale else []
     return Pipeline(stages=[*steps, _assembler(columns), _lr(penalty, c, train.count(), max_iter)]).fit(train)
 
@@ -74,41 +77,29 @@ def train_rf(train: DataFrame, columns: Sequence[str], n_trees: int = N_TREES, m
 
 
 def tune_lr(train: DataFrame, columns: Sequence[str], fold: str = "fold", grid_c: Sequence[float] = GRID_C,
-            penalties: Sequence[str] = GRID_PENALTIES, max_iter: int = MAX_ITERATIONS,
-            parallelism: int = 4) -> CrossValidatorModel:
+            penalties: Sequence[str] = GRID_PENALTIES, scale: bool = True, max_iter: int = MAX_ITERATIONS,
+            parallelism: int = 8) -> tuple[PipelineModel, DataFrame]:
     """Grid search by F1 of class 1 over the given folds, then a fit on all rows.
 
-    Folds train on n(k-1)/k rows, and the penalty is set for that size.
+    Returns the best model and the grid as (c, penalty, f1). Folds train on n(k-1)/k rows, and
+    the penalty is set for that size.
     """
     size = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(fold).alias("k")).first()
     n_fit = size["n"] * (size["k"] - 1) / size["k"]
-    model = LogisticRegression(maxIter=max_iter, standardization=False)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(model.regParam, [1.0 / (c * n_fit) for c in grid_c])
-        .addGrid(model.elasticNetParam, [ELASTIC_NET[penalty] for penalty in penalties])
-        .build()
-    )
+    steps = [*([standard_scaler(train, columns)] if scale else []), _assembler(columns)]
+    prepared = PipelineModel(stages=steps).transform(train)
+    model = LogisticRegression(maxIter=max_iter, tol=TOLERANCE, standardization=False)
+    points = [(c, penalty) for c in grid_c for penalty in penalties]
+    grid = [
+        {model.regParam: 1.0 / (c * n_fit), model.elasticNetParam: ELASTIC_NET[penalty]} for c, penalty in points
+    ]
     search = CrossValidator(
         estimator=model, estimatorParamMaps=grid, foldCol=fold, numFolds=size["k"], parallelism=parallelism,
         evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0),
-    )
-    return search.fit(_assembler(columns).transform(train).select("features", F.col("label").cast("double"), fold))
-
-
-def tuning_grid(model: CrossValidatorModel) -> DataFrame:
-    """(c, penalty, f1) averages of a grid search, best first."""
-    from pyspark.sql import SparkSession
-
-    names = {value: name for name, value in ELASTIC_NET.items()}
-    rows = []
-    for params, score in zip(model.getEstimatorParamMaps(), model.avgMetrics):
-        by_name = {param.name: value for param, value in params.items()}
-        rows.append((float(by_name["regParam"]), names[by_name["elasticNetParam"]], float(score)))
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows, "reg_param double, penalty string, f1 double").orderBy(
-        F.desc("f1"), "reg_param", "penalty"
-    )
+    ).fit(prepared.select("features", F.col("label").cast("double"), fold))
+    rows = [(float(c), penalty, float(f1)) for (c, penalty), f1 in zip(points, search.avgMetrics)]
+    results = train.sparkSession.createDataFrame(rows, "c double, penalty string, f1 double")
+    return PipelineModel(stages=[*steps, search.bestModel]), results
 
 
 def predict(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
@@ -178,8 +169,6 @@ def model_suite(train: DataFrame, test: DataFrame, columns: Sequence[str],
 
 
 def _per_feature(columns: Sequence[str], values: Sequence[float], name: str) -> DataFrame:
-    from pyspark.sql import SparkSession
-
     rows = [(feature, float(value)) for feature, value in zip(columns, values)]
     return SparkSession.active().createDataFrame(rows, f"feature string, {name} double")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 # Rank error of the sketch is 1/ACCURACY of the rows; the bracket is several times wider.
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
+# Groups up to this size are bracketed whole; above it the margin is at least four rows wide.
+SMALL_GROUP = ACCURACY
 
 
 def long_form(df: DataFrame, columns: Sequence[str], *keys: str) -> DataFrame:
@@ -35,12 +37,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         F.max("value").alias("_max"),
         F.percentile_approx("value", bounds, ACCURACY).alias("_bounds"),
     )
+    small = F.col("_n") <= SMALL_GROUP
     brackets = F.array(*[
         F.struct(
             F.lit(float(p)).alias("probability"),
             (F.lit(float(p)) * (F.col("_n") - 1)).alias("_rank"),
-            (F.col("_min") if bounds[2 * i] == 0.0 else F.col("_bounds")[2 * i]).alias("_low"),
-            (F.col("_max") if bounds[2 * i + 1] == 1.0 else F.col("_bounds")[2 * i + 1]).alias("_high"),
+            F.when(small | F.lit(bounds[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_bounds")[2 * i]).alias("_low"),
+            F.when(small | F.lit(bounds[2 * i + 1] == 1.0), F.col("_max"))
+            .otherwise(F.col("_bounds")[2 * i + 1]).alias("_high"),
         )
         for i, p in enumerate(probabilities)
     ])

@@ -1,0 +1,120 @@
+"""Training, tuning, cross-validation and the two closing reports, on conversation turns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillsift.operators import evaluation as ev, models, splits
+from quillsift.plans.catalog import bindings as bind, sql
+from quillsift.plans.catalog.registry import query
+from quillsift.plans.detection import detection_report, run_detection
+from quillsift.plans.stability import run_stability
+from quillsift.schemas import ALL_FEATURES, PERPLEXITY_FEATURES
+from quillsift.session import materialise
+
+
+def _split(spark, sf_dir):
+    rows = materialise(splits.stratified_split(bind.turn_features(spark, sf_dir)))
+    return rows.filter(~F.col("is_test")), rows.filter("is_test")
+
+
+def _folded(spark, sf_dir):
+    return materialise(splits.stratified_folds(bind.turn_features(spark, sf_dir)))
+
+
+def _tested(spark, sf_dir, trainer):
+    """Test metrics of one model."""
+    train, test = _split(spark, sf_dir)
+    scored = models.predict(trainer(train, ALL_FEATURES), test)
+    return ev.classification_metrics(scored)
+
+
+@query("train_lr")
+def train_lr(spark, sf_dir):
+    return _tested(spark, sf_dir, models.train_lr)
+
+
+@query("train_nb_gaussian", f"""{sql.prepared(sql.TURNS)},{sql.PERPLEXITY},
+long AS (
+  UNPIVOT (SELECT label, {', '.join(PERPLEXITY_FEATURES)} FROM perp JOIN src USING (id))
+  ON {', '.join(PERPLEXITY_FEATURES)} INTO NAME feature VALUE value
+)
+SELECT label, feature, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance FROM long GROUP BY label, feature""")
+def train_nb_gaussian(spark, sf_dir):
+    """The fitted class means and variances."""
+    from quillsift.functions.features import perplexity_features
+
+    rows = perplexity_features(bind.prepared_turns(spark, sf_dir)).select("text_id", "label", *PERPLEXITY_FEATURES)
+    model = models.train_nb(rows, PERPLEXITY_FEATURES).stages[-1]
+    cells = [
+        (label, feature, float(model.theta[label, i]), float(model.sigma[label, i]))
+        for label in range(model.numClasses) for i, feature in enumerate(PERPLEXITY_FEATURES)
+    ]
+    return spark.createDataFrame(cells, "label int, feature string, mean double, variance double")
+
+
+@query("train_nb_multinomial")
+def train_nb_multinomial(spark, sf_dir):
+    return _tested(spark, sf_dir, lambda train, columns: models.train_nb(train, columns, "multinomial"))
+
+
+@query("train_rf")
+def train_rf(spark, sf_dir):
+    return _tested(spark, sf_dir, models.train_rf)
+
+
+@query("tune_lr")
+def tune_lr(spark, sf_dir):
+    return models.tune_lr(_folded(spark, sf_dir), ALL_FEATURES)[1]
+
+
+@query("cross_validate")
+def cross_validate(spark, sf_dir):
+    return models.cross_validate(_folded(spark, sf_dir), ALL_FEATURES, models.train_nb, model="Naive Bayes")
+
+
+@query("model_suite")
+def model_suite(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    _, scored = models.model_suite(train, test, ALL_FEATURES)
+    return ev.model_comparison(ev.model_metrics(materialise(scored)))
+
+
+@query("seed_suite")
+def seed_suite(spark, sf_dir):
+    seeded = materialise(splits.multi_seed_split(bind.turn_features(spark, sf_dir)))
+    return models.seed_suite(seeded, ALL_FEATURES, splits.STABILITY_SEEDS, models.train_lr)
+
+
+@query("predict")
+def predict(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return models.predict(models.train_nb(train, ALL_FEATURES), test, "text_id")
+
+
+@query("lr_abs_importance")
+def lr_abs_importance(spark, sf_dir):
+    rows = bind.turn_features(spark, sf_dir)
+    return ev.topn_importance(models.lr_abs_importance(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 10)
+
+
+@query("lr_signed_importance")
+def lr_signed_importance(spark, sf_dir):
+    rows = bind.turn_features(spark, sf_dir)
+    return ev.topn_signed(models.lr_coefficients(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 10)
+
+
+@query("rf_importance")
+def rf_importance(spark, sf_dir):
+    rows = bind.turn_features(spark, sf_dir)
+    return ev.topn_importance(models.rf_importance(models.train_rf(rows, ALL_FEATURES), ALL_FEATURES), 20)
+
+
+@query("detection_report")
+def detection(spark, sf_dir):
+    return detection_report(run_detection(bind.turn_features(spark, sf_dir)))
+
+
+@query("stability_report")
+def stability(spark, sf_dir):
+    return run_stability(bind.turn_features(spark, sf_dir), bind.attempts(spark, sf_dir))
