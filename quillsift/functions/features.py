@@ -102,6 +102,13 @@ def statistical_features(
     }).drop("_distinct")
 
 
+def _is_listed(name: str, words: Sequence[str]) -> str:
+    """A membership test as SQL text: thousands of words reach the JVM in one call."""
+    escaped = (word.replace("\\", "\\\\").replace("'", "\\'") for word in words)
+    listed = ", ".join(f"'{word}'" for word in escaped)
+    return f"{name} IN ({listed})" if listed else "false"
+
+
 def readability_counts(df: DataFrame, text: str, easy_words: Sequence[str] | None) -> DataFrame:
     """Adds ``_words``, ``_letters``, ``_syllables``, ``_poly`` and ``_hard`` for the formulas.
 
@@ -113,7 +120,7 @@ def readability_counts(df: DataFrame, text: str, easy_words: Sequence[str] | Non
     if easy_words is None:
         hard = F.lit(0)
     else:
-        hard = F.size(F.filter("_bare", lambda word: ~word.isin(list(easy_words))))
+        hard = F.expr(f"size(filter(_bare, word -> NOT {_is_listed('word', easy_words)}))")
     return df.withColumns({
         "_words": F.size("_bare"),
         "_letters": F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))),
@@ -174,7 +181,9 @@ def tag_ratios(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     def share(group: Sequence[str]) -> Column:
         return _ratio(F.size(F.filter("_tags", lambda tag: tag.isin(*group))), F.size("_tags"))
 
-    df = df.withColumn("_tags", F.transform(tokens, lexicon.pos_tag))
+    df = df.withColumn("_tags", F.expr(
+        f"transform(transform({tokens}, token -> lower(token)), token -> {lexicon.pos_tag('token')})"
+    ))
     return df.withColumns({name: share(group) for name, group in TAG_RATIOS.items()}).drop("_tags")
 
 

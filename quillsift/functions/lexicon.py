@@ -6,8 +6,6 @@ use the same tag names, so the ratios mean the same thing, but single values dif
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 # Closed-class English words by Penn Treebank tag.
 CLOSED_CLASS = {
     "PRP": "i you he she it we they me him us them myself yourself himself herself itself "
@@ -42,22 +40,24 @@ PRONOUN_TAGS = ("PRP", "PRP$", "WP", "WP$")
 SUFFIX_TAGS = [
     ("ly", "RB"), ("ing", "VBG"), ("ed", "VBD"), ("ous", "JJ"), ("ful", "JJ"), ("ive", "JJ"), ("s", "NNS"),
 ]
-PUNCTUATION_PATTERN = r"^[.,!?;:'-]+$"
+WORD_START = r"^[\p{L}\p{M}_]"
+NUMBER_START = r"^\p{N}"
 
 CLOSED_CLASS_WORDS = sorted({word for words in CLOSED_CLASS.values() for word in words})
 DEFAULT_STOP_WORDS = CLOSED_CLASS_WORDS
 
 
-def pos_tag(token: Column) -> Column:
-    """Tag one token; punctuation is tagged as itself."""
-    word = F.lower(token)
-    closed = F
-    for tag, words in CLOSED_CLASS.items():
-        closed = closed.when(word.isin(words), F.lit(tag))
+def _listed(words: list[str] | tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{word}'" for word in words) + ")"
+
+
+def pos_tag(token: str) -> str:
+    """SQL text that tags the lower-case token named ``token``; punctuation is tagged as itself."""
+    closed = " ".join(f"WHEN {token} IN {_listed(words)} THEN '{tag}'" for tag, words in CLOSED_CLASS.items())
+    suffixes = " ".join(f"WHEN endswith({token}, '{end}') THEN '{tag}'" for end, tag in SUFFIX_TAGS)
     # One hashed look-up settles most tokens before the per-tag lists are tried.
-    tagged = F.when(word.isin(CLOSED_CLASS_WORDS), closed)
-    tagged = tagged.when(word.rlike(PUNCTUATION_PATTERN), word)
-    tagged = tagged.when(word.rlike(r"^\p{N}"), F.lit("CD"))
-    for suffix, tag in SUFFIX_TAGS:
-        tagged = tagged.when(word.endswith(suffix), F.lit(tag))
-    return tagged.otherwise(F.lit("NN"))
+    return (
+        f"CASE WHEN {token} IN {_listed(CLOSED_CLASS_WORDS)} THEN CASE {closed} END "
+        f"WHEN rlike({token}, r'{WORD_START}') THEN CASE {suffixes} ELSE 'NN' END "
+        f"WHEN rlike({token}, r'{NUMBER_START}') THEN 'CD' ELSE {token} END"
+    )

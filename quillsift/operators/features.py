@@ -54,11 +54,12 @@ def pos_lookup(tokens: DataFrame, tag_lexicon: DataFrame | None = None) -> DataF
     Spark broadcasts the lexicon when it is small. When it is not, the hottest tokens land on
     few join keys: adaptive skew handling splits those, since the lexicon has one row per token.
     """
-    ruled = lexicon.pos_tag(F.col("token"))
+    lowered = tokens.withColumn("_low", F.lower("token"))
+    ruled = F.expr(lexicon.pos_tag("_low"))
     if tag_lexicon is None:
-        return tokens.withColumn("tag", ruled)
+        return lowered.withColumn("tag", ruled).drop("_low")
     listed = tag_lexicon.groupBy("token").agg(F.min("tag").alias("_listed"))
-    return tokens.join(listed, "token", "left").withColumn("tag", F.coalesce("_listed", ruled)).drop("_listed")
+    return lowered.join(listed, "token", "left").withColumn("tag", F.coalesce("_listed", ruled)).drop("_listed", "_low")
 
 
 def pos_ratios(tagged: DataFrame, *keys: str) -> DataFrame:

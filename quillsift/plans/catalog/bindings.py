@@ -8,6 +8,7 @@ from quillsift.operators.dataset import tag_corpus, union_corpora
 from quillsift.operators.preprocess import preprocess_dataset
 from quillsift.operators.splits import stratified_folds
 from quillsift.plans.detection import feature_table
+from quillsift.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,16 +46,16 @@ def labelled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preprocess_dataset(documents(spark, sf_dir))
+    return preprocess_dataset(spread(documents(spark, sf_dir)))
 
 
 def prepared_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preprocess_dataset(labelled_turns(spark, sf_dir))
+    return preprocess_dataset(spread(labelled_turns(spark, sf_dir)))
 
 
 def turn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(text_id, label, 29 features), staged for training."""
-    return feature_table(labelled_turns(spark, sf_dir), "text_id", "label")
+    return feature_table(spread(labelled_turns(spark, sf_dir)), "text_id", "label")
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,10 +90,10 @@ tok AS (SELECT *, {tokens('normalized_text')} AS tokens, {sentences('normalized_
 
 def pos_case(token: str) -> str:
     branches = [f"WHEN {token} IN {words(listed)} THEN {quote(tag)}" for tag, listed in lexicon.CLOSED_CLASS.items()]
-    branches.append(f"WHEN regexp_matches({token}, {quote(lexicon.PUNCTUATION_PATTERN)}) THEN {token}")
-    branches.append(rf"WHEN regexp_matches({token}, '^\p{{N}}') THEN 'CD'")
-    branches += [f"WHEN suffix({token}, {quote(end)}) THEN {quote(tag)}" for end, tag in lexicon.SUFFIX_TAGS]
-    return f"CASE {' '.join(branches)} ELSE 'NN' END"
+    suffixes = " ".join(f"WHEN suffix({token}, {quote(end)}) THEN {quote(tag)}" for end, tag in lexicon.SUFFIX_TAGS)
+    branches.append(f"WHEN regexp_matches({token}, {quote(lexicon.WORD_START)}) THEN CASE {suffixes} ELSE 'NN' END")
+    branches.append(f"WHEN regexp_matches({token}, {quote(lexicon.NUMBER_START)}) THEN 'CD'")
+    return f"CASE {' '.join(branches)} ELSE {token} END"
 
 
 def count_of(text: str, mark: str) -> str:

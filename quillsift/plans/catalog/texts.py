@@ -343,10 +343,14 @@ def label_bind(spark, sf_dir):
 
 
 @query("stopword_filter", f"""{sql.prepared(sql.DOCS)}, {sql.TOKEN_ROWS}
-SELECT id AS doc_id, (pos - 1)::BIGINT AS pos, token FROM toks WHERE lower(token) NOT IN {sql.words(DEFAULT_STOP_WORDS)}""")
+SELECT id AS doc_id, count(*) AS kept, sum(pos - 1)::BIGINT AS positions, sum(length(token))::BIGINT AS chars
+FROM toks WHERE lower(token) NOT IN {sql.words(DEFAULT_STOP_WORDS)} GROUP BY id""")
 def stopword_filter(spark, sf_dir):
     stop = spark.createDataFrame([(word,) for word in DEFAULT_STOP_WORDS], "word string")
-    return token_ops.stop_word_filter(token_table(bind.prepared_documents(spark, sf_dir), "doc_id"), stop)
+    kept = token_ops.stop_word_filter(token_table(bind.prepared_documents(spark, sf_dir), "doc_id"), stop)
+    return kept.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("positions"), F.sum(F.length("token")).alias("chars")
+    )
 
 
 @query("easy_word_antijoin", f"""{sql.prepared(sql.DOCS)}, {sql.WORD_ROWS},

@@ -58,3 +58,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage; what follows reads it instead of recomputing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a freshly read small table out to all cores.
+
+    Text work is bound by CPU, and a file of few splits would keep it on as many cores. A large
+    table has more splits than the cluster has cores: it is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
