@@ -112,8 +112,9 @@ def predict(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
 
 def _in_parallel(jobs: Sequence[Callable], threads: int) -> list:
     """Submit Spark jobs from several driver threads; each keeps the caller's job settings."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(threads, len(jobs))) as pool:
-        return pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs])
+        return pool.map(lambda job: job(), [inherit(job) for job in jobs])
 
 
 def cross_val_predict(df: DataFrame, columns: Sequence[str], trainer: Trainer, folds: Sequence[int] = range(FOLDS),
