@@ -65,7 +65,7 @@ def train_rf(spark, sf_dir):
 
 @query("tune_lr")
 def tune_lr(spark, sf_dir):
-    return models.tune_lr(_folded(spark, sf_dir), ALL_FEATURES)[1]
+    return models.tune_lr(_folded(spark, sf_dir), ALL_FEATURES, max_iter=100)[1]
 
 
 @query("cross_validate")
