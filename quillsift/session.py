@@ -55,9 +55,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage; what follows reads it instead of recomputing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into a table in the shared folder; what follows reads that.
+
+    Like a checkpoint it cuts the lineage and survives lost executors. Unlike one it is columnar,
+    so a later pass that needs an id and a label does not read the texts again.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -100,7 +100,17 @@ def test_text_ids_grow_and_are_kept(spark):
     assert ordering.assign_text_id(df.withColumn("text_id", F.lit("x")), ["n"]).first().text_id == "x"
 
 
-def test_split_moves_no_rows(table):
-    """Only small tables are exchanged: the flagged rows come straight from the scan side of a broadcast join."""
-    plan = splits.stratified_split(table, "id")._jdf.queryExecution().executedPlan().toString()
-    assert plan.lstrip().startswith("AdaptiveSparkPlan") and "SortMergeJoin [label" not in plan.split("BroadcastExchange")[0]
+def test_small_group_limits_are_pruned_before_the_shuffle(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source")
+    plan = ordering.first_n_per_group(df, ["source"], ["doc_id"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_split_passes_read_only_what_they_need(spark):
+    """The wide rows meet only broadcast sides; the counting passes read id and label."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = splits.stratified_split(df, "doc_id", "lang")._jdf.queryExecution().executedPlan().toString()
+    reads = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line]
+    assert sum("text:string" in read for read in reads) == 1
+    wide = [line for line in plan.splitlines() if "text#" in line and "Exchange" in line]
+    assert wide == []
