@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.operators.evaluation import classification_metrics
 from quillsift.operators.matrix import absolute_values, standard_scaler
+from quillsift.operators.ordering import class_targets, hash_limits, within_limits
+from quillsift.session import materialise
 
 # Training defaults.
 MAX_ITERATIONS = 1000
@@ -139,12 +141,20 @@ def cross_validate(df: DataFrame, columns: Sequence[str], trainer: Trainer, fold
     )
 
 
-def seed_suite(splits: DataFrame, columns: Sequence[str], seeds: Sequence[int], trainer: Trainer,
-               parallelism: int = 4) -> DataFrame:
-    """(seed, accuracy) of one fit per seed on a ``multi_seed_split`` table."""
+def seed_suite(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], trainer: Trainer,
+               id_column: str = "text_id", test_size: float = 0.2, parallelism: int = 4) -> DataFrame:
+    """(seed, accuracy) of one stratified split and fit per seed.
+
+    The splits are those of ``multi_seed_split``, but the feature rows are not multiplied: only
+    ids and labels are expanded to find the limits of all splits, a row per seed and class.
+    """
+    strata = ["seed", "label"]
+    seeded = df.select(id_column, "label").withColumn("seed", F.explode(F.array(*[F.lit(seed) for seed in seeds])))
+    limits = materialise(hash_limits(seeded, strata, id_column, class_targets(test_size), F.col("seed")))
+
     def one(seed: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            rows = splits.filter(F.col("seed") == seed)
+            rows = within_limits(df.withColumn("seed", F.lit(seed)), limits, strata, id_column, seed, "is_test")
             return predict(trainer(rows.filter(~F.col("is_test")), columns), rows.filter("is_test"), "seed")
         return run
 

@@ -71,50 +71,59 @@ def class_targets(share: float) -> Column:
     return F.round(F.lit(share) * F.col("_stratum_rows")).cast("long")
 
 
-def flag_first(df: DataFrame, strata: Sequence[str], id_column: str, target: Column,
-               seed: int | Column = 42, output: str = "chosen") -> DataFrame:
-    """Marks the first ``target`` rows of each stratum in hash order, moving no data rows.
+def hash_limits(df: DataFrame, strata: Sequence[str], id_column: str, target: Column,
+                seed: int | Column = 42) -> DataFrame:
+    """Where the first ``target`` rows of each stratum in hash order end: one row per stratum.
 
     ``target`` may use ``_stratum_rows`` (rows in the stratum) and ``_smallest`` (rows in the
     smallest stratum). One small aggregate finds the bucket in which the cut falls; only that
-    bucket, a 4096th of the stratum, is sorted to find the exact cut. The result is one row per
-    stratum, and every data row is then compared with it where it is.
-
-    Strata are class labels (times seeds): a handful, so one row for each can be broadcast.
-    ``df`` is read three times. Stage it first when it is expensive.
+    bucket, a 4096th of the stratum, is sorted to find the exact cut. Reads strata and id only.
     """
-    hashed = _with_hash(df, id_column, seed)
-    offsets = _bucket_offsets(hashed.select(*strata, "_bucket"), strata)
+    hashed = _with_hash(df.select(*strata, id_column), id_column, seed)
+    offsets = _bucket_offsets(hashed, strata)
     offsets = offsets.withColumn("_smallest", F.min("_stratum_rows").over(Window.partitionBy(F.lit(0))))
-    cut_bucket = (
-        offsets.withColumn("_target", target)
-        .filter((F.col("_target") > F.col("_before")) & (F.col("_target") <= F.col("_before") + F.col("_rows")))
-        .select(*strata, "_bucket", (F.col("_target") - F.col("_before")).alias("_need"))
-    )
-    # A target of the whole stratum or more needs no cut; zero or less takes nothing.
-    whole = (
-        offsets.withColumn("_target", target).groupBy(*strata)
-        .agg(F.max(F.col("_target") > F.col("_stratum_rows")).alias("_whole"))
-    )
+    offsets = offsets.withColumn("_target", target)
+    cut_bucket = offsets.filter(
+        (F.col("_target") > F.col("_before")) & (F.col("_target") <= F.col("_before") + F.col("_rows"))
+    ).select(*strata, "_bucket", (F.col("_target") - F.col("_before")).alias("_need"))
+    # A target beyond the whole stratum needs no cut; zero or less takes nothing.
+    whole = offsets.groupBy(*strata).agg(F.max(F.col("_target") > F.col("_stratum_rows")).alias("_whole"))
     in_bucket = Window.partitionBy(*strata, "_bucket").orderBy("_h", id_column)
     cut = (
-        hashed.select(*strata, "_bucket", "_h", id_column)
-        .join(F.broadcast(cut_bucket), [*strata, "_bucket"])  # one row per stratum
+        hashed.join(F.broadcast(cut_bucket), [*strata, "_bucket"])  # one row per stratum
         .withColumn("_n", F.row_number().over(in_bucket))
         .filter(F.col("_n") == F.col("_need"))
         .select(*strata, F.col("_h").alias("_cut_h"), F.col(id_column).alias("_cut_id"))
     )
-    limits = F.broadcast(whole.join(cut, list(strata), "left"))  # one row per stratum
-    upto_cut = (F.col("_h") < F.col("_cut_h")) | (
-        (F.col("_h") == F.col("_cut_h")) & (F.col(id_column) <= F.col("_cut_id"))
-    )
+    return whole.join(cut, list(strata), "left")
+
+
+def within_limits(df: DataFrame, limits: DataFrame, strata: Sequence[str], id_column: str,
+                  seed: int | Column = 42, output: str = "chosen") -> DataFrame:
+    """Marks the rows up to the limits of ``hash_limits``, each row where it lies.
+
+    Strata are class labels (times seeds): a handful, so one row for each can be broadcast.
+    """
+    h = hash_order(id_column, seed)
+    upto_cut = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(id_column) <= F.col("_cut_id")))
     return (
-        hashed.join(limits, list(strata))
+        df.join(F.broadcast(limits), list(strata))
         .withColumn(output, F.col("_whole") | F.coalesce(upto_cut, F.lit(False)))
         .select(*df.columns, output)
     )
 
 
+def flag_first(df: DataFrame, strata: Sequence[str], id_column: str, target: Column,
+               seed: int | Column = 42, output: str = "chosen") -> DataFrame:
+    """Marks the first ``target`` rows of each stratum in hash order, moving no data rows.
+
+    ``df`` is read three times, twice for strata and id only. Stage it first when it is
+    expensive.
+    """
+    limits = hash_limits(df, strata, id_column, target, seed)
+    return within_limits(df, limits, strata, id_column, seed, output)
+
+
 def sample_per_class(df: DataFrame, n: int, strata: Sequence[str], id_column: str, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows of each stratum (all of a smaller one), repeatable."""
     chosen = flag_first(df, strata, id_column, F.lit(n).cast("long"), seed, "_chosen")

@@ -82,8 +82,7 @@ def model_suite(spark, sf_dir):
 
 @query("seed_suite")
 def seed_suite(spark, sf_dir):
-    seeded = materialise(splits.multi_seed_split(bind.turn_features(spark, sf_dir)))
-    return models.seed_suite(seeded, ALL_FEATURES, splits.STABILITY_SEEDS, models.train_lr)
+    return models.seed_suite(bind.turn_features(spark, sf_dir), ALL_FEATURES, splits.STABILITY_SEEDS, models.train_lr)
 
 
 @query("predict")

@@ -29,8 +29,7 @@ def run_stability(features: DataFrame, attempts: DataFrame | None = None, column
     clean = materialise(
         splits.stratified_folds(sanitize_numeric(features, columns), id_column, k=k)
     )
-    seeded = materialise(splits.multi_seed_split(clean, id_column, seeds=seeds))
-    per_seed = models.seed_suite(seeded, columns, seeds, trainer, parallelism)
+    per_seed = models.seed_suite(clean, columns, seeds, trainer, id_column, parallelism=parallelism)
     sensitivity = evaluation.seed_sensitivity(per_seed)
     folds = models.cross_validate(clean, columns, trainer, range(k), parallelism=parallelism)
     accuracy = evaluation.cv_summary(folds, factor=1.0).filter(F.col("metric") == "accuracy")

@@ -170,6 +170,22 @@ def test_tuning_and_cross_validation(separable):
     assert evaluation.cv_summary(folds).filter("std > 0").count() == 0
 
 
+def test_seed_suite_uses_the_multi_seed_splits(spark):
+    """A model that always says 1 scores the share of ones among each seed's test rows."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"t{i}", int(rng.random() < 0.3), float(i)) for i in range(300)],
+                               "text_id string, label int, a double").cache()
+    seen = {}
+
+    def trainer(train, columns):
+        seen[train.first().seed] = {r.text_id for r in train.collect()}
+        return models.train_nb(train, columns)
+
+    assert models.seed_suite(df, ["a"], [1, 2], trainer).count() == 2
+    split = splits.multi_seed_split(df, seeds=[1, 2]).filter(~F.col("is_test"))
+    assert {s: {r.text_id for r in split.filter(F.col("seed") == s).collect()} for s in (1, 2)} == seen
+
+
 def test_detection_and_stability_reports(separable):
     trainers = {"Logistic Regression": models.train_lr, "Naive Bayes": models.train_nb}
     result = run_detection(separable, COLUMNS, trainers=trainers, k=2)
