@@ -1,0 +1,102 @@
+"""Token ids of whole texts, inside tasks.
+
+A byte-level BPE splits a text by its own pattern and merges inside each piece only, and a single
+space between two visible characters always starts a new piece. So a text can be cut there, each
+different piece be encoded once by the tokenizer, and its ids be looked up after that. Tokenizers of
+any other make get the whole text.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import re
+
+import numpy as np
+
+# Of a cache: what drops out of it is encoded again.
+CACHE_PIECES = 300_000
+CACHE_BYTES = 48 << 20
+ROUGH = re.compile(r"\A | \Z|\s | \s")
+STOPS = frozenset(".,")
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+class Encoder:
+    """Encodes texts to little-endian unsigned 32-bit ids with one tokenizer file."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        split = made.get("pre_tokenizer") or {}
+        self.by_piece = (
+            made["model"].get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+            and not split.get("add_prefix_space") and made.get("normalizer") is None
+        )
+        self.stops: dict[str, bytes] = {}
+        self._clear()
+
+    @property
+    def vocabulary(self) -> int:
+        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+
+    def _clear(self) -> None:
+        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
+        self.size = 0
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+
+    def _known(self, lead: str, pieces: list[str]) -> dict[str, bytes]:
+        """A dictionary that has all ``pieces`` as they are encoded after ``lead``.
+
+        Two generations: when the young one is full it becomes the old one, from which pieces that
+        are still in use move back.
+        """
+        young, old = self.caches[lead]
+        if len(young) > CACHE_PIECES or self.size > CACHE_BYTES:
+            self.caches[lead] = young, old = {}, young
+            self.size = 0
+        unknown = set(pieces).difference(young)
+        if unknown:
+            young.update((piece, old[piece]) for piece in unknown.intersection(old))
+            # A word and the stop after it are two pieces of the pattern.
+            stopped = {p: p[:-1] for p in unknown.difference(young) if p[-1:] in STOPS and p[:-1].isalpha()}
+            words = list({stopped.get(p, p) for p in unknown}.difference(young))
+            young.update(zip(words, self._ids([lead + word for word in words])))
+            young.update((piece, young[word] + self._ids_of_stop(piece[-1])) for piece, word in stopped.items())
+            self.size += sum(map(len, unknown)) + sum(map(len, words))
+        return young
+
+    def _ids_of_stop(self, stop: str) -> bytes:
+        if stop not in self.stops:
+            self.stops[stop] = self._ids([stop])[0]
+        return self.stops[stop]
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of the whole text; none for a null or empty one."""
+        if not text:
+            return b""
+        if not self.by_piece:
+            return self._ids([text])[0]
+        head, *pieces = CUT.split(text) if ROUGH.search(text) else text.split(" ")
+        return self._known("", [head])[head] + b"".join(map(self._known(" ", pieces).__getitem__, pieces))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process and file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def ids_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u4")
