@@ -58,7 +58,7 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return rule, verdict
 
 
-def _shrunk(groups: DataFrame, parents: DataFrame, parent_key: str) -> DataFrame:
+def shrunk_rates(groups: DataFrame, parents: DataFrame, parent_key: str, keep_prior: bool = False) -> DataFrame:
     """Adds ``_strength`` and ``_mean`` to groups (_n, _bad), whose parents have ``_mean``.
 
     The prior's strength comes from one aggregate over all groups with outcomes: the weighted spread of
@@ -77,10 +77,9 @@ def _shrunk(groups: DataFrame, parents: DataFrame, parent_key: str) -> DataFrame
         F.least(F.greatest((F.col("_spread") - (F.col("_k") - 1)) / room, F.lit(RHO_MIN)), F.lit(RHO_MAX)))
     strength = moments.select(F.coalesce((1 - rho) / rho, F.lit((1 - RHO_DEFAULT) / RHO_DEFAULT)).alias("_strength"))
     # One row: the join repeats no rows.
-    out = joined.crossJoin(F.broadcast(strength))
-    return out.withColumn(
-        "_mean", (F.col("_strength") * F.col("_prior") + F.col("_bad")) / (F.col("_strength") + F.col("_n"))
-    ).drop("_prior")
+    out = joined.crossJoin(F.broadcast(strength)).withColumn(
+        "_mean", (F.col("_strength") * F.col("_prior") + F.col("_bad")) / (F.col("_strength") + F.col("_n")))
+    return out if keep_prior else out.drop("_prior")
 
 
 def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = ()) -> DataFrame:
@@ -97,9 +96,9 @@ def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] =
     domains = hosts.groupBy("_domain", "_suffix").agg(*up)
     tops = domains.groupBy("_suffix").agg(*up).withColumn("_all", F.lit(0))
     whole = tops.groupBy("_all").agg(*up).withColumn("_mean", (F.col("_bad") + 1) / (F.col("_n") + 2))
-    tops = _shrunk(tops, whole, "_all")
-    domains = _shrunk(domains, tops.drop("_strength"), "_suffix")
-    hosts = _shrunk(hosts, domains.drop("_strength", "_suffix"), "_domain")
+    tops = shrunk_rates(tops, whole, "_all")
+    domains = shrunk_rates(domains, tops.drop("_strength"), "_suffix")
+    hosts = shrunk_rates(hosts, domains.drop("_strength", "_suffix"), "_domain")
     mean = F.col("_mean")
     width = F.sqrt(mean * (1 - mean) / (F.col("_strength") + F.col("_n") + 1))
     return hosts.select("host", mean.alias("risk"), (mean - z * width).alias("risk_lower"))

@@ -13,6 +13,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 # Of a cache: what drops out of it is encoded again.
 CACHE_PIECES = 300_000
@@ -100,3 +101,9 @@ def encoder(path: str) -> Encoder:
 
 def ids_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<u4")
+
+
+def texts_of(batch: pa.RecordBatch, name: str):
+    """The texts of a batch one by one, so that only one is held twice."""
+    for value in batch.column(batch.schema.get_field_index(name)):
+        yield value.as_py()
