@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.llm.exact import exact_duplicates
 from quillsift.llm.hosts import judge_urls
+from quillsift.llm.lines import drop_repeated_lines
 from quillsift.llm.registry import query, table
 
 EXACT_SQL = """
@@ -64,3 +65,38 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select(
         "page_id", "host", "path", "rule", "verdict", F.round("risk", 6).alias("risk"),
         F.round("risk_lower", 6).alias("risk_lower"))
+
+
+# Every window is compared here; winnowing must come to the same lines.
+LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents WHERE text IS NOT NULL),
+counted AS (
+  SELECT doc_id, pos, line, len(list_filter(regexp_split_to_array(line, '[\\x09-\\x0D\\x20]+'), lambda w: w <> '')) AS words
+  FROM lines),
+worded AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM counted WHERE words > 0),
+sides AS (
+  SELECT doc_id, pos AS a, max(pos) OVER f AS b, sum(words) OVER f AS total, string_agg(line, chr(10)) OVER f AS content
+  FROM worded WINDOW f AS (PARTITION BY doc_id ORDER BY upto - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION
+  SELECT doc_id, min(pos) OVER p AS a, pos AS b, sum(words) OVER p AS total, string_agg(line, chr(10)) OVER p AS content
+  FROM worded WINDOW p AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+later AS (
+  SELECT doc_id, a, b, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS n FROM sides WHERE total >= 50),
+gone AS (
+  SELECT DISTINCT w.doc_id, w.pos FROM worded w JOIN later l ON w.doc_id = l.doc_id AND w.pos BETWEEN l.a AND l.b AND l.n > 1),
+kept AS (
+  SELECT l.doc_id, count(g.pos) AS n_lines_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines_dropped, 0) AS n_lines_dropped, sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
