@@ -65,7 +65,7 @@ class Encoder:
             self.size = 0
         unknown = set(pieces).difference(young)
         if unknown:
-            young.update((piece, old[piece]) for piece in unknown.intersection(old))
+            young.update([(piece, old[piece]) for piece in unknown if piece in old])
             # A word and the stop after it are two pieces of the pattern.
             stopped = {p: p[:-1] for p in unknown.difference(young) if p[-1:] in STOPS and p[:-1].isalpha()}
             words = list({stopped.get(p, p) for p in unknown}.difference(young))
