@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 
 # Of a cache: what drops out of it is encoded again.
-CACHE_PIECES = 300_000
-CACHE_BYTES = 48 << 20
-ROUGH = re.compile(r"\A | \Z|\s | \s")
+CACHE_PIECES = 500_000
+CACHE_BYTES = 64 << 20
+# A space at the text's bounds or next to other white space starts no piece of its own.
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+ROUGH = sorted({pair for space in SPACES for pair in (f" {space}", f"{space} ")})
 STOPS = frozenset(".,")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -85,7 +87,8 @@ class Encoder:
             return b""
         if not self.by_piece:
             return self._ids([text])[0]
-        head, *pieces = CUT.split(text) if ROUGH.search(text) else text.split(" ")
+        rough = text[0] == " " or text[-1] == " " or any(pair in text for pair in ROUGH)
+        head, *pieces = CUT.split(text) if rough else text.split(" ")
         return self._known("", [head])[head] + b"".join(map(self._known(" ", pieces).__getitem__, pieces))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillsift.llm.tokenize import encoder, ids_of
+from quillsift.llm.encoding import encoder, ids_of
 
 WINDOW = 2048
 GRAIN = 8

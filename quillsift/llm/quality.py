@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillsift.llm.hosts import shrunk_rates
-from quillsift.llm.tokenize import texts_of
+from quillsift.llm.encoding import texts_of
 from quillsift.session import materialise
 
 # The classifier is fitted on about this many labelled rows at most, drawn by a hash of the id.

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillsift.llm.tokenize import texts_of
+from quillsift.llm.encoding import texts_of
 
 # The base patterns.
 ASSIGN = re.compile(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.llm.fmindex import find_contamination
+from quillsift.llm.minhash import near_duplicates
 from quillsift.llm.quality import hierarchical_quality
 from quillsift.llm.registry import query, table
-from quillsift.llm.secrets import find_secrets
+from quillsift.llm.secretscan import find_secrets
 
 
 @query("op3_secret_scan")
@@ -38,3 +39,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", hits.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
     )
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85)

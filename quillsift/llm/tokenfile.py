@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillsift.llm.tokenize import encoder, ids_of
+from quillsift.llm.encoding import encoder, ids_of
 
 BLOCK_IDS = 1 << 16
 LANES = 64
