@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.llm.fmindex import find_contamination
+from quillsift.llm.katz import score_documents
 from quillsift.llm.minhash import near_duplicates
 from quillsift.llm.quality import hierarchical_quality
 from quillsift.llm.registry import query, table
@@ -44,3 +45,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85)
+
+
+@query("op8_katz_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return score_documents(documents, "train").select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
