@@ -20,23 +20,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillsift.llm.rows import document_key
 from quillsift.session import materialise
 
 MIN_WORDS = 50
 BLANKS = r"[\x09-\x0D\x20]+"
 
 
-def _document_key(id_column: Column, text: Column) -> Column:
-    """Rows equal in id and text are one document here."""
-    return F.xxhash64(id_column.isNull(), id_column, text)
-
-
 def line_table(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per line with words: document (``_key``, ``_id``), ``_pos``, ``_hash``, ``_words`` and the words
     before its start and up to its end."""
     text = F.col(f"`{text_column}`")
     docs = df.select(F.col(f"`{id_column}`").alias("_id"), text.alias("_text")).filter("_text is not null")
-    docs = docs.withColumn("_key", _document_key(F.col("_id"), F.col("_text")))
+    docs = docs.withColumn("_key", document_key(F.col("_id"), F.col("_text")))
     words = F.size(F.filter(F.split("_line", BLANKS), lambda w: w != ""))
     lines = docs.select("_key", "_id", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line")).select(
         "_key", "_id", "_pos", F.xxhash64("_line").alias("_hash"), words.cast("long").alias("_words"),
@@ -94,14 +90,17 @@ def drop_repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, id_column: st
     white space included; lines without words take part in no passage and stay. Null and empty texts are unchanged, an
     empty table stays empty; a column named like the output's is replaced, all others are kept.
     """
+    df = df.drop("n_lines_dropped")
     gone = repeated_lines(df, min_words, id_column, text_column)
     text, ident = F.col(f"`{text_column}`"), F.col(f"`{id_column}`")
-    keyed = df.drop("n_lines_dropped").withColumn("_k", _document_key(ident, text))
-    joined = keyed.join(
-        gone.withColumnRenamed("_id", "_i"), (F.col("_k") == F.col("_key")) & ident.eqNullSafe(F.col("_i")), "left")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.when(~F.array_contains("_gone", i), line)),
-                     lambda line: line.isNotNull())
+    # The rows travel as one column, so no name of theirs meets one of these.
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                      document_key(ident, text).alias("_k"), ident.alias("_i"))
+    joined = keyed.join(gone, (F.col("_k") == F.col("_key")) & F.col("_i").eqNullSafe(F.col("_id")), "left")
+    whole = F.col("_row")[text_column]
+    kept = F.filter(F.transform(F.split(whole, "\n"), lambda line, i: F.when(~F.array_contains("_gone", i), line)),
+                    lambda line: line.isNotNull())
+    cut = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
-    return joined.withColumn("n_lines_dropped", dropped).withColumn(
-        text_column, F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(lines, "\n"))
-    ).drop("_k", "_key", "_i", "_gone")
+    return joined.select(*[cut.alias(c) if c == text_column else F.col("_row")[c].alias(c) for c in df.columns],
+                         dropped.alias("n_lines_dropped"))

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quillsift.llm.components import components
+from quillsift.llm.rows import text_key
 from quillsift.session import materialise
 
 WORDS = 5
@@ -112,11 +113,12 @@ def signature(low: np.ndarray) -> bytes:
 
 
 def _chosen(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    text = F.col(f"`{text_column}`")
+    return df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
 
 
 def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, n, cls, sig, bands`` per row; the last three null for a text without words."""
+    """``doc_id, text_key, n, cls, sig, bands`` per row; the last three null for a text without words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +131,11 @@ def signatures(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 sigs.append(None if low is None else signature(low))
                 bands.append(None if low is None else band_keys(low))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "sig", "bands"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "cls", "sig", "bands"])
 
     return _chosen(df, id_column, text_column).mapInArrow(
-        task, "doc_id long, n long, cls binary, sig binary, bands array<long>")
+        task, "doc_id long, text_key long, n long, cls binary, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -285,7 +287,7 @@ def _join_up(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, text_key, n_shingles, component_id, kept``.
 
     Rows are linked when the Jaccard similarity of their shingle sets reaches ``similarity`` (in whole percent).
     ``component_id`` is the smallest id reachable over links, ``kept`` marks the rows that carry it. A text
@@ -341,7 +343,7 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, words: int =
     named = lowest.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     label = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     named = named.join(label, "root").select("cls", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
+    out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))

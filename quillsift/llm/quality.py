@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillsift.llm.hosts import shrunk_rates
+from quillsift.llm.rows import text_key
 from quillsift.llm.encoding import texts_of
 from quillsift.session import materialise
 
@@ -53,11 +54,11 @@ def text_features(text: str) -> list[float]:
 
 def document_features(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                       keep: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id``, the columns of ``keep`` (output: input) and ``features``, null for a text without words."""
+    """``doc_id``, the columns of ``keep`` (output: input), ``text_key`` and ``features``, null for a text without words."""
     keep = keep or {}
     chosen = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"),
                        *[F.col(f"`{column}`").cast("string").alias(name) for name, column in keep.items()],
-                       F.col(f"`{text_column}`").alias("text"))
+                       text_key(F.col(f"`{text_column}`")).alias("text_key"), F.col(f"`{text_column}`").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +66,7 @@ def document_features(df: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
 
-    fields = ", ".join(["doc_id long", *[f"{name} string" for name in keep], "features array<double>"])
+    fields = ", ".join(["doc_id long", *[f"{name} string" for name in keep], "text_key long", "features array<double>"])
     return chosen.mapInArrow(task, fields)
 
 
@@ -91,7 +92,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 def hierarchical_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                          host_column: str = "source", path_column: str = "lang", label_column: str = "quality",
                          train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: ``doc_id, evidence, site_rate, quality, kept``.
+    """One row per input row: ``doc_id, text_key, evidence, site_rate, quality, kept``.
 
     ``labels`` has the id and a 0/1 label; null and repeated labels are dropped (of several for one id the largest
     counts). A text without words has quality 0 and is not kept. A null host or path is a site of its own.
@@ -137,4 +138,4 @@ def hierarchical_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc
     quality = F.when(F.col("evidence").isNull(), F.lit(0.0)).otherwise(
         1 / (1 + F.exp(-(F.log(F.col("site_rate") / (1 - F.col("site_rate"))) + F.col("evidence")))))
     out = joined.withColumn("site_rate", rate).withColumn("quality", quality)
-    return out.select("doc_id", "evidence", "site_rate", "quality", (F.col("quality") >= threshold).alias("kept"))
+    return out.select("doc_id", "text_key", "evidence", "site_rate", "quality", (F.col("quality") >= threshold).alias("kept"))

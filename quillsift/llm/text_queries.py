@@ -27,7 +27,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchical_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return hierarchical_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
 @query("op9_decontamination")
@@ -44,7 +44,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85)
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85).drop("text_key")
 
 
 @query("op8_katz_scores")
