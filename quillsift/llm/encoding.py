@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 # Of a cache: what drops out of it is encoded again.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 CACHE_BYTES = 64 << 20
 # A space at the text's bounds or next to other white space starts no piece of its own.
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -25,6 +25,54 @@ STOPS = frozenset(".,")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {byte: chr(byte) if byte in printable else chr(next(others)) for byte in range(256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Pieces(dict):
+    """Piece to ids as encoded after ``lead``; looks up, and learns what it lacks.
+
+    Two generations: when this one is full it becomes the old one, from which pieces still in use move back.
+    """
+
+    def __init__(self, tokenizer, lead: str):
+        super().__init__()
+        self.tokenizer, self.lead, self.old, self.size = tokenizer, lead, {}, 0
+        self.model = tokenizer.model
+
+    def turned(self) -> Pieces:
+        if len(self) < CACHE_PIECES and self.size < CACHE_BYTES:
+            return self
+        young = Pieces(self.tokenizer, self.lead)
+        young.old, self.old = self, {}
+        return young
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) if self.old else None
+        if ids is None:
+            # Letters are one piece of the pattern, which the model can merge directly; a stop after them is another.
+            if piece.isalpha():
+                data = (self.lead + piece).encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = np.array([token.id for token in self.model.tokenize(data)], dtype="<u4").tobytes()
+            elif piece[-1:] in STOPS and piece[:-1].isalpha():
+                ids = self[piece[:-1]] + _encoded(self.tokenizer, piece[-1])
+            else:
+                ids = _encoded(self.tokenizer, self.lead + piece)
+        self[piece] = ids
+        self.size += len(piece) + len(ids)
+        return ids
+
+
+def _encoded(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids with one tokenizer file."""
 
@@ -40,56 +88,22 @@ class Encoder:
             made["model"].get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
             and not split.get("add_prefix_space") and made.get("normalizer") is None
         )
-        self.stops: dict[str, bytes] = {}
-        self._clear()
+        self.first, self.later = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _clear(self) -> None:
-        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
-        self.size = 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
-
-    def _known(self, lead: str, pieces: list[str]) -> dict[str, bytes]:
-        """A dictionary that has all ``pieces`` as they are encoded after ``lead``.
-
-        Two generations: when the young one is full it becomes the old one, from which pieces that
-        are still in use move back.
-        """
-        young, old = self.caches[lead]
-        if len(young) > CACHE_PIECES or self.size > CACHE_BYTES:
-            self.caches[lead] = young, old = {}, young
-            self.size = 0
-        unknown = set(pieces).difference(young)
-        if unknown:
-            young.update([(piece, old[piece]) for piece in unknown if piece in old])
-            # A word and the stop after it are two pieces of the pattern.
-            stopped = {p: p[:-1] for p in unknown.difference(young) if p[-1:] in STOPS and p[:-1].isalpha()}
-            words = list({stopped.get(p, p) for p in unknown}.difference(young))
-            young.update(zip(words, self._ids([lead + word for word in words])))
-            young.update((piece, young[word] + self._ids_of_stop(piece[-1])) for piece, word in stopped.items())
-            self.size += sum(map(len, unknown)) + sum(map(len, words))
-        return young
-
-    def _ids_of_stop(self, stop: str) -> bytes:
-        if stop not in self.stops:
-            self.stops[stop] = self._ids([stop])[0]
-        return self.stops[stop]
-
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text; none for a null or empty one."""
         if not text:
             return b""
         if not self.by_piece:
-            return self._ids([text])[0]
+            return _encoded(self.tokenizer, text)
         rough = text[0] == " " or text[-1] == " " or any(pair in text for pair in ROUGH)
         head, *pieces = CUT.split(text) if rough else text.split(" ")
-        return self._known("", [head])[head] + b"".join(map(self._known(" ", pieces).__getitem__, pieces))
+        self.first, self.later = self.first.turned(), self.later.turned()
+        return self.first[head] + b"".join(map(self.later.__getitem__, pieces))
 
 
 _ENCODERS: dict[str, Encoder] = {}
