@@ -72,19 +72,30 @@ def filter_class(df: DataFrame, label: int, column: str = "label") -> DataFrame:
 # --- set operations ---------------------------------------------------------------------------
 
 def union_corpora(human: DataFrame, generated: DataFrame) -> DataFrame:
-    """All rows of both by column name; columns one side lacks are null there."""
-    return human.unionByName(generated, allowMissingColumns=True)
+    """All rows of both by column name; columns one side lacks are null there.
+
+    ``corpus_position`` is 0 for human rows and 1 for generated ones: where both number their rows from 0, it
+    says which come first.
+    """
+    return human.withColumn("corpus_position", F.lit(0)).unionByName(
+        generated.withColumn("corpus_position", F.lit(1)), allowMissingColumns=True)
+
+
+def corpus_order(df: DataFrame, order: str = "ingest_order") -> list[str]:
+    """The columns that put the rows of a union in their order: corpus, place in it, id."""
+    return [name for name in ("corpus_position", order, "text_id") if name in df.columns]
 
 
-def dedup_exact(df: DataFrame, column: str = "content", order: str = "ingest_order") -> DataFrame:
-    """Keeps the first row, by ``order``, of each distinct ``column`` value.
+def dedup_exact(df: DataFrame, column: str = "content", order: str | Sequence[str] = "ingest_order") -> DataFrame:
+    """Keeps the first row, by ``order`` (one column or several), of each distinct ``column`` value.
 
     Written as an aggregate, not a window: copies are merged in each map task before the
     shuffle, so a text that makes up a third of the table reaches its reducer as one row per
     task. Whole values are compared, so there are no hash collisions to worry about.
     """
     others = [name for name in df.columns if name != column]
-    first = df.groupBy(column).agg(F.min_by(F.struct(*others), order).alias("_first"))
+    order = [order] if isinstance(order, str) else list(order)
+    first = df.groupBy(column).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_first"))
     return first.select(*[
         F.col(name) if name == column else F.col(f"_first.{name}").alias(name) for name in df.columns
     ])
@@ -104,7 +115,7 @@ def dedup_report(df: DataFrame, column: str = "content") -> DataFrame:
 # --- balance ----------------------------------------------------------------------------------
 
 def balance_classes(df: DataFrame, id_column: str = "text_id", label: str = "label", seed: int = 42) -> DataFrame:
-    """A repeatable sample of each class, as large as the smallest class.
+    """A repeatable sample of each class, as large as the smallest class. Rows without a label are of no class.
 
     ``df`` is read three times (see ``flag_first``).
     """

@@ -34,7 +34,7 @@ N_TREES = 100
 GRID_C = [0.01, 0.1, 1.0, 10.0, 100.0]
 GRID_PENALTIES = ["l1", "l2"]
 FOLDS = 5
-# Spark's deepest tree; stands for "no limit".
+# Spark's deepest tree; stands for "no limit", and a larger limit is refused.
 DEEPEST_TREE = 30
 
 Trainer = Callable[[DataFrame, Sequence[str]], PipelineModel]
@@ -71,8 +71,10 @@ def train_nb(train: DataFrame, columns: Sequence[str], variant: str = "gaussian"
 
 def train_rf(train: DataFrame, columns: Sequence[str], n_trees: int = N_TREES, max_depth: int | None = None,
              seed: int = 42) -> PipelineModel:
+    if max_depth is not None and max_depth > DEEPEST_TREE:
+        raise ValueError(f"trees can be {DEEPEST_TREE} deep at most, not {max_depth}")
     forest = RandomForestClassifier(
-        numTrees=n_trees, maxDepth=min(max_depth or DEEPEST_TREE, DEEPEST_TREE),
+        numTrees=n_trees, maxDepth=DEEPEST_TREE if max_depth is None else max_depth,
         featureSubsetStrategy="sqrt", seed=seed,
     )
     return Pipeline(stages=[_assembler(columns), forest]).fit(train)

@@ -12,6 +12,7 @@ Two tools:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,10 +20,13 @@ from quillsift.session import materialise
 
 # 16^3 = 4096 buckets per class.
 BUCKET_DIGITS = 3
-# Below this, Spark's own top-n (per-task heaps, merged) is the cheapest exact plan.
-SMALL_LIMIT = 10_000
-# Spark prunes row_number() <= k before the shuffle up to this k (windowGroupLimitThreshold).
-GROUP_LIMIT = 1_000
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null groups meet too, with the key columns of ``left``."""
+    renamed = right.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    same = [F.col(f"`{key}`").eqNullSafe(F.col(f"`_of_{key}`")) for key in keys]
+    return left.join(renamed, reduce(Column.__and__, same)).drop(*[f"_of_{key}" for key in keys])
 
 
 def hash_order(id_column: str, seed: int | Column = 42) -> Column:
@@ -32,7 +36,9 @@ def hash_order(id_column: str, seed: int | Column = 42) -> Column:
 
 
 def _with_hash(df: DataFrame, id_column: str, seed: int | Column) -> DataFrame:
-    return df.withColumn("_h", hash_order(id_column, seed)).withColumn(
+    ident = F.when(F.col(id_column).isNull(), F.raise_error(F.lit(f"null in the id column {id_column}")).cast(
+        df.schema[id_column].dataType)).otherwise(F.col(id_column))
+    return df.withColumn(id_column, ident).withColumn("_h", hash_order(id_column, seed)).withColumn(
         "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
     )
 
@@ -53,13 +59,14 @@ def class_rank(df: DataFrame, strata: Sequence[str], id_column: str, seed: int |
     """1-based rank within each stratum in hash order.
 
     Equals row_number() over (partition by stratum order by hash, id). The join and the window
-    share one shuffle on (stratum, bucket), so the offsets need no broadcast.
+    share one shuffle on (stratum, bucket), so the offsets need no broadcast. A row with a null in ``strata``
+    belongs to none and has no rank. A null id is an error.
     """
     hashed = _with_hash(df, id_column, seed)
     offsets = _bucket_offsets(hashed, strata).select(*strata, "_bucket", "_before", "_stratum_rows")
     bucket = Window.partitionBy(*strata, "_bucket").orderBy("_h", id_column)
     return (
-        hashed.join(offsets, [*strata, "_bucket"])
+        hashed.join(offsets, [*strata, "_bucket"], "left")
         .withColumn(output, F.col("_before") + F.row_number().over(bucket))
         .drop("_h", "_bucket", "_before", "_stratum_rows")
         .select(*df.columns, output)
@@ -78,8 +85,10 @@ def hash_limits(df: DataFrame, strata: Sequence[str], id_column: str, target: Co
     ``target`` may use ``_stratum_rows`` (rows in the stratum) and ``_smallest`` (rows in the
     smallest stratum). One small aggregate finds the bucket in which the cut falls; only that
     bucket, a 4096th of the stratum, is sorted to find the exact cut. Reads strata and id only.
+    Rows with a null in ``strata`` belong to none. A null id is an error, and so are two equal ids of which
+    only one would fit.
     """
-    hashed = _with_hash(df.select(*strata, id_column), id_column, seed)
+    hashed = _with_hash(df.select(*strata, id_column).dropna(subset=list(strata)), id_column, seed)
     offsets = _bucket_offsets(hashed, strata)
     offsets = offsets.withColumn("_smallest", F.min("_stratum_rows").over(Window.partitionBy(F.lit(0))))
     offsets = offsets.withColumn("_target", target)
@@ -89,10 +98,13 @@ def hash_limits(df: DataFrame, strata: Sequence[str], id_column: str, target: Co
     # A target beyond the whole stratum needs no cut; zero or less takes nothing.
     whole = offsets.groupBy(*strata).agg(F.max(F.col("_target") > F.col("_stratum_rows")).alias("_whole"))
     in_bucket = Window.partitionBy(*strata, "_bucket").orderBy("_h", id_column)
+    torn = F.lead(id_column).over(in_bucket) == F.col(id_column)
     cut = (
-        hashed.join(F.broadcast(cut_bucket), [*strata, "_bucket"])  # one row per stratum
-        .withColumn("_n", F.row_number().over(in_bucket))
+        hashed.join(cut_bucket, [*strata, "_bucket"])
+        .withColumns({"_n": F.row_number().over(in_bucket), "_torn": torn})
         .filter(F.col("_n") == F.col("_need"))
+        .withColumn("_h", F.when(F.col("_torn"), F.raise_error(F.lit(f"the id column {id_column} is not unique")).cast("string"))
+                    .otherwise(F.col("_h")))
         .select(*strata, F.col("_h").alias("_cut_h"), F.col(id_column).alias("_cut_id"))
     )
     return whole.join(cut, list(strata), "left")
@@ -100,14 +112,15 @@ def hash_limits(df: DataFrame, strata: Sequence[str], id_column: str, target: Co
 
 def within_limits(df: DataFrame, limits: DataFrame, strata: Sequence[str], id_column: str,
                   seed: int | Column = 42, output: str = "chosen") -> DataFrame:
-    """Marks the rows up to the limits of ``hash_limits``, each row where it lies.
+    """Marks the rows up to the limits of ``hash_limits``; rows without a stratum get a null.
 
-    Strata are class labels (times seeds): a handful, so one row for each can be broadcast.
+    There is one row of limits per stratum; where those are few, adaptive execution broadcasts them and each
+    row is marked where it lies.
     """
     h = hash_order(id_column, seed)
     upto_cut = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(id_column) <= F.col("_cut_id")))
     return (
-        df.join(F.broadcast(limits), list(strata))
+        df.join(limits, list(strata), "left")
         .withColumn(output, F.col("_whole") | F.coalesce(upto_cut, F.lit(False)))
         .select(*df.columns, output)
     )
@@ -131,11 +144,7 @@ def sample_per_class(df: DataFrame, n: int, strata: Sequence[str], id_column: st
 
 
 def sample_n(df: DataFrame, n: int, id_column: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows, repeatable. Small samples use Spark's top-n, large ones a cut-off."""
-    if n <= SMALL_LIMIT:
-        return (
-            df.withColumn("_h", hash_order(id_column, seed)).orderBy("_h", id_column).limit(n).drop("_h")
-        )
+    """Exactly ``n`` rows (all of a smaller table), repeatable. Ids must be unique and not null."""
     whole = df.withColumn("_all", F.lit(0))
     return sample_per_class(whole, n, ["_all"], id_column, seed).drop("_all")
 
@@ -170,7 +179,7 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[st
     )
     rows = Window.partitionBy(*keys).orderBy("_seq")
     upto = rows.rowsBetween(Window.unboundedPreceding, 0)
-    return staged.join(edges, keys).select(
+    return _join_null_safe(staged, edges, keys).select(
         *df.columns,
         *[(F.col(f"_before_{name}") + F.sum(column).over(upto)).alias(name) for name, column in totals.items()],
         *[
@@ -182,27 +191,35 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[st
 
 def with_position(df: DataFrame, order: Sequence[str | Column], groups: Sequence[str] = (),
                   output: str = "position") -> DataFrame:
-    """1-based position of each row in sorted order, dense, per group when groups are given."""
-    counted = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(counted, order, {output: "_one"}, groups).drop("_one")
+    """1-based position of each row in sorted order, dense, per group when groups are given.
+
+    The sorted rows are staged once. A row's place in its partition is part of its sequence number, so
+    it only lacks what lies before: rows of its group in earlier partitions, less those of other groups
+    ahead in its own. Those offsets are one row per partition and group; rows are not sorted again. A null group is a group.
+    """
+    staged = materialise(
+        df.sort(*groups, *order).withColumns({
+            "_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id(),
+        })
+    )
+    keys = ["_part", *groups]
+    parts = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")).select(
+        *keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    return _join_null_safe(staged, offsets, keys).select(*df.columns, (F.col("_seq") + F.col("_offset")).alias(output))
 
 
 def first_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows of the table in a unique sort order."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(n)
+    """The first ``n`` rows of the table in sort order, as a set: sort the result where order matters."""
     return with_position(df, order, output="_position").filter(F.col("_position") <= n).drop("_position")
 
 
 def first_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group in a unique sort order.
+    """The first ``n`` rows of each group in sort order; a null group is a group.
 
-    Up to ``GROUP_LIMIT`` rows Spark cuts every task's share of a group to n before the shuffle,
-    so a group that holds a third of the table costs no more than others.
+    Positions come from one balanced sort, so no group, however large, and no n puts its rows in one task.
     """
-    if n <= GROUP_LIMIT:
-        window = Window.partitionBy(*groups).orderBy(*order)
-        return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n).drop("_n")
     return with_position(df, order, groups, "_n").filter(F.col("_n") <= n).drop("_n")
 
 

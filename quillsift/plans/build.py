@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from quillsift.operators.dataset import (
-    MAX_CHARS, MIN_CHARS, balance_classes, collection_date, dedup_exact, filter_char_range, filter_not_null,
+    MAX_CHARS, MIN_CHARS, balance_classes, collection_date, corpus_order, dedup_exact, filter_char_range, filter_not_null,
     preview_per_class, union_corpora,
 )
 from quillsift.operators.ordering import assign_text_id, shuffle_rows
@@ -25,7 +25,8 @@ def clean_and_balance(combined: DataFrame, *, clean: bool = True, low: int = MIN
     rows and shuffles fewer. The result is staged once, since balancing reads it three times.
     """
     if clean:
-        combined = dedup_exact(filter_char_range(filter_not_null(combined, "content"), low=low, high=high), order=order)
+        kept = filter_char_range(filter_not_null(combined, "content"), low=low, high=high)
+        combined = dedup_exact(kept, order=corpus_order(kept, order))
     return balance_classes(materialise(combined), seed=seed)
 
 
@@ -43,7 +44,7 @@ def build_dataset(human: DataFrame, generated: DataFrame, *, clean: bool = True,
     balanced = clean_and_balance(
         union_corpora(human, generated), clean=clean, low=low, high=high, order=order, seed=seed
     )
-    final = shuffle_rows(balanced, "text_id", seed)
+    final = shuffle_rows(balanced.drop("corpus_position"), "text_id", seed)
     if clean:
         final = final.withColumn("collection_date", collection_date(date))
     return write_stage(final, output_dir, "final") if output_dir else final

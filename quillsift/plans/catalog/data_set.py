@@ -166,7 +166,7 @@ def nan_counts(spark, sf_dir):
 
 
 _FIRST = f"""
-SELECT *, row_number() OVER (PARTITION BY content ORDER BY ingest_order) AS copy FROM ({sql.TURNS}) WHERE content IS NOT NULL"""
+SELECT *, row_number() OVER (PARTITION BY content ORDER BY label, ingest_order) AS copy FROM ({sql.TURNS}) WHERE content IS NOT NULL"""
 _CLEAN = f"SELECT * FROM ({_FIRST}) WHERE copy = 1 AND length(content) BETWEEN 300 AND 2000"
 
 

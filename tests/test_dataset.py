@@ -121,3 +121,11 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = featurise_stream(source, ["the", "and"]).select("doc_id", *ALL_FEATURES)
     assert streamed.count() == source.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_human_text_wins_when_both_corpora_count_from_zero(spark):
+    human = spark.createDataFrame([("h0", "x", 0), ("h1", "same", 1)], "text_id string, content string, ingest_order long")
+    generated = spark.createDataFrame([("a0", "y", 0), ("a1", "same", 1)], "text_id string, content string, ingest_order long")
+    both = dataset.union_corpora(human, generated)
+    kept = {r.text_id for r in dataset.dedup_exact(both, order=dataset.corpus_order(both)).collect()}
+    assert kept == {"h0", "h1", "a0"}

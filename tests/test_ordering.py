@@ -62,17 +62,14 @@ def test_multi_seed_split(table):
     }
 
 
-@pytest.mark.parametrize("n", [7, 1500])
-def test_sample_n_small_and_large(table, n, monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 100)
+@pytest.mark.parametrize("n", [0, 7, 1500, 5000])
+def test_sample_n(table, n):
     got = {r.id for r in ordering.sample_n(table, n, "id").collect()}
     assert got == set(sorted((i for i, _ in ROWS), key=key)[:n])
 
 
-@pytest.mark.parametrize("n", [3, 40])
-def test_first_rows_small_and_large(table, n, monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 10)
-    monkeypatch.setattr(ordering, "GROUP_LIMIT", 10)
+@pytest.mark.parametrize("n", [3, 40, 2500])
+def test_first_rows(table, n):
     assert {r.id for r in ordering.first_n(table, ["id"], n).collect()} == set(range(n))
     got = {r.id for r in ordering.first_n_per_group(table, ["label"], [F.desc("id")], n).collect()}
     assert got == {
@@ -80,6 +77,35 @@ def test_first_rows_small_and_large(table, n, monkeypatch):
     }
 
 
+@pytest.mark.parametrize("n", [3, 1001, 20000])
+def test_null_groups_are_groups(spark, n):
+    rows = spark.createDataFrame([(i, None if i % 2 else "q") for i in range(10)], "id int, g string")
+    assert ordering.first_n_per_group(rows, ["g"], ["id"], n).count() == 2 * min(n, 5)
+    totals = ordering.running_totals(rows.withColumn("v", F.lit(1)), ["id"], {"t": "v"}, ["g"]).collect()
+    assert sorted(r.t for r in totals if r.g is None) == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("n", [5, 15000])
+def test_null_and_repeated_ids_are_refused(spark, n):
+    with pytest.raises(Exception, match="null in the id column"):
+        ordering.sample_n(spark.createDataFrame([(None,), (1,)], "id int"), n, "id").collect()
+    twins = spark.createDataFrame([(1,)] * 40, "id int")
+    if n < 40:
+        with pytest.raises(Exception, match="not unique"):
+            ordering.sample_n(twins, n, "id").collect()
+    else:
+        assert ordering.sample_n(twins, n, "id").count() == 40
+
+
+def test_rows_without_label_are_of_no_class(spark):
+    rows = spark.createDataFrame([(i, None if i == 150 else i // 100) for i in range(151)], "id int, label int")
+    counts = {r["label"]: r["count"] for r in balance_classes(rows, "id").groupBy("label").count().collect()}
+    assert counts == {0: 50, 1: 50}
+    split = splits.stratified_split(rows, "id").collect()
+    assert len(split) == 151 and [r.is_test for r in split if r.label is None] == [None]
+    assert [r.fold for r in splits.stratified_folds(rows, "id").collect() if r.label is None] == [None]
+
+
 def test_running_totals_with_following(table):
     rows = ordering.running_totals(
         table.withColumn("v", F.col("id") * 2), ["id"], {"total": "v"}, ["label"], following=["v"]
@@ -100,12 +126,6 @@ def test_text_ids_grow_and_are_kept(spark):
     assert ordering.assign_text_id(df.withColumn("text_id", F.lit("x")), ["n"]).first().text_id == "x"
 
 
-def test_small_group_limits_are_pruned_before_the_shuffle(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source")
-    plan = ordering.first_n_per_group(df, ["source"], ["doc_id"], 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
-
-
 def test_split_passes_read_only_what_they_need(spark):
     """The wide rows meet only broadcast sides; the counting passes read id and label."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
