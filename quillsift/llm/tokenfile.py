@@ -123,7 +123,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``, ``ids``.
 
     ``ids`` are little-endian unsigned 32-bit. Blocks are read in parallel; where a shard starts follows
-    from the number of ids of each shard before it, one row per shard.
+    from the number of ids of each shard before it: one row per shard, so no more than the partitions that
+    wrote the file, and these rows go to every task.
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,5 +144,5 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 ], names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids"])
 
     read = blocks.select("shard", "start", "n_ids", "width", "doc_ids", "ends", "payload")
-    return read.mapInArrow(documents, DOC_SCHEMA).join(bases, "shard").select(
+    return read.mapInArrow(documents, DOC_SCHEMA).join(F.broadcast(bases), "shard").select(
         "doc_id", (F.col("_base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
