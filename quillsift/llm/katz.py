@@ -37,8 +37,8 @@ from quillsift.session import materialise
 K = 5
 TAIL = 0.1
 # Tokens of a chunk, and of a partition of the count table, about.
-CHUNK_TOKENS = 4 << 20
-PART_TOKENS = 1_500_000
+CHUNK_TOKENS = 6 << 20
+PART_TOKENS = 2_000_000
 # Words and pairs with a larger share of all tokens than twice this are resolved where they occur: at most 1 / SHARE of each.
 SHARE = 1 / 20_000
 START, END = np.uint64(0x5CA1AB1E00000001), np.uint64(0x5CA1AB1E00000002)
@@ -60,6 +60,16 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
+def _planes(ordered: np.ndarray) -> np.ndarray:
+    """Ascending 64-bit hashes as byte planes of their differences: the upper planes are mostly zeros."""
+    steps = np.diff(ordered, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _hashes(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     part, chunk, kind, payload = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()),
@@ -253,7 +263,7 @@ def _send(batches: Iterator[pa.RecordBatch], known, parts: int, chunk_tokens: in
                 held, n = np.unique(doc[mine], return_counts=True)
                 steps = np.diff(held, prepend=0)
                 yield int(part[mine[0]]), name, DOCS, _dump(
-                    chunk.words[vs], chunk.words[ws], _narrow(vi), _narrow(wi), _narrow(steps), _narrow(n), chunk.train[held])
+                    _planes(chunk.words[vs]), _planes(chunk.words[ws]), _narrow(vi), _narrow(wi), _narrow(steps), _narrow(n), chunk.train[held])
 
     return _grow(rows())
 
@@ -292,8 +302,8 @@ def _count(batches: Iterator[pa.RecordBatch], known, parts: int) -> Iterator[pa.
             del group
             if not cells:
                 continue
-            v = np.concatenate([c[0][c[2]] for _, c in cells])
-            w = np.concatenate([c[1][c[3]] for _, c in cells])
+            v = np.concatenate([_hashes(c[0])[c[2]] for _, c in cells])
+            w = np.concatenate([_hashes(c[1])[c[3]] for _, c in cells])
             slots, docs, chunks = [], [], []
             total = 0
             for chunk, (_, _, _, _, steps, n, _) in cells:
@@ -333,7 +343,7 @@ def _count(batches: Iterator[pa.RecordBatch], known, parts: int) -> Iterator[pa.
             contexts, inverse = np.unique(v[seen], return_inverse=True)
             table = _of_types(inverse, len(contexts), pair_counts[pair_counts > 0], word_counts[wi[seen]])
             for part, chosen in _by_part(contexts, parts):
-                yield part, 0, FREED, _dump(contexts[chosen], *[_narrow(row[chosen]) for row in table[:-1]], table[-1][chosen])
+                yield part, 0, FREED, _dump(_planes(contexts[chosen]), *[_narrow(row[chosen]) for row in table[:-1]], table[-1][chosen])
             # Held-out occurrences that back off need their context's weight.
             names, number = np.array(chunks, dtype=np.int64), np.repeat(np.arange(len(chunks)), sizes)
             doc = np.concatenate(docs)
@@ -341,7 +351,7 @@ def _count(batches: Iterator[pa.RecordBatch], known, parts: int) -> Iterator[pa.
                 mine = new[chosen]
                 contexts, vi = np.unique(v[mine], return_inverse=True)
                 at_doc = slot[mine]
-                yield part, 0, FIX, _dump(contexts, _narrow(vi), names, _narrow(number[at_doc]), _narrow(doc[at_doc]))
+                yield part, 0, FIX, _dump(_planes(contexts), _narrow(vi), names, _narrow(number[at_doc]), _narrow(doc[at_doc]))
 
     return _grow(rows())
 
@@ -379,7 +389,8 @@ def _weigh(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, words: np.ndarr
         for group in Groups(batches, 1):
             freed, fixes = [], []
             for kind, payload in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
-                (freed if kind == FREED else fixes).append(_load(payload))
+                planes, *rest = _load(payload)
+                (freed if kind == FREED else fixes).append((_hashes(planes), *rest))
             if not fixes or not freed:
                 continue
             contexts, inverse = np.unique(np.concatenate([f[0] for f in freed]), return_inverse=True)
@@ -495,7 +506,7 @@ def score_documents(df: DataFrame, train_column: str, id_column: str = "doc_id",
     if len(v):
         contexts, inverse = np.unique(v, return_inverse=True)
         table = _of_types(inverse, len(contexts), np.array([x["n"] for x in of_pairs]), lists.word(w))
-        extra = [(part, 0, FREED, bytearray(_dump(contexts[chosen], *[row[chosen] for row in table]))) for part, chosen in _by_part(contexts, parts)]
+        extra = [(part, 0, FREED, bytearray(_dump(_planes(contexts[chosen]), *[row[chosen] for row in table]))) for part, chosen in _by_part(contexts, parts)]
     weights = counted.filter(F.col("kind").isin(FREED, FIX)).unionByName(spark.createDataFrame(extra, ROW_SCHEMA))
     weighed = by(weights, "part").mapInArrow(partial(_weigh, pairs=pairs, words=words, tokens=learned, parts=parts), ROW_SCHEMA)
     ready = counted.filter(F.col("kind").isin(META, DOCS)).unionByName(weighed).select("chunk", "kind", "payload")
