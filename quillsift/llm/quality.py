@@ -110,18 +110,22 @@ def hierarchical_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc
     drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     train = rows.filter("features is not null").join(drawn, "doc_id").select("features", "_label").toPandas()
     weights, base = np.zeros(len(FEATURES) + 1), 0.0
+    low, high = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
     if train["_label"].nunique() == 2:
-        y = train["_label"].to_numpy(dtype=float)
-        weights = fit_logistic(np.array(train["features"].tolist()), y)
+        x, y = np.array(train["features"].tolist()), train["_label"].to_numpy(dtype=float)
+        weights, low, high = fit_logistic(x, y), x.min(axis=0), x.max(axis=0)
         base = float(np.log(y.mean() / (1 - y.mean())))
+    # Beyond what training has seen, a feature counts as its nearest seen value.
     score = F.lit(float(weights[-1]))
     for i, weight in enumerate(weights[:-1]):
-        score = score + F.col("features")[i] * float(weight)
+        seen = F.least(F.greatest(F.col("features")[i], F.lit(float(low[i]))), F.lit(float(high[i])))
+        score = score + seen * float(weight)
+    score = F.when(F.col("features").isNotNull(), score)
     evidence = F.least(F.greatest(score - base, F.lit(-MAX_EVIDENCE)), F.lit(MAX_EVIDENCE))
     probability = 1 / (1 + F.exp(-(F.col("evidence") + base)))
     scored = rows.withColumn("evidence", evidence).join(marks, "doc_id", "left").withColumns({
         "_host": F.coalesce("_host", F.lit("\0")), "_path": F.coalesce("_path", F.lit("\0")),
-        "_good": F.coalesce(F.col("_label").cast("double"), probability),
+        "_good": F.coalesce(F.col("_label").cast("double"), probability) if weights.any() else F.lit(None).cast("double"),
     }).drop("features", "_label")
     scored = materialise(scored)
     # Rates of sites: _bad holds what is counted, here good documents.
