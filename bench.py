@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from quillsift.plans.catalog import QUERIES
@@ -18,7 +19,7 @@ HEADLINE = [
     "perplexity_features", "extract_all_features", "class_feature_means", "dedup_exact", "cleaning_funnel",
     "build_dataset", "stratified_folds", "multi_seed_split", "chunk_pages", "tfidf_vocabulary", "tfidf_weights",
     "svd_explained_variance", "feature_histogram", "feature_boxplot", "roc_curve", "model_comparison", "train_lr",
-    "cross_validate",
+    "cross_validate", "tune_lr", "train_rf", "seed_suite", "model_suite", "detection_report", "stability_report",
 ]
 
 
@@ -28,6 +29,7 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="bench-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/documents.parquet").write.format("noop").mode("overwrite").save()

@@ -16,6 +16,9 @@ from quillsift.functions.tokens import bare_words, ngrams, word_count
 # The characters counted by ``punctuation_ratio``.
 PUNCTUATION_MARKS = ".,!?;:'\""
 
+# A word list travels with every task, so its size is checked.
+MAX_LITERAL_WORDS = 20_000
+
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
@@ -113,8 +116,11 @@ def readability_counts(df: DataFrame, text: str, easy_words: Sequence[str] | Non
     """Adds ``_words``, ``_letters``, ``_syllables``, ``_poly`` and ``_hard`` for the formulas.
 
     ``easy_words`` is a literal list of a few thousand entries at most; Spark turns membership
-    into a hash look-up, so no join is needed. Without a list no word is difficult.
+    into a hash look-up, so no join is needed. A longer list than that is refused: ``difficult_words`` joins one of
+    any size. Without a list no word is difficult.
     """
+    if easy_words is not None and len(easy_words) > MAX_LITERAL_WORDS:
+        raise ValueError(f"at most {MAX_LITERAL_WORDS} words can be held as a literal list")
     df = df.withColumn("_bare", bare_words(F.col(text)))
     df = df.withColumn("_per_word", F.transform("_bare", syllables))
     if easy_words is None:

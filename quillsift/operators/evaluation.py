@@ -122,10 +122,10 @@ def roc_curve(scored: DataFrame, groups: Sequence[str] = (), bins: int | None =
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
     corners = points.filter(first | F.col("next_pos").isNull() | turns)
-    totals = F.broadcast(
+    totals = (
         scored.groupBy(*groups).agg(_count(F.col("label") == 1).alias("_p"), _count(F.col("label") != 1).alias("_n"))
         .withColumn("_k", F.lit(0))
-    )  # one row per model
+    )
     curve = corners.withColumn("_k", F.lit(0)).join(totals, [*groups, "_k"]).select(
         *groups,
         F.col("score").cast("double").alias("threshold"),

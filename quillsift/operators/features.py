@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillsift.functions import features as per_doc, lexicon
+from quillsift.functions.features import MAX_LITERAL_WORDS
 from quillsift.functions.tokens import bare_words
 from quillsift.schemas import ALL_FEATURES
 
-# A word list travels with every task, so its size is checked. Longer lists use the joins below.
-MAX_LITERAL_WORDS = 20_000
-
 
 def easy_word_list(df: DataFrame, text: str = "normalized_text", size: int = 3000) -> list[str]:
     """The ``size`` most frequent words of the corpus, ties by word.

@@ -49,8 +49,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         for i, p in enumerate(probabilities)
     ])
     wanted = sketch.select(*group, F.explode(brackets).alias("_b")).select(*group, "_b.*")
-    # Classes x columns x probabilities rows, whatever the size of the table.
-    near = values.join(F.broadcast(wanted), group).filter(F.col("value") <= F.col("_high"))
+    near = values.join(wanted, group).filter(F.col("value") <= F.col("_high"))
     spot = [*group, "probability", "_rank"]
     # Everything below the bracket is one running count; inside it each value keeps its own.
     counted = near.groupBy(*spot, F.greatest("value", "_low").alias("_at"),
@@ -63,7 +62,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
     def statistic(rank):
         hit = (F.col("_from") <= rank) & (rank < F.col("_upto")) & ~F.col("_below")
-        return F.max(F.when(hit, F.col("_at")))
+        found = F.max(F.when(hit, F.col("_at")))
+        return F.when(found.isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).otherwise(found)
 
     picked = placed.groupBy(*spot).agg(statistic(floor).alias("_lo"), statistic(ceiling).alias("_hi"))
     share = F.col("_rank") - F.floor("_rank")

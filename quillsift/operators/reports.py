@@ -38,8 +38,7 @@ def feature_histogram(df: DataFrame, features: Sequence[str], label: str = "labe
         F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_high"),
     )
     place = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins
-    # Classes x features rows, whatever the size of the table.
-    placed = values.join(F.broadcast(ranges), group).withColumn(
+    placed = values.join(ranges, group).withColumn(
         "bin", F.least(F.floor(place), F.lit(bins - 1)).cast("int")
     )
     return placed.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -57,8 +56,7 @@ def feature_boxplot(df: DataFrame, features: Sequence[str], label: str = "label"
         *group, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3")
     )
     reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    # Classes x features rows, whatever the size of the table.
-    values = long_form(df, features, label).join(F.broadcast(box), group)
+    values = long_form(df, features, label).join(box, group)
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return values.groupBy(*group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -71,7 +69,7 @@ def boxplot_outliers(df: DataFrame, boxes: DataFrame, features: Sequence[str], l
                      whisker: float = 1.5) -> DataFrame:
     """The values outside the whiskers of ``feature_boxplot``'s result."""
     reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    values = long_form(df, features, label).join(F.broadcast(boxes.select(label, "feature", "q1", "q3")), [label, "feature"])
+    values = long_form(df, features, label).join(boxes.select(label, "feature", "q1", "q3"), [label, "feature"])
     return values.filter(~F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)).select(label, "feature", "value")
 
 

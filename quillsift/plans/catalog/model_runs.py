@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from quillsift.operators import evaluation as ev, models, splits
 from quillsift.plans.catalog import bindings as bind, sql
@@ -65,12 +67,15 @@ def train_rf(spark, sf_dir):
 
 @query("tune_lr")
 def tune_lr(spark, sf_dir):
-    return models.tune_lr(_folded(spark, sf_dir), ALL_FEATURES, max_iter=100)[1]
+    return models.tune_lr(_folded(spark, sf_dir), ALL_FEATURES)[1]
 
 
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
-    return models.cross_validate(_folded(spark, sf_dir), ALL_FEATURES, models.train_nb, model="Naive Bayes")
+    rows = _folded(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [
+        models.cross_validate(rows, ALL_FEATURES, trainer, model=name) for name, trainer in models.DEFAULT_TRAINERS.items()
+    ])
 
 
 @query("model_suite")
@@ -94,13 +99,13 @@ def predict(spark, sf_dir):
 @query("lr_abs_importance")
 def lr_abs_importance(spark, sf_dir):
     rows = bind.turn_features(spark, sf_dir)
-    return ev.topn_importance(models.lr_abs_importance(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 10)
+    return ev.topn_importance(models.lr_abs_importance(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 20)
 
 
 @query("lr_signed_importance")
 def lr_signed_importance(spark, sf_dir):
     rows = bind.turn_features(spark, sf_dir)
-    return ev.topn_signed(models.lr_coefficients(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 10)
+    return ev.topn_signed(models.lr_coefficients(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 20)
 
 
 @query("rf_importance")

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from quillsift.schemas import COMBINED_TEXT
 
 # Texts hold commas, quotes and line breaks: quotes are doubled, blanks are kept.
-_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Null is written as \N on both sides, so that an empty text stays one.
+_CSV = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "nullValue": "\\N",
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = COMBINED_TEXT, text_column: str = "content",
@@ -17,12 +21,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = COMBINED_TEX
     """Labelled texts from CSV with a declared schema.
 
     Multi-line records cannot be split, so one file is one task: keep files to some hundred
-    megabytes and stage the table as parquet once.
+    megabytes and stage the table as parquet once. A malformed record is an error.
     """
     for name in (text_column, label_column):
         if name not in schema.names:
             raise ValueError(f"column {name!r} not found in {schema.names}")
-    reader = spark.read.schema(schema).options(multiLine=True, enforceSchema=False, **_CSV)
+    reader = spark.read.schema(schema).options(multiLine=True, enforceSchema=False, mode="FAILFAST", emptyValue="", **_CSV)
     return reader.csv(path)
 
 
@@ -33,7 +37,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         F.to_json(field.name).alias(field.name) if isinstance(field.dataType, nested) else F.col(field.name)
         for field in df.schema.fields
     ]
-    df.select(*columns).write.mode(mode).options(emptyValue='""', nullValue="", **_CSV).csv(path)
+    df.select(*columns).write.mode(mode).options(emptyValue='""', **_CSV).csv(path)
 
 
 def write_stage(df: DataFrame, directory: str, stage: str, *partition_by: str) -> DataFrame:
