@@ -159,6 +159,7 @@ def cv_summary(fold_metrics: DataFrame, factor: float = 2.0) -> DataFrame:
         F.stddev_pop("value").alias("std"),
         (F.lit(factor) * F.stddev_pop("value")).alias("spread"),
         F.count(F.lit(1)).alias("folds"),
+        F.transform(F.array_sort(F.collect_list(F.struct("fold", "value"))), lambda x: x["value"]).alias("fold_values"),
     )
 
 

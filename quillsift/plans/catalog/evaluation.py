@@ -122,9 +122,13 @@ SELECT model, metric, avg(value) AS mean, stddev_pop(value) AS std, 2 * stddev_p
 FROM ({_LONG}) GROUP BY model, metric"""
 
 
-@query("cv_summary", f"SELECT model, metric, {sql.rounded(['mean', 'std', 'spread'])}, folds FROM ({_SUMMARY})")
+@query("cv_summary", f"""
+SELECT model, metric, {sql.rounded(['mean', 'std', 'spread'])}, folds, round(list_min(v), 6) AS lowest, round(list_max(v), 6) AS highest
+FROM ({_SUMMARY}) JOIN (SELECT model, metric, list(value) AS v FROM ({_LONG}) GROUP BY model, metric) USING (model, metric)""")
 def cv_summary(spark, sf_dir):
-    return ev.cv_summary(_fold_metrics(spark, sf_dir))
+    summary = ev.cv_summary(_fold_metrics(spark, sf_dir))
+    return summary.withColumns({
+        "lowest": F.array_min("fold_values"), "highest": F.array_max("fold_values")}).drop("fold_values")
 
 
 @query("best_model", f"""
