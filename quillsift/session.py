@@ -49,16 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder."""
+    return f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all that this application has staged, once no DataFrame that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder; what follows reads that.
 
     Like a checkpoint it cuts the lineage and survives lost executors. Unlike one it is columnar,
-    so a later pass that needs an id and a label does not read the texts again.
+    so a later pass that needs an id and a label does not read the texts again. It stays until ``clear_stages``,
+    since the result may be read at any time.
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
