@@ -16,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 
 # Of a cache: what drops out of it is encoded again.
-CACHE_PIECES = 700_000
-CACHE_BYTES = 64 << 20
-# A space at the text's bounds or next to other white space starts no piece of its own.
-SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-ROUGH = sorted({pair for space in SPACES for pair in (f" {space}", f"{space} ")})
+CACHE_PIECES = 400_000
+CACHE_BYTES = 48 << 20
+# White space other than blanks and line ends: such texts are cut by pattern.
+OTHER_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
 STOPS = frozenset(".,")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -41,15 +40,16 @@ class Pieces(dict):
     Two generations: when this one is full it becomes the old one, from which pieces still in use move back.
     """
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, lead: str, packed: list[bytes]):
         super().__init__()
         self.tokenizer, self.lead, self.old, self.size = tokenizer, lead, {}, 0
-        self.model = tokenizer.model
+        self.model, self.letter = tokenizer.model, lead.translate(BYTE_LETTERS)
+        self.packed = packed
 
     def turned(self) -> Pieces:
         if len(self) < CACHE_PIECES and self.size < CACHE_BYTES:
             return self
-        young = Pieces(self.tokenizer, self.lead)
+        young = Pieces(self.tokenizer, self.lead, self.packed)
         young.old, self.old = self, {}
         return young
 
@@ -58,8 +58,8 @@ class Pieces(dict):
         if ids is None:
             # Letters are one piece of the pattern, which the model can merge directly; a stop after them is another.
             if piece.isalpha():
-                data = (self.lead + piece).encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids = np.array([token.id for token in self.model.tokenize(data)], dtype="<u4").tobytes()
+                data = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = b"".join([self.packed[token.id] for token in self.model.tokenize(self.letter + data)])
             elif piece[-1:] in STOPS and piece[:-1].isalpha():
                 ids = self[piece[:-1]] + _encoded(self.tokenizer, piece[-1])
             else:
@@ -88,7 +88,8 @@ class Encoder:
             made["model"].get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
             and not split.get("add_prefix_space") and made.get("normalizer") is None
         )
-        self.first, self.later = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
+        packed = [i.to_bytes(4, "little") for i in range(self.vocabulary)]
+        self.first, self.later = Pieces(self.tokenizer, "", packed), Pieces(self.tokenizer, " ", packed)
 
     @property
     def vocabulary(self) -> int:
@@ -100,11 +101,17 @@ class Encoder:
             return b""
         if not self.by_piece:
             return _encoded(self.tokenizer, text)
-        rough = text[0] == " " or text[-1] == " " or any(pair in text for pair in ROUGH)
+        # A blank at the text's bounds or next to other white space starts no piece of its own.
+        rough = (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text
+                 or any(space in text for space in OTHER_SPACES))
         head, *pieces = CUT.split(text) if rough else text.split(" ")
         self.first, self.later = self.first.turned(), self.later.turned()
         return self.first[head] + b"".join(map(self.later.__getitem__, pieces))
 
+    def rest(self) -> None:
+        """At a task's end: the worker may go on to other work, so only the young generation stays."""
+        self.first.old, self.later.old = {}, {}
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -39,7 +39,7 @@ MARGIN = 0.17
 BLOCK = 1024
 # Ids of texts to read again are broadcast up to this size, joined by shuffle beyond.
 BROADCAST_BYTES = 64 << 20
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _random = np.random.default_rng(20240501)
 MULTIPLIERS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

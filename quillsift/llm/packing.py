@@ -29,7 +29,7 @@ from quillsift.llm.encoding import encoder, ids_of
 WINDOW = 2048
 GRAIN = 8
 DEPTH = 3
-UNIT_IDS = 8 << 20
+UNIT_IDS = 16 << 20
 # Sequence numbers of a task start here times its partition number.
 TASK_SEQUENCES = 1 << 33
 
@@ -142,7 +142,8 @@ def plan(lengths: np.ndarray, window: int = WINDOW, grain: int = GRAIN, depth: i
             for member in range(depth):
                 np.add.at(matrix, (usable[:, member], np.arange(len(usable))), 1.0)
             matrix[0] = 0
-            counts = np.floor(nnls(matrix, usable, free.astype(float)) + 1e-6).astype(np.int64)
+            # Half a document more or less changes no rounded count.
+            counts = np.floor(nnls(matrix, usable, free.astype(float), 0.5 / max(1, int(free.max()))) + 1e-6).astype(np.int64)
             for shape in np.argsort(-counts, kind="stable"):
                 if not counts[shape]:
                     break
@@ -217,6 +218,7 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 1, window: int =
                     docs, parts, held = [], [], 0
         if docs:
             yield from pieces(docs, parts, base)[0]
+        encode.rest()
 
     chosen = df.select(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`"))
     return chosen.mapInArrow(task, PIECE_SCHEMA)

@@ -115,6 +115,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                     docs, parts, held, start, number = [], [], 0, start + held, number + 1
         if docs:
             yield _block(shard, number, start, width, docs, parts)
+        encode.rest()
 
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
