@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillsift.session import materialise
+
 # Verdict, host, path.
 RULES = (
     ("block", "net", "/"),
@@ -61,8 +63,8 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 def shrunk_rates(groups: DataFrame, parents: DataFrame, parent_key: str, keep_prior: bool = False) -> DataFrame:
     """Adds ``_strength`` and ``_mean`` to groups (_n, _bad), whose parents have ``_mean``.
 
-    The prior's strength comes from one aggregate over all groups with outcomes: the weighted spread of
-    their rates about their parents' means against what binomial noise alone would give.
+    The prior's strength, one number, comes from one aggregate over all groups with outcomes: the weighted spread
+    of their rates about their parents' means against what binomial noise alone would give.
     """
     joined = groups.join(parents.select(parent_key, F.col("_mean").alias("_prior")), parent_key, "left")
     seen = F.col("_n") > 0
@@ -75,9 +77,8 @@ def shrunk_rates(groups: DataFrame, parents: DataFrame, parent_key: str, keep_pr
     room = F.col("_total") - F.col("_squares") / F.col("_total") - (F.col("_k") - 1)
     rho = F.when((F.col("_k") < 2) | (room <= 0), F.lit(RHO_DEFAULT)).otherwise(
         F.least(F.greatest((F.col("_spread") - (F.col("_k") - 1)) / room, F.lit(RHO_MIN)), F.lit(RHO_MAX)))
-    strength = moments.select(F.coalesce((1 - rho) / rho, F.lit((1 - RHO_DEFAULT) / RHO_DEFAULT)).alias("_strength"))
-    # One row: the join repeats no rows.
-    out = joined.crossJoin(F.broadcast(strength)).withColumn(
+    strength = moments.select(F.coalesce((1 - rho) / rho, F.lit((1 - RHO_DEFAULT) / RHO_DEFAULT))).first()[0]
+    out = joined.withColumn("_strength", F.lit(float(strength))).withColumn(
         "_mean", (F.col("_strength") * F.col("_prior") + F.col("_bad")) / (F.col("_strength") + F.col("_n")))
     return out if keep_prior else out.drop("_prior")
 
@@ -89,9 +90,9 @@ def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] =
     what their domain and suffix say. Without any label every mean is one half.
     """
     count = lambda what: F.coalesce(F.sum(what), F.lit(0)).cast("long")
-    hosts = outcomes.groupBy("host").agg(
+    hosts = materialise(outcomes.groupBy("host").agg(
         F.count("bad").alias("_n"), count(F.col("bad").cast("int")).alias("_bad"),
-    ).withColumns({"_domain": domain_of(F.col("host"), suffixes), "_suffix": suffix_of(F.col("host"))})
+    ).withColumns({"_domain": domain_of(F.col("host"), suffixes), "_suffix": suffix_of(F.col("host"))}))
     up = [F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad")]
     domains = hosts.groupBy("_domain", "_suffix").agg(*up)
     tops = domains.groupBy("_suffix").agg(*up).withColumn("_all", F.lit(0))

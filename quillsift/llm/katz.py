@@ -126,13 +126,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[Ch
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """(kind, item, context, n): words (0) and pairs (1) with a large share of a chunk; its tokens (2) and training tokens (3)."""
+    """(kind, item, n): words (0) and pairs (1) with a large share of a chunk; its tokens (2) and training tokens (3)."""
     for chunk in _chunks(batches, chunk_tokens):
         least = max(2.0, SHARE * len(chunk.w))
         count = np.bincount(chunk.w, minlength=len(chunk.words))
         big = count >= least
         both = np.flatnonzero(big[chunk.w] & (np.bincount(chunk.v, minlength=len(chunk.words)) >= least)[chunk.v])
-        pair, at, n = np.unique(chunk.pairs(both), return_index=True, return_counts=True)
+        pair, n = np.unique(chunk.pairs(both), return_counts=True)
         keep = n >= least
         kinds = np.concatenate([np.zeros(int(big.sum())), np.ones(int(keep.sum())), [2, 3]]).astype(np.int32)
         items = np.concatenate([chunk.words[big], pair[keep], np.zeros(2, dtype=np.uint64)])
@@ -163,7 +163,7 @@ class Known:
 
 
 def _count_known(batches: Iterator[pa.RecordBatch], known, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """(kind, item, context, word, n): training counts of the listed words and pairs in each chunk."""
+    """(kind, item, v, w, n): training counts of the listed words and pairs in each chunk."""
     lists: Known = known.value
     for chunk in _chunks(batches, chunk_tokens):
         listed = lists.word(chunk.words) >= 0

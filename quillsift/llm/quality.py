@@ -129,7 +129,8 @@ def hierarchical_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc
     }).drop("features", "_label")
     scored = materialise(scored)
     # Rates of sites: _bad holds what is counted, here good documents.
-    paths = scored.groupBy("_host", "_path").agg(F.count("_good").alias("_n"), F.coalesce(F.sum("_good"), F.lit(0.0)).alias("_bad"))
+    paths = materialise(scored.groupBy("_host", "_path").agg(
+        F.count("_good").alias("_n"), F.coalesce(F.sum("_good"), F.lit(0.0)).alias("_bad")))
     up = [F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad")]
     hosts = paths.groupBy("_host").agg(*up).withColumn("_all", F.lit(0))
     whole = hosts.groupBy("_all").agg(*up).withColumn("_mean", (F.col("_bad") + 1) / (F.col("_n") + 2))
