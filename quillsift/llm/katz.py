@@ -119,8 +119,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[Ch
             train.append(bool(flag.as_py()))
             held += len(hashes[-1]) + 1
             if held >= chunk_tokens:
-                yield Chunk(docs, hashes, train)
+                chunk = Chunk(docs, hashes, train)
                 docs, hashes, train, held = [], [], [], 0
+                yield chunk
     if docs:
         yield Chunk(docs, hashes, train)
 
@@ -461,7 +462,9 @@ def score_documents(df: DataFrame, train_column: str, id_column: str = "doc_id",
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`"), F.col(f"`{train_column}`"))
-    big = docs.mapInArrow(partial(_frequent, chunk_tokens=chunk_tokens), "kind int, item long, n long")
+    # These two passes send little, so smaller chunks cost nothing.
+    small = max(1, chunk_tokens // 3)
+    big = docs.mapInArrow(partial(_frequent, chunk_tokens=small), "kind int, item long, n long")
     big = materialise(big.groupBy("kind", "item").agg(F.sum("n").alias("n")))
     totals = {row["kind"]: row["n"] for row in big.filter("kind > 1").collect()}
     tokens, learned = totals.get(2, 0), totals.get(3, 0)
@@ -475,7 +478,7 @@ def score_documents(df: DataFrame, train_column: str, id_column: str = "doc_id",
     listed = big.filter((F.col("kind") < 2) & (F.col("n") >= SHARE * tokens)).collect()
     context = spark.sparkContext
     known = context.broadcast(Known(*keys([x for x in listed if x["kind"] == 0], "item"), *keys([x for x in listed if x["kind"] == 1], "item")))
-    exact = docs.mapInArrow(partial(_count_known, known=known, chunk_tokens=chunk_tokens), "kind int, item long, v long, w long, n long")
+    exact = docs.mapInArrow(partial(_count_known, known=known, chunk_tokens=small), "kind int, item long, v long, w long, n long")
     exact = exact.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.min("v").alias("v"), F.min("w").alias("w")).collect()
     # Words that training lacks keep a count of 0; pairs it lacks are counted like any other.
     of_words = [x for x in exact if x["kind"] == 0]
