@@ -7,7 +7,7 @@
    with two centres. Signatures drop what is far from the threshold, full sets decide.
 3. Components of these links show which buckets still hold several. There, and only there, members outside
    the bucket's largest component are compared with the members of others, block by block inside
-   tasks: a pair in the first band it shares, by signature first, on full sets after. Only links that join
+   tasks: a pair in the first band whose key it shares, by signature first, on full sets after. Only links that join
    something leave the task, so rows stay in proportion to members.
 4. Components of all links; their label is the smallest id.
 
@@ -227,17 +227,17 @@ class Groups:
 
 def _pairs_in(group: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """(roots, x, candidates) for each outside member x of a block pair: members it must still be compared with."""
-    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, BANDS, ROWS)
-    band = int(group.column("band")[0].as_py())
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, BANDS * ROWS)
+    keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, BANDS)
+    bands = group.column("band").to_numpy()
     sizes = group.column("n").to_numpy()
     roots = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
     outside = np.flatnonzero(group.column("outside").to_numpy(zero_copy_only=False))
     others = np.flatnonzero(~group.column("outside").to_numpy(zero_copy_only=False))
     for x in outside:
-        alike = sigs[others] == sigs[x]
-        # Signatures say as well which bands the two share; each pair is looked at in the first one.
-        first = ~alike[:, :band].all(axis=2).any(axis=1)
-        near = alike.mean(axis=(1, 2)) >= percent / 100 - MARGIN
+        # Each pair is looked at in the first band whose key the two share: equal bytes would not prove a common bucket.
+        first = ~(keys[others, :bands[x]] == keys[x, :bands[x]]).any(axis=1)
+        near = (sigs[others] == sigs[x]).mean(axis=1) >= percent / 100 - MARGIN
         fits = 100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])
         yield roots, int(x), others[first & near & fits & (roots[others] != roots[x])]
 
@@ -329,14 +329,14 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, words: int =
         mixed.filter("root <> main").withColumns({"i": F.col("own"), "j": F.explode(every), "outside": F.lit(True)}).select(columns)
         .unionByName(mixed.withColumns({"j": F.col("own"), "i": F.explode(every), "outside": F.lit(False)}).select(columns))
     )
-    mixed = materialise(mixed.join(classes.select("cls", "n", "sig"), "cls").select(*columns, "n", "sig"))
+    mixed = materialise(mixed.join(classes, "cls").select(*columns, "n", "sig", "bands"))
 
     def grouped(table: DataFrame) -> DataFrame:
         return table.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     flagged = materialise(grouped(mixed).mapInArrow(partial(_flag, percent=percent), "key long, cls binary").distinct())
     sets = _sets(docs, wanted(flagged.select("cls")), words)
-    left = mixed.join(flagged, ["key", "cls"], "left_semi").join(sets, "cls").select(*columns, "n", "sig", "members")
+    left = mixed.join(flagged, ["key", "cls"], "left_semi").join(sets, "cls").select(*columns, "n", "sig", "bands", "members")
     more = grouped(left).mapInArrow(partial(_join_up, percent=percent), "a binary, b binary")
 
     roots = components(links.unionByName(more)).withColumnRenamed("node", "cls")

@@ -199,6 +199,25 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_bytes_are_no_common_bucket(spark):
+    """A cloud of pairs from one template: the bytes of one pair agree in a band before the first whose bucket it shares."""
+    rng, docs, pair = np.random.default_rng(43), [], (36, 37)
+    for f in range(150):
+        base = [f"w{k}" for k in range(300)]
+        for k in rng.integers(0, 300, 3):
+            base[k] = f"f{f}_{k}"
+        for half in range(2):
+            text = list(base)
+            for k in rng.integers(0, 300, 3):
+                text[k] = f"e{f}_{half}_{k}"
+            docs.append((2 * f + half, " ".join(text)))
+    low = [minhash.minima(minhash.shingle_set(docs[i][1])) for i in pair]
+    alike = np.equal(*(np.frombuffer(minhash.signature(x), np.uint8).reshape(minhash.BANDS, -1) for x in low)).all(axis=1)
+    assert alike.argmax() < np.equal(*map(minhash.band_keys, low)).argmax()
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_groups(docs, 80)
+
+
 def test_bands_find_what_is_similar():
     assert all(1 - (1 - s ** minhash.ROWS) ** minhash.BANDS > 0.9999 for s in (0.81, 0.85, 0.9))
     a = np.arange(1000, dtype=np.uint64) * minhash.STEP
