@@ -12,7 +12,7 @@ when it lies in a passage that the same or an earlier document has word for word
 4. Matches are extended both ways: around each fingerprint that repeats, the windows that begin and those
    that end at each line are compared by the hash of all their lines. The first place of each is found by
    aggregation, so no pairs of copies are formed; later places are marked.
-5. A line is deleted when a marked window covers it. Windows that begin at each line of a repeated run,
+5. A line with words is deleted when a marked window covers it. Windows that begin at each line of a repeated run,
    and those that end at each, together cover the run to both ends.
 """
 
@@ -25,6 +25,7 @@ from quillsift.session import materialise
 
 MIN_WORDS = 50
 BLANKS = r"[\x09-\x0D\x20]+"
+WORDED = r"[^\x09-\x0D\x20]"
 
 
 def line_table(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -64,7 +65,8 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id",
                    text_column: str = "text") -> DataFrame:
-    """(``_key``, ``_id``, ``_gone``): per document with repeats, the positions of the lines to delete."""
+    """(``_key``, ``_id``, ``_gone``): per document with repeats, the positions inside repeated passages.
+    Lines without words there are not deleted."""
     windows = materialise(_windows(line_table(df, id_column, text_column), min_words))
     place = F.struct(F.col("_id"), F.col("_key"), F.col("_from"))
     # A fingerprint's occurrences: documents and the window ends around it are enough to tell one place from two.
@@ -98,9 +100,10 @@ def drop_repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, id_column: st
                       document_key(ident, text).alias("_k"), ident.alias("_i"))
     joined = keyed.join(gone, (F.col("_k") == F.col("_key")) & F.col("_i").eqNullSafe(F.col("_id")), "left")
     whole = F.col("_row")[text_column]
-    kept = F.filter(F.transform(F.split(whole, "\n"), lambda line, i: F.when(~F.array_contains("_gone", i), line)),
+    parts = F.split(whole, "\n")
+    kept = F.filter(F.transform(parts, lambda line, i: F.when(~(F.array_contains("_gone", i) & line.rlike(WORDED)), line)),
                     lambda line: line.isNotNull())
     cut = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
+    dropped = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
     return joined.select(*[cut.alias(c) if c == text_column else F.col("_row")[c].alias(c) for c in df.columns],
                          dropped.alias("n_lines_dropped"))

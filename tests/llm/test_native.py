@@ -106,6 +106,14 @@ def test_repeated_lines(spark):
     assert lines.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_blank_lines_inside_repeated_passages_stay(spark):
+    first, second = (" ".join(f"w{k}x{j}" for j in range(30)) for k in range(2))
+    docs = [(1, f"{first}\n\n \t\n{second}"), (2, f"head\n{first}\n\n{second}\ntail"), (3, f"{first}\n{second}")]
+    got = {r.doc_id: r for r in lines.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == brute_lines(docs, 50)
+    assert (got[2].text, got[3].text) == ("head\n\ntail", "") and [got[i].n_lines_dropped for i in (1, 2, 3)] == [0, 2, 2]
+
+
 def test_rows_that_are_repeated_are_one_document(spark):
     text = " ".join(f"w{j}" for j in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
