@@ -5,10 +5,10 @@ when it lies in a passage that the same or an earlier document has word for word
 
 1. Every line with words gets a hash, its position, and the words before it in its document.
 2. Winnowing: a window is the fewest lines from one on that hold ``min_words`` words; its smallest line hash
-   is its fingerprint. Equal passages have equal windows, so every passage that occurs twice shares the
-   fingerprints of all windows inside it.
-3. Fingerprints are joined to their number of occurrences. A window whose fingerprint occurs at one place only
-   has no copy and is dropped.
+   is its fingerprint, which lies where that line does. Equal passages have equal windows, so every passage
+   that occurs twice shares the fingerprints of all windows inside it.
+3. Fingerprints are joined to their places. A window whose fingerprint lies at one place only has no copy and
+   is dropped.
 4. Matches are extended both ways: around each fingerprint that repeats, the windows that begin and those
    that end at each line are compared by the hash of all their lines. The first place of each is found by
    aggregation, so no pairs of copies are formed; later places are marked.
@@ -43,7 +43,9 @@ def line_table(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """One row per window, beginning or ending at a line: ``_from``, ``_to``, ``_finger``, ``_content``."""
+    """One row per window, beginning or ending at a line: ``_from``, ``_to``, ``_finger``, ``_at``, ``_content``.
+
+    The fingerprint lies at ``_at``, its smallest line, the first of equal ones."""
     doc = Window.partitionBy("_key", "_id")
     # Word counts before each line grow strictly, so a range of them is a run of lines.
     ahead = doc.orderBy("_start").rangeBetween(0, min_words - 1)
@@ -52,7 +54,7 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     def side(over, first: Column, last: Column) -> Column:
         hashes = F.collect_list("_hash").over(over)
         return F.struct(first.alias("_from"), last.alias("_to"), F.sum("_words").over(over).alias("_total"),
-                        F.min("_hash").over(over).alias("_finger"),
+                        F.min(F.struct("_hash", "_pos")).over(over).alias("_least"),
                         F.struct(F.xxhash64(hashes).alias("a"), F.xxhash64(F.lit("b"), hashes).alias("b")).alias("_content"))
 
     sides = lines.select(
@@ -60,7 +62,16 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
         F.array(side(ahead, F.col("_pos"), F.max("_pos").over(ahead)),
                 side(back, F.min("_pos").over(back), F.col("_pos"))).alias("_sides"))
     return sides.select("_key", "_id", F.explode("_sides").alias("_w")).select("_key", "_id", "_w.*").filter(
-        F.col("_total") >= min_words).drop("_total")
+        F.col("_total") >= min_words).select(
+        "_key", "_id", "_from", "_to", F.col("_least")["_hash"].alias("_finger"), F.col("_least")["_pos"].alias("_at"), "_content")
+
+
+def _matched(windows: DataFrame) -> DataFrame:
+    """The windows whose fingerprint lies at two places or more; neighbours that share a smallest line share its place."""
+    at = F.struct("_id", "_key", "_at")
+    fingers = windows.groupBy("_finger").agg(F.min(at).alias("_low"), F.max(at).alias("_high")).filter(
+        F.col("_low") != F.col("_high")).select("_finger")
+    return windows.join(fingers, "_finger", "left_semi")
 
 
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id",
@@ -69,13 +80,7 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "
     Lines without words there are not deleted."""
     windows = materialise(_windows(line_table(df, id_column, text_column), min_words))
     place = F.struct(F.col("_id"), F.col("_key"), F.col("_from"))
-    # A fingerprint's occurrences: documents and the window ends around it are enough to tell one place from two.
-    fingers = (
-        windows.groupBy("_finger").agg(F.min(F.struct("_id", "_key", "_from", "_to")).alias("_low"),
-                                       F.max(F.struct("_id", "_key", "_from", "_to")).alias("_high"))
-        .filter(F.col("_low") != F.col("_high")).select("_finger")
-    )
-    matched = windows.join(fingers, "_finger", "left_semi")
+    matched = _matched(windows)
     first = matched.groupBy("_content").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter(
         F.col("_first") != F.col("_last"))
     marked = matched.join(first, "_content").filter(place != F.col("_first")).select("_key", "_id", "_from", "_to")

@@ -114,6 +114,19 @@ def test_blank_lines_inside_repeated_passages_stay(spark):
     assert (got[2].text, got[3].text) == ("head\n\ntail", "") and [got[i].n_lines_dropped for i in (1, 2, 3)] == [0, 2, 2]
 
 
+def test_only_windows_around_repeated_fingerprints_are_compared(spark, monkeypatch):
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    docs = [(d, "\n".join(line(100 * d + k) for k in range(30))) for d in range(20)] + [(50, line(205) + "\n" + line(206) + "\n" + line(207))]
+    compared = []
+    monkeypatch.setattr(lines, "materialise", lambda df: compared.append(df.cache()) or compared[-1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [(r._id, sorted(r._gone)) for r in lines.repeated_lines(df).collect()] == [(50, [0, 1, 2])]
+    windows = compared[0]
+    fingers = {r._finger for r in windows.filter("_id = 50").collect()}
+    got = lines._matched(windows).collect()
+    assert got and {r._finger for r in got} == fingers and len(got) < 20 < windows.count() / 20
+
+
 def test_rows_that_are_repeated_are_one_document(spark):
     text = " ".join(f"w{j}" for j in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
