@@ -3,9 +3,10 @@
 Base patterns report by their looks. The method's own kinds are reported only when the candidate, decoded,
 parses as what it claims to be:
 
-    pem       a PEM private-key block whose body is a DER or OpenSSH key
+    pem       a PEM private-key block whose body is a DER or OpenSSH key, or by its headers whole cipher blocks;
+              line ends may be escaped as in JSON
     jwt       a signed token: two base64url parts with JSON objects, the first naming an ``alg``, and a signature
-    der       base64 or hex of a DER private key (PKCS#1, PKCS#8, SEC1), nested lengths adding up exactly
+    der       base64 or hex of a DER private key (PKCS#1, PKCS#8 plain or encrypted, SEC1, DSA), nested lengths adding up exactly
     openssh   base64 of an ``openssh-key-v1`` container, nested lengths adding up exactly
 """
 
@@ -35,7 +36,13 @@ KINDS = (*BASE_KINDS, "pem", "jwt", "der", "openssh")
 # No assignment without one of these, in any case; access keys, hex and encodings lie in long runs.
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Label, headers, body. A header's value ends with its line, a backslash or dashes.
+PEM = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----"
+    r"((?:(?:\s|\\+[nrt])*[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n\\])*(?:[\r\n]|\\+[rn]))*)"
+    r"((?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/]|u003[dD]))+)-----END \1-----")
+PEM_BLANKS = re.compile(r"\s+|\\+(?:[nrt]|u003[dD]|(?=/))")
+PEM_CIPHER = re.compile(r"Proc-Type:[\x20\t]*4,[\x20\t]*ENCRYPTED.*DEK-Info:[\x20\t]*[A-Za-z0-9-]+,[\x20\t]*((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])", re.S)
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ENCODED = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
@@ -78,14 +85,25 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: SEQUENCE of a version and what PKCS#1, PKCS#8 or SEC1 put after it."""
+    """A private key: SEQUENCE of a version and what PKCS#1, PKCS#8, SEC1 or DSA put after it, or an encrypted PKCS#8."""
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     parts = der_items(outer[0][1])
-    if not parts or len(parts) < 3 or parts[0][0] != 0x02 or parts[0][1] not in (b"\x00", b"\x01"):
+    if not parts:
         return False
     tags = [tag for tag, _ in parts]
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8: algorithm with parameters (a digest has none), cipher text
+        algorithm = der_items(parts[0][1])
+        return bool(algorithm) and [tag for tag, _ in algorithm] == [0x06, 0x30] and bool(parts[1][1])
+    if len(parts) < 2 or parts[0][0] != 0x02 or parts[0][1] not in (b"\x00", b"\x01"):
+        return False
+    if tags == [0x02, 0x04]:  # SEC1 without curve and public key
+        return parts[0][1] == b"\x01"
+    if tags == [0x02] * 6:  # DSA: version and five integers
+        return parts[0][1] == b"\x00"
+    if len(parts) < 3:
+        return False
     if len(parts) >= 9 and tags[:9] == [0x02] * 9:  # PKCS#1: nine integers
         return True
     if tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8: algorithm, key
@@ -122,6 +140,13 @@ def key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def is_pem_key(headers: str, body: str) -> bool:
+    data = decode_base64(PEM_BLANKS.sub("", body))
+    if cipher := PEM_CIPHER.search(headers):  # the initial vector is as long as a block
+        return bool(data) and len(data) % (len(cipher[1]) // 2) == 0
+    return key_kind(data) is not None
+
+
 def is_signed_token(text: str) -> bool:
     header, payload, _ = text.split(".")
     found = []
@@ -152,7 +177,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     spans = []
     if "-----BEGIN" in text:
         spans += [(m.start(), m.end(), "pem") for m in PEM.finditer(text)
-                  if key_kind(decode_base64("".join(m[2].split())))]
+                  if is_pem_key(m[2], m[3])]
     for run in RUN.finditer(text):
         if run.end() - run.start() < 28:
             continue

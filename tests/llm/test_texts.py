@@ -48,6 +48,30 @@ def test_structure_decides(text, kinds):
     assert {k for _, _, k in spans} == kinds
 
 
+ENCRYPTED = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(0x30, tlv(4, b"salt"))) + tlv(4, b"c" * 64))
+DIGEST = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(5, b"")) + tlv(4, b"d" * 32))
+DSA = tlv(0x30, b"".join(tlv(2, x) for x in [b"\0", *[b"\x55" * 20] * 5]))
+SEC1 = tlv(0x30, tlv(2, b"\1") + tlv(4, b"k" * 32))
+pem = lambda label, data, headers="": f"-----BEGIN {label}-----\n{headers}{base64.encodebytes(data).decode()}-----END {label}-----"
+PROC = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+JSON_PEM = json.dumps({"private_key": PEM + "\n"})
+
+
+@pytest.mark.parametrize("text, kinds", [
+    (base64.b64encode(DSA).decode(), {"der"}), (base64.b64encode(ENCRYPTED).decode(), {"der"}), (base64.b64encode(SEC1).decode(), {"der"}),
+    (base64.b64encode(DIGEST).decode(), set()), (base64.b64encode(DSA[:-1]).decode(), set()), (JSON_PEM, {"pem"}),
+    (json.dumps(JSON_PEM), {"pem"}), (JSON_PEM.replace("MEo", "MGo"), set()), (PEM.replace("\n", "\r\n"), {"pem"}),
+    (PEM.replace("\n", "\\r\\n").replace("/", "\\/").replace("=", "\\u003d"), {"pem"}),
+    (pem("RSA PRIVATE KEY", b"\x93" * 128, PROC), {"pem"}), (json.dumps(pem("RSA PRIVATE KEY", b"\x93" * 128, PROC)), {"pem"}),
+    (pem("RSA PRIVATE KEY", b"\x93" * 127, PROC), set()), (pem("RSA PRIVATE KEY", b"\x93" * 128), set()),
+    (pem("RSA PRIVATE KEY", b"\x93" * 128, "Comment: mine\n\n"), set()), (pem("EC PRIVATE KEY", SEC1, "Comment: mine\n\n"), {"pem"}),
+    (pem("ENCRYPTED PRIVATE KEY", ENCRYPTED), {"pem"}), (pem("DSA PRIVATE KEY", DSA), {"pem"}),
+])
+def test_more_private_keys(text, kinds):
+    found = {k for _, _, k in secretscan.confirmed_spans(text)}
+    assert found - {"der"} == kinds - {"der"} and ("der" in found or "der" not in kinds) and (kinds or not found)
+
+
 def brute_spans(text):
     out = []
     for kind, pattern, fits in (
