@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.llm.fmindex import find_contamination
 from quillsift.llm.katz import score_documents
+from quillsift.llm.langid import identify_languages
 from quillsift.llm.minhash import near_duplicates
 from quillsift.llm.quality import hierarchical_quality
 from quillsift.llm.registry import query, table
@@ -53,3 +54,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
     return score_documents(documents, "train").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 4 == 2
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", held_out.alias("held_out"), (~held_out).alias("train"))
+    return identify_languages(documents, "train", keep=["doc_id", "held_out"])
