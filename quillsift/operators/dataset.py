@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillsift.functions.cleaning import strip_blank
 from quillsift.functions.tokens import word_count
 from quillsift.operators.ordering import flag_first, hash_order
+from quillsift.session import materialise
 
 # Default length limits.
 MIN_ARTICLE_CHARS = 300
@@ -86,19 +89,41 @@ def corpus_order(df: DataFrame, order: str = "ingest_order") -> list[str]:
     return [name for name in ("corpus_position", order, "text_id") if name in df.columns]
 
 
-def dedup_exact(df: DataFrame, column: str = "content", order: str | Sequence[str] = "ingest_order") -> DataFrame:
-    """Keeps the first row, by ``order`` (one column or several), of each distinct ``column`` value.
+def text_digest(text: Column) -> Column:
+    """64 bits that stand for a text; equal ones are compared as texts."""
+    return F.xxhash64(text)
 
-    Written as an aggregate, not a window: copies are merged in each map task before the
-    shuffle, so a text that makes up a third of the table reaches its reducer as one row per
-    task. Whole values are compared, so there are no hash collisions to worry about.
+
+def _later_digest(text: Column, turn: int) -> Column:
+    return F.sha2(F.concat(F.lit(f"{turn}|"), text), 256)
+
+
+def dedup_exact(df: DataFrame, column: str = "content", order: str | Sequence[str] = "ingest_order",
+                digest: Callable[[Column], Column] = text_digest) -> DataFrame:
+    """Keeps the first row, by ``order`` (one column or several), of each distinct ``column`` value; null counts as one.
+
+    Digests are counted first, in narrow rows. Rows whose digest occurs once pass where they lie. The others are
+    merged per digest in each map task, so a text that makes up a third of the table reaches its reducer as one row per
+    task; the least and the greatest text of a digest are equal only if all its texts are. Should they differ, the rows of
+    that digest are told apart by another one, until all are.
     """
-    others = [name for name in df.columns if name != column]
     order = [order] if isinstance(order, str) else list(order)
-    first = df.groupBy(column).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_first"))
-    return first.select(*[
-        F.col(name) if name == column else F.col(f"_first.{name}").alias(name) for name in df.columns
-    ])
+    columns, text = [F.col(f"`{name}`") for name in df.columns], F.col(f"`{column}`")
+    keyed = df.withColumn("_digest", F.coalesce(digest(text).cast("string"), F.lit("")))
+    repeated = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_digest")
+    kept = [keyed.join(repeated, "_digest", "left_anti").select(*columns)]
+    copies = keyed.join(repeated, "_digest", "left_semi")
+    for turn in count(1):
+        merged = materialise(copies.groupBy("_digest").agg(
+            F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_rows"),
+            F.count(text).alias("_texts"), F.min(text).alias("_least"), F.max(text).alias("_greatest")))
+        alike = F.col("_least").eqNullSafe(F.col("_greatest")) & F.col("_texts").isin(F.lit(0), F.col("_rows"))
+        kept.append(merged.filter(alike).select("_first.*"))
+        torn = merged.filter(~alike).select("_digest")
+        if torn.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        copies = copies.join(torn, "_digest", "left_semi").withColumn(
+            "_digest", F.concat_ws("|", "_digest", _later_digest(text, turn)))
 
 
 def dedup_report(df: DataFrame, column: str = "content") -> DataFrame:

@@ -189,6 +189,20 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[st
     )
 
 
+def _placed(df: DataFrame, order: Sequence[str | Column], groups: Sequence[str], keep: Sequence[str], output: str) -> DataFrame:
+    """``with_position`` with the columns ``keep`` only; no others but those of the order are moved or staged."""
+    staged = materialise(df.sort(*groups, *order).select(
+        *[F.col(f"`{name}`") for name in dict.fromkeys([*groups, *keep])],
+        F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq")))
+    keys = ["_part", *groups]
+    parts = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")).select(
+        *keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    return _join_null_safe(staged, offsets, keys).select(
+        *[F.col(f"`{name}`") for name in keep], (F.col("_seq") + F.col("_offset")).alias(output))
+
+
 def with_position(df: DataFrame, order: Sequence[str | Column], groups: Sequence[str] = (),
                   output: str = "position") -> DataFrame:
     """1-based position of each row in sorted order, dense, per group when groups are given.
@@ -197,30 +211,35 @@ def with_position(df: DataFrame, order: Sequence[str | Column], groups: Sequence
     it only lacks what lies before: rows of its group in earlier partitions, less those of other groups
     ahead in its own. Those offsets are one row per partition and group; rows are not sorted again. A null group is a group.
     """
-    staged = materialise(
-        df.sort(*groups, *order).withColumns({
-            "_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id(),
-        })
-    )
-    keys = ["_part", *groups]
-    parts = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_part")
-    before = parts.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")).select(
-        *keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
-    return _join_null_safe(staged, offsets, keys).select(*df.columns, (F.col("_seq") + F.col("_offset")).alias(output))
+    return _placed(df, order, groups, df.columns, output)
 
 
 def first_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows of the table in sort order, as a set: sort the result where order matters."""
-    return with_position(df, order, output="_position").filter(F.col("_position") <= n).drop("_position")
+    return first_n_per_group(df, [], order, n)
 
 
 def first_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in sort order; a null group is a group.
 
-    Positions come from one balanced sort, so no group, however large, and no n puts its rows in one task.
+    Rows are chosen by 16 bytes that stand for them: only these, the groups and the order are sorted and staged, in one
+    balanced sort, so no group, however large, and no n puts its rows in one task. The chosen ones are then picked out of
+    ``df``, whose other columns are not moved for any other row as long as the chosen ones are few enough to be broadcast (as
+    adaptive execution decides). Of rows that are equal in every column, as many are kept as fall among the first ``n``.
     """
-    return with_position(df, order, groups, "_n").filter(F.col("_n") <= n).drop("_n")
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    mark = {"_row": F.xxhash64(*columns), "_row2": F.xxhash64(F.lit("other seed"), *columns)}
+    places = _placed(df.withColumns(mark), order, groups, [*mark], "_place")
+    chosen = materialise(places.groupBy(*mark).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum((F.col("_place") <= n).cast("long")).alias("_kept")).filter("_kept > 0"))
+    marked = df.withColumns(mark)
+    first = marked.join(chosen.filter("_kept = _rows"), [*mark], "left_semi").select(*columns)
+    torn = chosen.filter("_kept < _rows")
+    if torn.isEmpty():
+        return first
+    # Equal rows of which only some are among the first: one of them, as often as needed.
+    equal = marked.join(torn, [*mark]).groupBy(*columns, "_kept").agg(F.count(F.lit(1)).alias("_n"))
+    return first.unionByName(equal.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_kept")))).select(*columns))
 
 
 def shuffle_rows(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillsift.operators.dataset import chunk_pages, filter_min_chars, filter_short_response, topic_title
-from quillsift.operators.ordering import first_n_per_group, with_position
+from quillsift.operators.ordering import first_n, first_n_per_group, with_position
 from quillsift.schemas import GENERATED_TEXT, HUMAN_TEXT
 
 # Id prefixes, sources and methods of the records.
@@ -22,7 +22,7 @@ RESPONSE_PREFIX, RESPONSE_SOURCE, RESPONSE_METHOD = "ai_gemini", "google_gemini_
 
 def _records(df: DataFrame, schema: T.StructType, order: Sequence[str | Column], total: int, prefix: str) -> DataFrame:
     """The first ``total`` rows in order, numbered from 0, in the columns of ``schema``."""
-    placed = with_position(df, order, output="_position").filter(F.col("_position") <= total)
+    placed = with_position(first_n(df, order, total), order, output="_position")
     named = placed.withColumn("text_id", F.format_string(f"{prefix}_%04d", F.col("_position") - F.lit(1)))
     return named.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields])
 

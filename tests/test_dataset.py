@@ -1,10 +1,12 @@
 """Copies, length limits, chunks, log summaries and sources on hand-written rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillsift import session
 from quillsift.operators import dataset, summaries
 from quillsift.plans import build
 from quillsift.sources import articles, files
@@ -21,11 +23,26 @@ def test_first_copy_wins(spark):
     assert (report.n_rows, report.n_distinct, report.n_removed) == (4, 2, 2)
 
 
-def test_hot_text_is_merged_before_the_shuffle(spark):
+def test_hot_text_is_merged_before_the_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(dataset, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or session.materialise(df))
     df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(900)], "ingest_order int, content string")
     kept = dataset.dedup_exact(df)
     assert kept.count() == 601
-    assert "partial_min_by" in kept._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 1 and "partial_min_by" in plans[0]
+    for plan in (plans[0], kept._jdf.queryExecution().executedPlan().toString()):
+        keys = re.findall(r"(?:Sort \[|keys=\[|hashpartitioning\()([^\])]*)", plan)
+        assert keys and not any("content" in key for key in keys)
+
+
+@pytest.mark.parametrize("digest", [F.length, lambda text: F.lit(1), lambda text: F.substring(text, 1, 1), dataset.text_digest])
+def test_texts_that_share_a_digest_are_told_apart(spark, digest):
+    texts = ["a", "b", None, "", "a", "ab", "ac", None, "ab", "b", "zz", "", "a"]
+    df = spark.createDataFrame([(i, t, 7, "clash") for i, t in enumerate(texts)], "ingest_order int, content string, _rows int, `a b` string").repartition(3)
+    got = {(r.ingest_order, r.content) for r in dataset.dedup_exact(df, digest=digest).collect()}
+    assert got == {(i, t) for i, t in enumerate(texts) if t not in texts[:i]}
+    assert dataset.dedup_exact(df, digest=digest).columns == df.columns
+    assert dataset.dedup_exact(df.limit(0), digest=digest).count() == 0
 
 
 def test_length_limits(spark):

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quillsift import session
 from quillsift.operators import ordering, splits
 from quillsift.operators.dataset import balance_classes
 
@@ -77,6 +78,30 @@ def test_first_rows(table, n):
     }
 
 
+@pytest.mark.parametrize("n", [0, 1, 4, 9, 100])
+def test_first_rows_among_ties_and_copies(spark, n):
+    rows = [(None if i % 4 == 0 else i % 2, i // 5, "x" * (i % 3)) for i in range(60)] + [(0, 1, "copy")] * 7
+    df = spark.createDataFrame(rows, "g int, k int, t string").repartition(4)
+    got = [tuple(r) for r in ordering.first_n_per_group(df, ["g"], ["k", F.desc("t")], n).collect()]
+    expected = []
+    for g in (None, 0, 1):
+        expected += sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], [-ord(c) for c in r[2]] + [0]))[:n]
+    by = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(got, key=by) == sorted(expected, key=by)
+
+
+def test_choosing_the_first_rows_sorts_no_texts(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(ordering, "materialise", lambda df: staged.append(df) or session.materialise(df))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = ordering.first_n_per_group(docs, ["source"], ["lang", F.desc("doc_id")], 3)
+    assert first.count() == 3 * docs.select("source").distinct().count()
+    assert all("text" not in df.columns for df in staged)
+    for df in staged:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Sort" in line and "text#" in line]
+
+
 @pytest.mark.parametrize("n", [3, 1001, 20000])
 def test_null_groups_are_groups(spark, n):
     rows = spark.createDataFrame([(i, None if i % 2 else "q") for i in range(10)], "id int, g string")
