@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillsift.operators.moments import pair_moments
 from quillsift.operators.ordering import sample_n
 from quillsift.operators.quantiles import exact_quantiles, long_form
 
@@ -73,54 +71,27 @@ def boxplot_outliers(df: DataFrame, boxes: DataFrame, features: Sequence[str], l
     return values.filter(~F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)).select(label, "feature", "value")
 
 
-def _known(name: str) -> Column:
-    value = F.col(name).cast("double")
-    return F.when(~F.isnan(value), value)
-
-
-def correlation_matrix(df: DataFrame, features: Sequence[str], complete: bool = False) -> DataFrame:
+def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature_x, feature_y, correlation) for every ordered pair, null for a constant column.
 
-    Missing values are left out pair by pair. Set ``complete`` when there are none (as after
-    ``sanitize_numeric``): variances are then shared between pairs, which is far less work.
+    Missing values (null, NaN) are left out pair by pair. One pass finds means, a second one all pairs at once.
     """
-    values = df.select(*[_known(name).alias(name) for name in features])
-    pairs = list(combinations(features, 2))
-
-    def variance(name: str, other: str) -> Column:
-        return F.var_pop(name if complete else F.when(F.col(other).isNotNull(), F.col(name)))
-
-    shared = [variance(name, name).alias(f"v_{name}") for name in features]
-    per_pair = []
-    for x, y in pairs:
-        per_pair.append(F.covar_pop(x, y).alias(f"c_{x}|{y}"))
-        if not complete:
-            per_pair += [variance(x, y).alias(f"v_{x}|{y}"), variance(y, x).alias(f"v_{y}|{x}")]
-    sums = values.agg(*shared, *per_pair)
-
-    def entry(x: str, y: str) -> list[Column]:
-        def column(name: str) -> Column:
-            return F.col(f"`{name}`")
-
-        if x == y:
-            value = F.when(column(f"v_{x}") > 0, F.lit(1.0))
-            return [F.struct(F.lit(x).alias("feature_x"), F.lit(y).alias("feature_y"), value.alias("correlation"))]
-        vx, vy = (f"v_{x}", f"v_{y}") if complete else (f"v_{x}|{y}", f"v_{y}|{x}")
-        spread = F.sqrt(column(vx)) * F.sqrt(column(vy))
-        value = F.try_divide(column(f"c_{x}|{y}"), spread)
-        return [
-            F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"), value.alias("correlation"))
-            for a, b in ((x, y), (y, x))
-        ]
-
-    entries = [cell for x in features for cell in entry(x, x)] + [cell for x, y in pairs for cell in entry(x, y)]
-    return sums.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
-
-
-def correlation_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The matrix in one cell, by ``pyspark.ml.stat``: for many complete columns."""
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
-    return Correlation.corr(vectors.select("features"), "features")
+    known = df.select(*[F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, name in enumerate(features)])
+    means = known.agg(*[F.avg(name).alias(name) for name in known.columns]).first()
+    sums = pair_moments(df, features, [0.0 if mean is None else mean for mean in means])
+    n = F.col("n")
+
+    def spread(a: str, b: str) -> Column:
+        return F.col(f"sum_{a}{b}") / n - F.col(f"sum_{a}") / n * (F.col(f"sum_{b}") / n)
+
+    varies = (n > 0) & (F.col("low_x") < F.col("high_x")) & (F.col("low_y") < F.col("high_y"))
+    value = F.when(varies, F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(
+        F.try_divide(spread("x", "y"), F.sqrt(spread("x", "x")) * F.sqrt(spread("y", "y")))))
+    name = F.array(*[F.lit(feature) for feature in features])
+    both = F.array(F.struct(F.col("x").alias("i"), F.col("y").alias("j")), F.struct(F.col("y").alias("i"), F.col("x").alias("j")))
+    cells = sums.withColumn("correlation", value).withColumn("_cell", F.explode(F.array_distinct(both)))
+    return cells.select(
+        F.get(name, F.col("_cell.i").cast("int")).alias("feature_x"), F.get(name, F.col("_cell.j").cast("int")).alias("feature_y"), "correlation")
 
 
 def feature_pairs(df: DataFrame, feature1: str, feature2: str, label: str = "label",

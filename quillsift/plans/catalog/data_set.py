@@ -62,12 +62,12 @@ SELECT doc_id, query FROM (
   WHERE lang <> 'fr'
     AND length(coalesce(string_split(text, chr(10))[1], '') || '. '
       || coalesce(CASE WHEN lang <> 'es' THEN string_split(text, chr(10))[2] END, '') || ' ' || text) > 300
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10
-) ORDER BY query, doc_id LIMIT 150""")
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 33
+) ORDER BY query, doc_id LIMIT 500""")
 def global_cap(spark, sf_dir):
-    """Ten articles for each of 15 places, all queries offered, 150 in total."""
+    """An equal share for each of 15 places, all queries offered, 500 in total."""
     flat = articles.flatten_articles(articles.parse_responses(bind.landed_responses(spark, sf_dir)))
-    return articles.collect_articles(flat, 15, 150, ["doc_id"]).select("doc_id", "query")
+    return articles.collect_articles(flat, 15, 500, ["doc_id"]).select("doc_id", "query")
 
 
 @query("shuffle_rows", f"""

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillsift.functions import features as per_doc
 from quillsift.operators import evaluation as ev, reports
 from quillsift.operators.features import extract_all_features
 from quillsift.operators.matrix import sanitize_numeric
 from quillsift.plans.catalog import bindings as bind, sql
 from quillsift.plans.catalog.registry import query
-from quillsift.schemas import ALL_FEATURES, STATISTICAL_FEATURES
+from quillsift.schemas import ALL_FEATURES
 
 # --- scored rows ------------------------------------------------------------------------------
 
@@ -149,20 +148,20 @@ def seed_sensitivity(spark, sf_dir):
 
 # --- features by class ------------------------------------------------------------------------
 
-_STAT = f"""{sql.prepared(sql.TURNS)},{sql.STATISTICAL},
-feats AS (SELECT label, stat.* FROM stat JOIN src USING (id))"""
-_STAT_LONG = f"""{_STAT},
-long AS (UNPIVOT (SELECT label, {', '.join(STATISTICAL_FEATURES)} FROM feats) ON COLUMNS(* EXCLUDE (label)) INTO NAME feature VALUE value)"""
+# Sums of logarithms and shares differ in their last bits between engines: nine decimals decide on bins, quartiles and ties.
+_FEATS = f"""{sql.all_features(sql.TURNS)}"""
+_NINE = ", ".join(f"round({name}, 9) AS {name}" for name in ALL_FEATURES)
+_LONG = f"""{_FEATS},
+long AS (UNPIVOT (SELECT label, {_NINE} FROM feats) ON COLUMNS(* EXCLUDE (label)) INTO NAME feature VALUE value)"""
 
 
-def _statistical(spark, sf_dir):
-    return per_doc.statistical_features(bind.prepared_turns(spark, sf_dir)).select("text_id", "label", *STATISTICAL_FEATURES)
+def _features(spark, sf_dir):
+    """All 29 features of all turns, staged."""
+    return bind.turn_features(spark, sf_dir)
 
 
-def _staged(spark, sf_dir):
-    from quillsift.session import materialise
-
-    return materialise(_statistical(spark, sf_dir))
+def _rounded(spark, sf_dir):
+    return _features(spark, sf_dir).select("text_id", "label", *[F.round(name, 9).alias(name) for name in ALL_FEATURES])
 
 
 @query("class_feature_means", f"""{sql.all_features(sql.TURNS)},
@@ -173,7 +172,7 @@ def class_feature_means(spark, sf_dir):
     return reports.class_feature_means(features, ALL_FEATURES)
 
 
-@query("feature_histogram", f"""{_STAT_LONG},
+@query("feature_histogram", f"""{_LONG},
 ends AS (
   SELECT label, feature, CASE WHEN min(value) = max(value) THEN min(value) - 0.5::DOUBLE ELSE min(value) END AS low,
     CASE WHEN min(value) = max(value) THEN max(value) + 0.5::DOUBLE ELSE max(value) END AS high
@@ -182,10 +181,10 @@ ends AS (
 SELECT label, feature, least(floor((value - low) / (high - low) * 30), 29)::BIGINT AS bin, count(*) AS n
 FROM long JOIN ends USING (label, feature) GROUP BY ALL""")
 def feature_histogram(spark, sf_dir):
-    return reports.feature_histogram(_staged(spark, sf_dir), STATISTICAL_FEATURES)
+    return reports.feature_histogram(_rounded(spark, sf_dir), ALL_FEATURES)
 
 
-_BOX = f"""{_STAT_LONG},
+_BOX = f"""{_LONG},
 box AS (
   SELECT label, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
     quantile_cont(value, 0.75) AS q3 FROM long GROUP BY label, feature
@@ -201,48 +200,53 @@ SELECT label, feature, {sql.rounded(['q1', 'median', 'q3'])}, round(min(value) F
   round(max(value) FILTER (inside), 6) AS whisker_high, count(*) FILTER (NOT inside) AS outliers
 FROM placed GROUP BY label, feature, q1, median, q3""")
 def feature_boxplot(spark, sf_dir):
-    return reports.feature_boxplot(_staged(spark, sf_dir), STATISTICAL_FEATURES)
+    return reports.feature_boxplot(_rounded(spark, sf_dir), ALL_FEATURES)
 
 
 @query("boxplot_outliers", f"{_BOX}\nSELECT label, feature, round(value, 6) AS value FROM placed WHERE NOT inside")
 def boxplot_outliers(spark, sf_dir):
-    rows = _staged(spark, sf_dir)
-    boxes = reports.feature_boxplot(rows, STATISTICAL_FEATURES)
-    return reports.boxplot_outliers(rows, boxes, STATISTICAL_FEATURES)
+    rows = _rounded(spark, sf_dir)
+    boxes = reports.feature_boxplot(rows, ALL_FEATURES)
+    return reports.boxplot_outliers(rows, boxes, ALL_FEATURES)
 
 
-_PAIRS = ["avg_word_length", "vocabulary_richness", "punctuation_ratio", "comma_count", "paragraph_count", "sentence_length_std"]
+def _gappy(name: str) -> str:
+    """Zeros of a feature count as missing."""
+    return f"nullif({name}, 0)"
 
 
 def _corr(x: str, y: str) -> str:
-    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) * stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END), 0)"
+
+
+def _correlations(source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, round({_corr(x, y)}, 6) AS correlation FROM {source}"
+        for x in ALL_FEATURES for y in ALL_FEATURES)
 
 
-@query("correlation_matrix", f"""{_STAT}
-""" + " UNION ALL ".join(
-    f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, round({_corr(x, y)}, 6) AS correlation FROM feats"
-    for x in _PAIRS for y in _PAIRS
-))
+@query("correlation_matrix", f"""{_FEATS},
+gappy AS MATERIALIZED (SELECT {', '.join(f"{_gappy(name)} AS {name}" for name in ALL_FEATURES)} FROM feats)
+{_correlations('gappy')}""")
 def correlation_matrix(spark, sf_dir):
-    return reports.correlation_matrix(_statistical(spark, sf_dir), _PAIRS)
+    """All features, zeros counting as missing, so that pairs differ in their rows."""
+    rows = _features(spark, sf_dir).select(*[F.nullif(name, F.lit(0.0)).alias(name) for name in ALL_FEATURES])
+    return reports.correlation_matrix(rows, ALL_FEATURES)
 
 
-@query("correlation_matrix_complete", f"""{_STAT}
-""" + " UNION ALL ".join(
-    f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, round({_corr(x, y)}, 6) AS correlation FROM feats"
-    for x in STATISTICAL_FEATURES for y in STATISTICAL_FEATURES
-))
+@query("correlation_matrix_complete", f"""{_FEATS},
+whole AS MATERIALIZED (SELECT {', '.join(ALL_FEATURES)} FROM feats)
+{_correlations('whole')}""")
 def correlation_matrix_complete(spark, sf_dir):
-    rows = sanitize_numeric(_statistical(spark, sf_dir), STATISTICAL_FEATURES)
-    return reports.correlation_matrix(rows, STATISTICAL_FEATURES, complete=True)
+    return reports.correlation_matrix(sanitize_numeric(_features(spark, sf_dir), ALL_FEATURES), ALL_FEATURES)
 
 
-@query("feature_pairs", f"{_STAT}\nSELECT label, {sql.rounded(['avg_word_length', 'vocabulary_richness'])} FROM feats")
+@query("feature_pairs", f"{_FEATS}\nSELECT label, {sql.rounded(['avg_word_length', 'vocabulary_richness'])} FROM feats")
 def feature_pairs(spark, sf_dir):
-    return reports.feature_pairs(_statistical(spark, sf_dir), "avg_word_length", "vocabulary_richness")
+    return reports.feature_pairs(_features(spark, sf_dir), "avg_word_length", "vocabulary_richness")
 
 
-_GAPS = f"""{_STAT_LONG},
+_GAPS = f"""{_LONG},
 gaps AS (
   SELECT feature, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS coefficient FROM long GROUP BY feature
 )"""
@@ -250,7 +254,7 @@ gaps AS (
 
 def _gaps(spark, sf_dir):
     """The difference of class means stands in for a coefficient."""
-    means = reports.class_feature_means(_statistical(spark, sf_dir), STATISTICAL_FEATURES)
+    means = reports.class_feature_means(_rounded(spark, sf_dir), ALL_FEATURES)
     sign = F.when(F.col("label") == 1, F.col("mean")).otherwise(-F.col("mean"))
     return means.groupBy("feature").agg(F.round(F.sum(sign), 9).alias("coefficient"))
 

@@ -56,6 +56,28 @@ def test_constant_columns(spark):
     assert bins == {(0, "a", 15): 2, (1, "a", 15): 1}
 
 
+def test_correlations_with_gaps(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) * [1, 1e-6, 1e6, 1, 1] + [0, 0, 1e9, 1e5, 0]
+    values[rng.random(values.shape) < [0.0, 0.3, 0.3, 0.0, 0.6]] = np.nan
+    values[:, 4] = np.where(np.isnan(values[:, 4]), np.nan, 7.5)
+    values = np.column_stack([values, np.where(values[:, 1] > 0, 3.25, values[:, 0]), np.full(400, np.nan)])
+    names = [f"c {i}" for i in range(values.shape[1])]
+    rows = [[None if np.isnan(v) and i % 2 else float(v) for v in row] for i, row in enumerate(values)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(7)
+    got = {(r.feature_x, r.feature_y): r.correlation for r in reports.correlation_matrix(df, names).collect()}
+    assert len(got) == len(names) ** 2
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+            a, b = values[both, i], values[both, j]
+            if not len(a) or a.min() == a.max() or b.min() == b.max():
+                assert got[x, y] is None
+            else:
+                assert got[x, y] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+    assert {r.correlation for r in reports.correlation_matrix(df.limit(0), names).collect()} <= {None}
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "label int, prediction int, score double")
 
