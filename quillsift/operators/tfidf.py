@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillsift.functions.tokens import term_words, terms
 
@@ -38,82 +36,126 @@ def tfidf_vocabulary(df: DataFrame, text: str = "normalized_text", max_features:
         ).alias("_m")
     ).select("_m.*").filter(F.col("term").isNotNull())
     counts = marked.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df"))
-    total = df.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_k", F.lit(0))
+    n_docs = df.count()
     return (
-        counts.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")  # a single row
+        counts.withColumn("n_docs", F.lit(n_docs).cast("long"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
         .orderBy(F.desc("tf"), "term").limit(max_features)
     )
 
 
+_CUT = "\u0001"
+
+
+def _constants(values: Sequence, kind: str) -> Column:
+    """An array as one constant of the plan."""
+    return F.split(F.lit(_CUT.join(map(str, values))), _CUT).cast(f"array<{kind}>")
+
+
 def tfidf_vectors(df: DataFrame, vocabulary: DataFrame, text: str = "normalized_text", max_n: int = MAX_N,
                   output: str = "tfidf") -> tuple[DataFrame, list[str]]:
-    """Adds a sparse unit-length vector of (1 + ln tf) * idf; returns the terms in its order.
+    """Adds the non-zero weights (1 + ln tf) * idf of unit length, as ``indices`` and ``values``; returns the terms in their order.
 
-    The vocabulary is at most ``max_features`` rows and goes to the driver; the documents are
-    weighted where they lie, with no shuffle.
+    The vocabulary is at most ``max_features`` rows and goes to the driver; the documents are weighted where they lie, with
+    no shuffle and nothing as wide as the vocabulary in a row. A text without known terms has no indices.
     """
     rows = sorted(vocabulary.collect(), key=lambda row: row["term"])
     if not rows:
         raise ValueError("no term is frequent enough for the vocabulary")
     names = [row["term"] for row in rows]
-    idf = F.array(*[F.lit(math.log((1 + row["n_docs"]) / (1 + row["df"])) + 1) for row in rows])
+    idf = _constants([repr(math.log((1 + row["n_docs"]) / (1 + row["df"])) + 1) for row in rows], "double")
     counter = CountVectorizerModel.from_vocabulary(names, inputCol="_terms", outputCol="_counts")
     words = df.withColumn("_words", term_words(F.col(text)))
     counted = counter.transform(words.withColumn("_terms", terms(F.col("_words"), max_n)))
-    weights = F.zip_with(
-        vector_to_array("_counts"), idf,
-        lambda count, factor: F.when(count > 0, (F.lit(1.0) + F.ln(count)) * factor).otherwise(F.lit(0.0)),
-    )
-    weighted = counted.withColumn("_weights", array_to_vector(weights))
-    # The assembler stores a mostly-zero vector sparsely; the normaliser keeps it so.
-    sparse = VectorAssembler(inputCols=["_weights"], outputCol="_sparse").transform(weighted)
-    unit = Normalizer(p=2.0, inputCol="_sparse", outputCol=output).transform(sparse)
-    return unit.drop("_words", "_terms", "_counts", "_weights", "_sparse"), names
+    # A count vector is sparse; its fields are read as they are.
+    parts = counted.withColumn("_counts", F.unwrap_udt("_counts")).withColumn("_raw", F.zip_with(
+        "_counts.indices", "_counts.values", lambda i, count: (F.lit(1.0) + F.ln(count)) * F.get(idf, i)))
+    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, w: total + w * w))
+    unit = parts.withColumn("_length", length).withColumn(output, F.struct(
+        F.col("_counts.indices").alias("indices"), F.transform("_raw", lambda w: w / F.col("_length")).alias("values")))
+    return unit.drop("_words", "_terms", "_counts", "_raw", "_length"), names
+
+
+def tfidf_entries(vectors: DataFrame, *keep: str, column: str = "tfidf") -> DataFrame:
+    """(keep, index, weight): one row per non-zero weight."""
+    pairs = F.explode(F.arrays_zip(F.col(f"{column}.indices").alias("index"), F.col(f"{column}.values").alias("weight")))
+    return vectors.select(*keep, pairs.alias("_pair")).select(*keep, "_pair.index", "_pair.weight")
 
 
 def tfidf_weights(vectors: DataFrame, names: list[str], id_column: str = "text_id",
                   column: str = "tfidf") -> DataFrame:
     """The long form (id, term, weight) of the non-zero entries."""
-    entries = vectors.select(id_column, F.posexplode(vector_to_array(column)).alias("_pos", "weight"))
-    term = F.get(F.array(*[F.lit(name) for name in names]), F.col("_pos"))
-    return entries.filter(F.col("weight") > 0).select(id_column, term.alias("term"), "weight")
+    return tfidf_entries(vectors, id_column, column=column).select(
+        id_column, F.get(_constants(names, "string"), F.col("index")).alias("term"), "weight")
 
 
 # Fixed value: number of components.
 N_COMPONENTS = 100
+# Documents multiplied at a time inside a task.
+PANEL = 512
+
 
+def _panels(column: pa.StructArray, width: int) -> Iterator[np.ndarray]:
+    """The weights of a batch, some hundred documents at a time, as matrices."""
+    indices, values = column.field("indices"), column.field("values")
+    for at in range(0, len(column), PANEL):
+        index, value = indices.slice(at, PANEL), values.slice(at, PANEL)
+        sizes = pc.list_value_length(index).fill_null(0).to_numpy(zero_copy_only=False)
+        panel = np.zeros((len(index), width))
+        panel[np.repeat(np.arange(len(index)), sizes), index.flatten().to_numpy(zero_copy_only=False)] = value.flatten().to_numpy(zero_copy_only=False)
+        yield panel
 
-def svd_reduce(vectors: DataFrame, n_components: int = N_COMPONENTS, column: str = "tfidf",
+
+def gram_matrix(vectors: DataFrame, width: int, column: str = "tfidf") -> np.ndarray:
+    """The sum of the outer products of all documents: one matrix per partition, merged in a tree on the executors.
+
+    Its size depends on the vocabulary only (8 MB for 1000 terms).
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for panel in _panels(batch.column(0), width):
+                total += panel.T @ panel
+        yield pa.RecordBatch.from_pydict({"gram": pa.array([total.tobytes()], pa.binary())})
+
+    parts = vectors.select(column).mapInArrow(task, "gram binary").rdd.map(lambda row: np.frombuffer(row["gram"]))
+    total = parts.treeAggregate(np.zeros(width * width), lambda a, b: a + b, lambda a, b: a + b)
+    return total.reshape(width, width)
+
+
+def svd_reduce(vectors: DataFrame, width: int, n_components: int = N_COMPONENTS, column: str = "tfidf",
                output: str = "svd") -> tuple[DataFrame, np.ndarray]:
     """Adds U*S of the uncentred truncated SVD as an array; returns V (columns are components).
 
-    One pass sums the columns' Gram matrix over executors in a tree. Its size depends on the
-    vocabulary only (8 MB for 1000 terms), so its eigenvectors are found on the driver; Spark's
-    own SVD would pass over the rows hundreds of times at this width. Signs are fixed so that
-    each component's largest loading is positive. The projection is one matrix product per
-    Arrow batch. ``vectors`` is read twice: stage it first.
+    ``width`` is the number of terms. The eigenvectors of the Gram matrix are found on the driver; Spark's own SVD would pass
+    over the rows hundreds of times at this width. Signs are fixed so that each component's largest loading is positive. The
+    projection is a matrix product per some hundred documents. ``vectors`` is read twice: stage it first.
     """
-    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(column), column))
-    _, eigenvectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
+    _, eigenvectors = np.linalg.eigh(gram_matrix(vectors, width, column))
     basis = eigenvectors[:, ::-1][:, :n_components]
     peaks = basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])]
     basis = np.ascontiguousarray(basis * np.where(peaks < 0, -1.0, 1.0))
+    others = [name for name in vectors.columns if name != output]
+    place = others.index(column)
+    shared = vectors.sparkSession.sparkContext.broadcast(basis)  # vocabulary x components
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(np.vstack(batch.to_numpy()) @ basis)) if len(batch) else batch
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [(panel @ shared.value).ravel() for panel in _panels(batch.column(place), width)]
+            flat = np.concatenate(flat) if flat else np.zeros(0)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * shared.value.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*others, output])
 
-    return vectors.withColumn(output, project(vector_to_array(column))), basis
+    rows = vectors.select(*[F.col(f"`{name}`") for name in others])
+    return rows.mapInArrow(task, T.StructType([*rows.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])), basis
 
 
 def svd_explained_variance(reduced: DataFrame, original: str = "tfidf", output: str = "svd") -> DataFrame:
-    """Variance kept by the components as a share of the variance of the input columns."""
-    variances = reduced.select(
-        F.col(original).alias("_x"), array_to_vector(output).alias("_z")
-    ).select(Summarizer.variance(F.col("_x")).alias("_vx"), Summarizer.variance(F.col("_z")).alias("_vz"))
-
-    def total(column: str):
-        return F.aggregate(vector_to_array(column), F.lit(0.0), lambda acc, v: acc + v)
-
-    return variances.select(F.try_divide(total("_vz"), total("_vx")).alias("explained_variance"))
+    """The variance of the weights, that of the components, and the share that these keep; all columns added up."""
+    n = F.lit(reduced.count())
+    places = tfidf_entries(reduced, column=original).groupBy("index").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
+    weights = places.agg(F.sum((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)).alias("total_variance"), F.lit(None).cast("double").alias("kept_variance"))
+    components = reduced.select(F.posexplode(output).alias("component", "value")).groupBy("component").agg(F.var_samp("value").alias("v"))
+    kept = components.agg(F.lit(None).cast("double").alias("total_variance"), F.sum("v").alias("kept_variance"))
+    both = weights.unionByName(kept).agg(F.max("total_variance").alias("total_variance"), F.max("kept_variance").alias("kept_variance"))
+    return both.withColumn("explained_variance", F.try_divide("kept_variance", "total_variance"))

@@ -128,27 +128,55 @@ def _tfidf(spark, sf_dir):
     return tfidf.tfidf_vectors(texts, tfidf.tfidf_vocabulary(texts))
 
 
-@query("tfidf_weights", f"""{_TERMS},
+_WEIGHTS = f"""{_TERMS},
 counted AS (SELECT id, term, count(*) AS c FROM trm WHERE term IN (SELECT term FROM vocab) GROUP BY id, term),
 raw AS (
   SELECT id, term, (1 + ln(c)) * (ln((1 + n_docs) / (1 + df)) + 1) AS w FROM counted JOIN vocab USING (term)
-)
-SELECT id AS doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw""")
+),
+unit AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)"""
+
+
+@query("tfidf_weights", f"{_WEIGHTS}\nSELECT id AS doc_id, term, round(w, 6) AS weight FROM unit")
 def tfidf_weights(spark, sf_dir):
     return tfidf.tfidf_weights(*_tfidf(spark, sf_dir), "doc_id")
 
 
-def _reduced(spark, sf_dir):
-    vectors, _ = _tfidf(spark, sf_dir)
-    return tfidf.svd_reduce(materialise(vectors.select("doc_id", "tfidf")))
+def _reduced(spark, sf_dir, n_components=None):
+    """All components where no number is given."""
+    vectors, names = _tfidf(spark, sf_dir)
+    return tfidf.svd_reduce(materialise(vectors.select("doc_id", "tfidf")), len(names), n_components or len(names))[0]
 
 
-@query("svd_reduce")
+@query("svd_reduce", f"""{_WEIGHTS},
+near AS (SELECT a.id, sum(a.w * b.w) AS dot FROM unit a JOIN unit b ON b.id = a.id + 1 AND b.term = a.term GROUP BY a.id)
+SELECT src.id AS doc_id, round(coalesce(sum(w * w), 0), 6)::DOUBLE AS energy, round(coalesce(any_value(dot), 0), 6)::DOUBLE AS next_similarity
+FROM src LEFT JOIN unit ON unit.id = src.id LEFT JOIN near ON near.id = src.id GROUP BY src.id""")
 def svd_reduce(spark, sf_dir):
-    reduced, _ = _reduced(spark, sf_dir)
-    return reduced.select("doc_id", F.posexplode("svd").alias("component", "value"))
+    """All components turn the weights without changing lengths or angles: each document's length and its product with the next."""
+    reduced = materialise(_reduced(spark, sf_dir).select("doc_id", "svd"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, v: total + v)
+
+    after = reduced.select((F.col("doc_id") - 1).alias("doc_id"), F.col("svd").alias("_next"))
+    return reduced.join(after, "doc_id", "left").select(
+        "doc_id", dot("svd", "svd").alias("energy"), F.coalesce(dot("svd", "_next"), F.lit(0.0)).alias("next_similarity"))
 
 
-@query("svd_explained_variance")
+@query("svd_components")
+def svd_components(spark, sf_dir):
+    """The coordinates of all documents in the first hundred components."""
+    return _reduced(spark, sf_dir, tfidf.N_COMPONENTS).select("doc_id", F.posexplode("svd").alias("component", "value"))
+
+
+@query("svd_explained_variance", f"""{_WEIGHTS},
+spread AS (SELECT (sum(w * w) - pow(sum(w), 2) / (SELECT count(*) FROM src)) / ((SELECT count(*) FROM src) - 1) AS v FROM unit GROUP BY term)
+SELECT round(sum(v), 6) AS total_variance, round(sum(v), 6) AS kept_variance, 1.0::DOUBLE AS explained_variance FROM spread""")
 def svd_explained_variance(spark, sf_dir):
-    return tfidf.svd_explained_variance(_reduced(spark, sf_dir)[0])
+    """All components keep all of the variance."""
+    return tfidf.svd_explained_variance(_reduced(spark, sf_dir))
+
+
+@query("svd_truncated_variance")
+def svd_truncated_variance(spark, sf_dir):
+    return tfidf.svd_explained_variance(_reduced(spark, sf_dir, tfidf.N_COMPONENTS))

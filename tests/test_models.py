@@ -129,9 +129,11 @@ def test_tfidf_and_svd_against_numpy(spark):
     vocabulary = tfidf.tfidf_vocabulary(df)
     vectors, got_names = tfidf.tfidf_vectors(df, vocabulary)
     assert got_names == names
-    got = np.array([r.v for r in vectors.orderBy("text_id").select(vector_to_array("tfidf").alias("v")).collect()])
+    got = np.zeros_like(dense)
+    for row in vectors.collect():
+        got[row.text_id, row.tfidf.indices] = row.tfidf.values
     assert np.allclose(got, dense)
-    reduced, basis = tfidf.svd_reduce(vectors, 2)
+    reduced, basis = tfidf.svd_reduce(vectors, len(names), 2)
     projected = np.array([r.svd for r in reduced.orderBy("text_id").collect()])
     u, s, _ = np.linalg.svd(dense, full_matrices=False)
     assert np.allclose(np.abs(projected), np.abs(u[:, :2] * s[:2]), atol=1e-8)
