@@ -19,7 +19,7 @@ HEADLINE = [
     "perplexity_features", "extract_all_features", "class_feature_means", "dedup_exact", "cleaning_funnel",
     "build_dataset", "stratified_folds", "multi_seed_split", "chunk_pages", "tfidf_vocabulary", "tfidf_weights",
     "svd_explained_variance", "feature_histogram", "feature_boxplot", "roc_curve", "model_comparison", "train_lr",
-    "cross_validate", "tune_lr", "train_rf", "seed_suite", "model_suite", "detection_report", "stability_report",
+    "cross_validate", "cross_validate_models", "tune_lr", "train_rf", "seed_suite", "model_suite", "detection_report", "stability_report",
 ]
 
 

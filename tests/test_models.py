@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from quillsift.operators import evaluation, matrix, models, reports, splits, tfidf
+from quillsift.operators import bayes, evaluation, matrix, models, reports, splits, tfidf
 from quillsift.operators.quantiles import exact_quantiles
 from quillsift.plans.detection import detection_report, run_detection
 from quillsift.plans.stability import run_stability
@@ -152,6 +152,35 @@ def separable(spark):
 COLUMNS = ["a", "b"]
 
 
+@pytest.mark.parametrize("variant", ["gaussian", "multinomial"])
+def test_bayes_tables_are_the_models_of_the_folds(spark, variant):
+    rng = np.random.default_rng(8)
+    rows = [(f"t{i}", i % 3 % 2, i % 4, *map(float, rng.normal([i % 2, 100 + 3 * (i % 3), 0, 7], [1, 20, 1e-2, 0]))) for i in range(300)]
+    columns = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "text_id string, label int, fold int, a double, b double, c double, d double").repartition(5)
+    sums = bayes.class_sums(df, columns, ["fold"]).cache()
+    tables = bayes.MODELS[variant](bayes.without_part(sums, ["fold"]), ["fold"])
+    got = {r.text_id: r for r in bayes.score_rows(df, tables, columns, ["fold"], "text_id").collect()}
+    trainer = lambda train, names: models.train_nb(train, names, variant)
+    for k in range(4):
+        fitted = trainer(df.filter(F.col("fold") != k), columns)
+        for r in models.predict(fitted, df.filter(F.col("fold") == k), "text_id").collect():
+            mine = got.pop(r.text_id)
+            assert (mine.label, mine.prediction) == (r.label, r.prediction) and mine.score == pytest.approx(r.score, abs=1e-7)
+    assert got == {}
+    by = lambda r: (r.fold, r.metric)
+    slow = sorted(models.cross_validate(df, columns, trainer, range(4)).collect(), key=by)
+    fast = sorted(bayes.cross_validate_nb(df, columns, variant).collect(), key=by)
+    assert [(by(r), round(r.value, 9)) for r in fast] == [(by(r), round(r.value, 9)) for r in slow]
+
+
+def test_a_class_that_a_fold_lacks(spark):
+    rows = [(0, 0, 1.0), (0, 0, 2.0), (1, 0, 3.0), (1, 1, 9.0), (2, 1, 8.0), (2, 1, 10.0), (2, None, 5.0)]
+    df = spark.createDataFrame(rows, "fold int, label int, x double")
+    left = {(r.fold, r.label): (r.n, r.mean) for r in bayes.without_part(bayes.class_sums(df, ["x"], ["fold"]), ["fold"]).collect()}
+    assert left == {(0, 0): (1, 3.0), (0, 1): (3, 9.0), (1, 0): (2, 1.5), (1, 1): (2, 9.0), (2, 0): (3, 2.0), (2, 1): (1, 9.0)}
+
+
 @pytest.mark.parametrize("name, trainer", [
     ("lr", models.train_lr), ("lr_l1", lambda d, c: models.train_lr(d, c, "l1", scale=False)),
     ("nb", models.train_nb), ("rf", lambda d, c: models.train_rf(d, c, n_trees=5)),
