@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from quillsift.operators.ordering import with_position
 from quillsift.session import materialise
 
 MOST_WORDS = 4
@@ -365,10 +366,7 @@ def mine_phrases(df: DataFrame, top: int = 2000, least: int = LEAST, text_column
     texts = df.select(F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_column}`").alias("text"))
     counts = materialise(count_phrases(texts, least, partition_bytes, filter_bits, chunk_words))
     kept = drop_parts(materialise(phrase_scores(counts)))
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    # The first of each share of a language first, so that none is sorted whole in one task.
-    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(256))).orderBy(*order)
-    near = kept.withColumn("_rank", F.row_number().over(share)).filter(F.col("_rank") <= top).drop("_rank")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    # One balanced sort gives the ranks, so no language is sorted in one task.
+    ranked = with_position(kept, [F.desc("score"), F.desc("a"), "phrase"], ["lang"], "rank").filter(F.col("rank") <= top)
     totals = counts.filter("k = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
