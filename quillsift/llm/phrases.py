@@ -32,8 +32,8 @@ LEAST = 30
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 SCALE = 2_000_000
 # Words handled at a time; bytes of text per hash partition; bits of the filter.
-CHUNK_WORDS = 1 << 20
-PARTITION_BYTES = 32 << 20
+CHUNK_WORDS = 1 << 19
+PARTITION_BYTES = 8 << 20
 FILTER_BITS = 1 << 27
 LONGEST_SLICE = 4 << 20
 # Bytes sent per hash: 40 bits tell the some millions of a partition apart.
@@ -221,8 +221,8 @@ def hash_partitions(texts: DataFrame, partition_bytes: int = PARTITION_BYTES, le
 def surviving_hashes(texts: DataFrame, parts: int, capacity: int, least: int = LEAST, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(survivor): keys of all words and phrases that occur ``least`` times in ``texts(lang, text)``, and a few others.
 
-    Tasks send, per chunk and hash partition, one packed list of hashes. The work of a partition is a stream of these lists,
-    of which only its summary stays.
+    Tasks send, per chunk and hash partition, one packed list of hashes. Each partition is a task
+    of its own, a stream of these lists of which only the summary stays.
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, chunk in chunks(batches, chunk_words):
@@ -263,7 +263,7 @@ def surviving_hashes(texts: DataFrame, parts: int, capacity: int, least: int = L
             yield result()
 
     sent = texts.mapInArrow(send, "part long, once binary, more binary, counts binary, sure binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(summarise, "survivor long")
+    return sent.repartitionById(parts, F.col("part").cast("int")).mapInArrow(summarise, "survivor long")
 
 
 def _bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
