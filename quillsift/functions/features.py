@@ -112,8 +112,14 @@ def _is_listed(name: str, words: Sequence[str]) -> str:
     return f"{name} IN ({listed})" if listed else "false"
 
 
-def readability_counts(df: DataFrame, text: str, easy_words: Sequence[str] | None) -> DataFrame:
-    """Adds ``_words``, ``_letters``, ``_syllables``, ``_poly`` and ``_hard`` for the formulas.
+def unlisted(words: str, easy_words: Sequence[str]) -> Column:
+    """How many of an array column's words are not in the list."""
+    return F.expr(f"size(filter({words}, word -> NOT {_is_listed('word', easy_words)}))")
+
+
+def readability_counts(df: DataFrame, text: str, easy_words: Sequence[str] | None, words: str | None = None) -> DataFrame:
+    """Adds ``_words``, ``_letters``, ``_syllables``, ``_poly`` and ``_hard`` for the formulas, and the words themselves as
+    ``words`` where named.
 
     ``easy_words`` is a literal list of a few thousand entries at most; Spark turns membership
     into a hash look-up, so no join is needed. A longer list than that is refused: ``difficult_words`` joins one of
@@ -123,10 +129,9 @@ def readability_counts(df: DataFrame, text: str, easy_words: Sequence[str] | Non
         raise ValueError(f"at most {MAX_LITERAL_WORDS} words can be held as a literal list")
     df = df.withColumn("_bare", bare_words(F.col(text)))
     df = df.withColumn("_per_word", F.transform("_bare", syllables))
-    if easy_words is None:
-        hard = F.lit(0)
-    else:
-        hard = F.expr(f"size(filter(_bare, word -> NOT {_is_listed('word', easy_words)}))")
+    hard = F.lit(0) if easy_words is None else unlisted("_bare", easy_words)
+    if words is not None:
+        df = df.withColumn(words, F.col("_bare"))
     return df.withColumns({
         "_words": F.size("_bare"),
         "_letters": F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))),
@@ -164,9 +169,9 @@ def readability_scores(words: Column, sentences: Column, letters: Column, syllab
 
 
 def readability_features(df: DataFrame, easy_words: Sequence[str] | None = None,
-                         text: str = "normalized_text", sentences: str = "sentences") -> DataFrame:
-    """Six readability columns."""
-    df = readability_counts(df, text, easy_words)
+                         text: str = "normalized_text", sentences: str = "sentences", words: str | None = None) -> DataFrame:
+    """Six readability columns, and the words that they count as ``words`` where named."""
+    df = readability_counts(df, text, easy_words, words)
     scores = readability_scores(
         F.col("_words"), F.size(sentences), F.col("_letters"), F.col("_syllables"), F.col("_poly"), F.col("_hard")
     )

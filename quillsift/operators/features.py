@@ -9,20 +9,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillsift.functions import features as per_doc, lexicon
 from quillsift.functions.features import MAX_LITERAL_WORDS
 from quillsift.functions.tokens import bare_words
-from quillsift.schemas import ALL_FEATURES
+from quillsift.schemas import ALL_FEATURES, READABILITY_FEATURES
+from quillsift.session import materialise
 
+# Fixed value: words of the list of easy ones.
+EASY_WORDS = 3000
 
-def easy_word_list(df: DataFrame, text: str = "normalized_text", size: int = 3000) -> list[str]:
+
+def _most_frequent(words: DataFrame, size: int) -> list[str]:
+    if size > MAX_LITERAL_WORDS:
+        raise ValueError(f"at most {MAX_LITERAL_WORDS} words can be held as a literal list")
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
+    return [row.word for row in top.select("word").collect()]
+
+
+def easy_word_list(df: DataFrame, text: str = "normalized_text", size: int = EASY_WORDS) -> list[str]:
     """The ``size`` most frequent words of the corpus, ties by word.
 
     Stands in for a published list of easy words. Counts are combined map-side before the one
     shuffle, and only the top ``size`` words reach the driver.
     """
-    if size > MAX_LITERAL_WORDS:
-        raise ValueError(f"at most {MAX_LITERAL_WORDS} words can be held as a literal list")
-    counts = word_table(df, text=text).groupBy("word").count()
-    top = counts.orderBy(F.desc("count"), "word").limit(size)
-    return [row.word for row in top.select("word").collect()]
+    return _most_frequent(word_table(df, text=text), size)
 
 
 def word_table(df: DataFrame, *keep: str, text: str = "normalized_text") -> DataFrame:
@@ -68,24 +75,47 @@ def pos_ratios(tagged: DataFrame, *keys: str) -> DataFrame:
     return tagged.groupBy(*keys).agg(*[share(group).alias(name) for name, group in per_doc.TAG_RATIOS.items()])
 
 
+def corpus_readability(df: DataFrame, text: str = "normalized_text", sentences: str = "sentences",
+                       keep: Sequence[str] | None = None, learn: Column | None = None, size: int = EASY_WORDS) -> DataFrame:
+    """The columns ``keep`` (all by default) and six readability columns, with the corpus's most frequent words as the easy ones.
+
+    The list needs all texts before the first can be scored. Each text is cleaned and cut once: its words are staged with
+    what else is kept, the list comes from these, and so does the number of words that are not on it. ``learn`` says which rows
+    the list may come from: the training rows, for instance. Name ``keep`` without the texts, which are staged otherwise.
+    """
+    names = [*(df.columns if keep is None else keep)]
+    scored = per_doc.readability_features(df, None, text, sentences, words="_easy").withColumn("_sentences", F.size(sentences))
+    taught = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    staged = materialise(scored.select(*names, *READABILITY_FEATURES, "_easy", "_sentences", taught.alias("_taught")))
+    listed = _most_frequent(staged.filter("_taught").select(F.explode("_easy").alias("word")), size)
+    zero, hard = F.lit(0), per_doc.unlisted("_easy", listed)
+    score = per_doc.readability_scores(F.size("_easy"), F.col("_sentences"), zero, zero, zero, hard)["dale_chall_readability"]
+    return staged.withColumn("dale_chall_readability", score).drop("_easy", "_sentences", "_taught")
+
+
 def extract_all_features(
     df: DataFrame,
     text: str = "normalized_text",
     tokens: str = "tokens",
     sentences: str = "sentences",
     easy_words: Sequence[str] | None = None,
+    keep: Sequence[str] | None = None,
+    learn: Column | None = None,
 ) -> DataFrame:
-    """Appends all 29 features to a preprocessed table, without a shuffle.
+    """The columns ``keep`` (all by default) of a preprocessed table and all 29 features, without a shuffle.
 
-    Without ``easy_words`` the list is taken from the corpus itself, which costs one extra
-    aggregate over it.
+    Without ``easy_words`` the list is taken from the corpus itself, from the rows that ``learn`` marks where given (see
+    ``corpus_readability``): one small aggregate more, and the words of the texts are staged.
     """
-    if easy_words is None:
-        easy_words = easy_word_list(df, text)
+    names = [*(df.columns if keep is None else keep)]
     df = per_doc.statistical_features(df, text, tokens, sentences)
-    df = per_doc.readability_features(df, easy_words, text, sentences)
-    df = per_doc.linguistic_features(df, tokens)
-    return per_doc.perplexity_features(df, tokens)
+    df = per_doc.perplexity_features(per_doc.linguistic_features(df, tokens), tokens)
+    if easy_words is None:
+        others = [name for name in ALL_FEATURES if name not in READABILITY_FEATURES]
+        df = corpus_readability(df, text, sentences, [*names, *others], learn)
+    else:
+        df = per_doc.readability_features(df, easy_words, text, sentences)
+    return df.select(*names, *ALL_FEATURES)
 
 
 def attach_features(df: DataFrame, features: DataFrame, key: str = "text_id") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.operators.evaluation import classification_metrics
+from quillsift.operators.logistic import as_ml_model, fit_logistic, score_column
 from quillsift.operators.matrix import absolute_values, standard_scaler
 from quillsift.operators.ordering import class_targets, hash_limits, within_limits
 from quillsift.session import materialise
@@ -55,11 +56,20 @@ def _lr(penalty: str, c: float, n_train: int, max_iter: int) -> LogisticRegressi
 def train_lr(train: DataFrame, columns: Sequence[str], penalty: str = "l2", c: float = 1.0,
              scale: bool = True, max_iter: int = MAX_ITERATIONS) -> PipelineModel:
     """Scaled features converge in some tens of passes over the table; unscaled ones, whose
-    ranges differ by orders of magnitude, can take all ``max_iter``."""
+    ranges differ by orders of magnitude, can take all ``max_iter`` (see ``train_lr_unscaled``)."""
     steps = [standard_scaler(train, columns)] if scale else []
     return Pipeline(stages=[*steps, _assembler(columns), _lr(penalty, c, train.count(), max_iter)]).fit(train)
 
 
+def train_lr_unscaled(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
+    """On the features as they are, by Newton's method: what the seeds, the importances and the stability report look at.
+
+    The penalty weighs each feature in its own unit, so the coefficients are not those of ``train_lr``.
+    """
+    (fit,) = fit_logistic(train, columns, [F.lit(True)])
+    return PipelineModel(stages=[_assembler(columns), as_ml_model(fit, train.sparkSession)])
+
+
 def train_nb(train: DataFrame, columns: Sequence[str], variant: str = "gaussian") -> PipelineModel:
     """Gaussian, or multinomial on absolute values (also when predicting)."""
     if variant == "gaussian":
@@ -143,20 +153,23 @@ def cross_validate(df: DataFrame, columns: Sequence[str], trainer: Trainer, fold
     )
 
 
+def _seed_limits(df: DataFrame, seeds: Sequence[int], id_column: str, test_size: float) -> DataFrame:
+    """Where the test rows of each seed and class end; only ids and labels are expanded."""
+    seeded = df.select(id_column, "label").withColumn("seed", F.explode(F.array(*[F.lit(seed) for seed in seeds])))
+    return materialise(hash_limits(seeded, ["seed", "label"], id_column, class_targets(test_size), F.col("seed")))
+
+
 def seed_suite(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], trainer: Trainer,
                id_column: str = "text_id", test_size: float = 0.2, parallelism: int = 4) -> DataFrame:
     """(seed, accuracy) of one stratified split and fit per seed.
 
-    The splits are those of ``multi_seed_split``, but the feature rows are not multiplied: only
-    ids and labels are expanded to find the limits of all splits, a row per seed and class.
+    The splits are those of ``multi_seed_split``, but the feature rows are not multiplied.
     """
-    strata = ["seed", "label"]
-    seeded = df.select(id_column, "label").withColumn("seed", F.explode(F.array(*[F.lit(seed) for seed in seeds])))
-    limits = materialise(hash_limits(seeded, strata, id_column, class_targets(test_size), F.col("seed")))
+    limits = _seed_limits(df, seeds, id_column, test_size)
 
     def one(seed: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            rows = within_limits(df.withColumn("seed", F.lit(seed)), limits, strata, id_column, seed, "is_test")
+            rows = within_limits(df.withColumn("seed", F.lit(seed)), limits, ["seed", "label"], id_column, seed, "is_test")
             return predict(trainer(rows.filter(~F.col("is_test")), columns), rows.filter("is_test"), "seed")
         return run
 
@@ -164,6 +177,37 @@ def seed_suite(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], trai
     return classification_metrics(scored, ["seed"]).select("seed", "accuracy")
 
 
+def _scored_by(df: DataFrame, columns: Sequence[str], fits: dict, test: Callable, name: str) -> DataFrame:
+    """(name, label, prediction, score): the test rows of every fit, each row read once."""
+    said = F.array(*[
+        F.struct(F.lit(key).alias(name), test(key).alias("_test"), score_column(fit, columns).alias("score")) for key, fit in fits.items()])
+    rows = df.select(F.col("label").cast("int").alias("label"), F.explode(said).alias("_s")).filter("_s._test")
+    return rows.select(f"_s.{name}", "label", (F.col("_s.score") > 0.5).cast("int").alias("prediction"), "_s.score")
+
+
+def lr_seed_suite(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], id_column: str = "text_id",
+                  test_size: float = 0.2) -> DataFrame:
+    """``seed_suite`` for unscaled logistic regression: the models of all seeds are fitted together, in one pass per step."""
+    limits = _seed_limits(df, seeds, id_column, test_size)
+    for seed in seeds:
+        marked = within_limits(df.withColumn("seed", F.lit(seed)), limits, ["seed", "label"], id_column, seed, f"_test_{seed}")
+        df = marked.drop("seed")
+    rows = materialise(df)
+    fits = fit_logistic(rows, columns, [~F.col(f"_test_{seed}") for seed in seeds])
+    scored = _scored_by(rows, columns, dict(zip(seeds, fits)), lambda seed: F.col(f"_test_{seed}"), "seed")
+    return classification_metrics(scored, ["seed"]).select("seed", "accuracy")
+
+
+def lr_cross_validate(df: DataFrame, columns: Sequence[str], folds: Sequence[int] = range(FOLDS), fold: str = "fold",
+                      model: str = "model") -> DataFrame:
+    """``cross_validate`` for unscaled logistic regression: the models of all folds are fitted together."""
+    fits = fit_logistic(df, columns, [F.col(fold) != k for k in folds])
+    scored = _scored_by(df, columns, dict(zip(folds, fits)), lambda k: F.col(fold) == k, fold)
+    wide = classification_metrics(scored, [fold])
+    return wide.unpivot([fold], ["accuracy", "precision", "recall", "f1_score"], "metric", "value").select(
+        F.lit(model).alias("model"), F.col(fold).alias("fold"), "metric", "value")
+
+
 DEFAULT_TRAINERS: dict[str, Trainer] = {
     "Logistic Regression": train_lr, "Naive Bayes": train_nb, "Random Forest": train_rf,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.operators.dataset import tag_corpus, union_corpora
 from quillsift.operators.preprocess import preprocess_dataset
-from quillsift.operators.splits import stratified_folds
+from quillsift.operators.splits import stratified_folds, stratified_split
 from quillsift.plans.detection import feature_table
 from quillsift.session import spread
 
@@ -53,9 +53,13 @@ def prepared_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess_dataset(spread(labelled_turns(spark, sf_dir)))
 
 
-def turn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text_id, label, 29 features), staged for training."""
-    return feature_table(spread(labelled_turns(spark, sf_dir)), "text_id", "label")
+def turn_features(spark: SparkSession, sf_dir: str, unseen_test: bool = False) -> DataFrame:
+    """(text_id, label, 29 features), staged for training; with ``unseen_test`` the word list comes from training rows."""
+    turns = spread(labelled_turns(spark, sf_dir))
+    if not unseen_test:
+        return feature_table(turns, "text_id", "label")
+    split = stratified_split(turns)
+    return feature_table(split, "text_id", "label", "is_test", learn=~F.col("is_test")).drop("is_test")
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

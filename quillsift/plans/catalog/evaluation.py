@@ -168,7 +168,7 @@ def _rounded(spark, sf_dir):
 long AS (UNPIVOT (SELECT label, {', '.join(ALL_FEATURES)} FROM feats) ON COLUMNS(* EXCLUDE (label)) INTO NAME feature VALUE value)
 SELECT label, feature, round(avg(value), 6) AS mean FROM long GROUP BY label, feature""")
 def class_feature_means(spark, sf_dir):
-    features = extract_all_features(bind.prepared_turns(spark, sf_dir))
+    features = extract_all_features(bind.prepared_turns(spark, sf_dir), keep=["label"])
     return reports.class_feature_means(features, ALL_FEATURES)
 
 

@@ -16,7 +16,7 @@ from quillsift.session import materialise
 
 
 def _readability(df):
-    return per_doc.readability_features(df, tables.easy_word_list(df))
+    return tables.corpus_readability(df, keep=["doc_id"])
 
 
 # group name: (columns, transform, SQL CTEs, name of the last CTE)
@@ -45,7 +45,7 @@ for _name, (_columns, _transform, _ctes, _last) in _GROUPS.items():
 @query("extract_all_features", f"""{sql.all_features(sql.DOCS)}
 SELECT id AS doc_id, {sql.rounded(ALL_FEATURES)} FROM feats""")
 def extract_all_features(spark, sf_dir):
-    return tables.extract_all_features(bind.prepared_documents(spark, sf_dir)).select("doc_id", *ALL_FEATURES)
+    return tables.extract_all_features(bind.prepared_documents(spark, sf_dir), keep=["doc_id"])
 
 
 @query("pos_ratios", f"""{sql.prepared(sql.DOCS)},{sql.LINGUISTIC}

@@ -133,7 +133,7 @@ def model_suite(spark, sf_dir):
 
 @query("seed_suite")
 def seed_suite(spark, sf_dir):
-    return models.seed_suite(bind.turn_features(spark, sf_dir), ALL_FEATURES, splits.STABILITY_SEEDS, models.train_lr)
+    return models.lr_seed_suite(bind.turn_features(spark, sf_dir), ALL_FEATURES, splits.STABILITY_SEEDS)
 
 
 @query("predict", f"""{_RANKED},
@@ -155,13 +155,13 @@ def predict_models(spark, sf_dir):
 @query("lr_abs_importance")
 def lr_abs_importance(spark, sf_dir):
     rows = bind.turn_features(spark, sf_dir)
-    return ev.topn_importance(models.lr_abs_importance(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 20)
+    return ev.topn_importance(models.lr_abs_importance(models.train_lr_unscaled(rows, ALL_FEATURES), ALL_FEATURES), 20)
 
 
 @query("lr_signed_importance")
 def lr_signed_importance(spark, sf_dir):
     rows = bind.turn_features(spark, sf_dir)
-    return ev.topn_signed(models.lr_coefficients(models.train_lr(rows, ALL_FEATURES), ALL_FEATURES), 20)
+    return ev.topn_signed(models.lr_coefficients(models.train_lr_unscaled(rows, ALL_FEATURES), ALL_FEATURES), 20)
 
 
 @query("rf_importance")
@@ -172,7 +172,7 @@ def rf_importance(spark, sf_dir):
 
 @query("detection_report")
 def detection(spark, sf_dir):
-    return detection_report(run_detection(bind.turn_features(spark, sf_dir)))
+    return detection_report(run_detection(bind.turn_features(spark, sf_dir, unseen_test=True)))
 
 
 @query("stability_report")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillsift.operators import evaluation, models, splits
 from quillsift.operators.features import extract_all_features
@@ -19,14 +19,16 @@ from quillsift.session import materialise
 
 
 def feature_table(df: DataFrame, *keep: str, text_column: str = "content",
-                  easy_words: Sequence[str] | None = None) -> DataFrame:
+                  easy_words: Sequence[str] | None = None, learn: Column | None = None) -> DataFrame:
     """(keep, 29 features), staged: training reads it many times and the texts never again.
 
+    Without ``easy_words`` the list comes from the rows that ``learn`` marks (all by default); mark the training rows where test
+    rows are to stay unseen.
     Feature rows are far smaller than texts, so they are packed into fewer, evenly sized
     partitions: every optimiser step runs one task for each.
     """
     prepared = preprocess_dataset(df.select(*keep, text_column), text_column)
-    features = extract_all_features(prepared, easy_words=easy_words).select(*keep, *ALL_FEATURES)
+    features = extract_all_features(prepared, easy_words=easy_words, keep=keep, learn=learn)
     return materialise(sanitize_numeric(features, ALL_FEATURES).hint("rebalance"))
 
 

@@ -16,10 +16,12 @@ from quillsift.session import materialise
 
 def run_stability(features: DataFrame, attempts: DataFrame | None = None, columns: Sequence[str] = ALL_FEATURES, *,
                   id_column: str = "text_id", seeds: Sequence[int] = splits.STABILITY_SEEDS, k: int = 5,
-                  trainer: models.Trainer = models.train_lr, impute: str = "zero",
-                  parallelism: int = 4) -> DataFrame:
+                  trainer: models.Trainer | None = None, impute: str = "zero", parallelism: int = 4) -> DataFrame:
     """The report as (section, metric, value).
 
+    Logistic regression on the features as they are, all seeds and all folds fitted together, or a ``trainer`` of its own
+    for each.
+
     ``features`` may still hold missing values: they are counted, then set to 0 or, with
     ``impute="median"``, to the column's median.
     """
@@ -29,11 +31,15 @@ def run_stability(features: DataFrame, attempts: DataFrame | None = None, column
     clean = materialise(
         splits.stratified_folds(sanitize_numeric(features, columns), id_column, k=k)
     )
-    per_seed = models.seed_suite(clean, columns, seeds, trainer, id_column, parallelism=parallelism)
+    if trainer is None:
+        per_seed = models.lr_seed_suite(clean, columns, seeds, id_column)
+        folds = models.lr_cross_validate(clean, columns, range(k))
+    else:
+        per_seed = models.seed_suite(clean, columns, seeds, trainer, id_column, parallelism=parallelism)
+        folds = models.cross_validate(clean, columns, trainer, range(k), parallelism=parallelism)
     sensitivity = evaluation.seed_sensitivity(per_seed)
-    folds = models.cross_validate(clean, columns, trainer, range(k), parallelism=parallelism)
     accuracy = evaluation.cv_summary(folds, factor=1.0).filter(F.col("metric") == "accuracy")
-    importances = models.lr_abs_importance(trainer(clean, columns), columns)
+    importances = models.lr_abs_importance((trainer or models.train_lr_unscaled)(clean, columns), columns)
 
     def section(name: str, df: DataFrame, metric, value) -> DataFrame:
         return df.select(F.lit(name).alias("section"), metric.alias("metric"), value.cast("double").alias("value"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from quillsift.operators import bayes, evaluation, matrix, models, reports, splits, tfidf
+from quillsift.operators import bayes, evaluation, logistic, matrix, models, reports, splits, tfidf
 from quillsift.operators.quantiles import exact_quantiles
 from quillsift.plans.detection import detection_report, run_detection
 from quillsift.plans.stability import run_stability
@@ -174,6 +174,39 @@ def test_bayes_tables_are_the_models_of_the_folds(spark, variant):
     assert [(by(r), round(r.value, 9)) for r in fast] == [(by(r), round(r.value, 9)) for r in slow]
 
 
+def test_newton_fits_are_the_optimum(spark):
+    rng = np.random.default_rng(5)
+    n = 500
+    x = np.column_stack([rng.normal(size=n) * 1e-3, rng.normal(50, 30, n), rng.normal(size=n), np.full(n, 4.0)])
+    x = np.column_stack([x, x[:, 1] * 3 + rng.normal(size=n)])
+    label = (x[:, 1] / 30 + x[:, 2] + rng.normal(size=n) > 1.5).astype(int)
+    columns = ["a", "b", "c", "d", "e"]
+    rows = [(f"t{i}", None if i == 7 else int(label[i]), i % 5, *map(float, x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "text_id string, label int, fold int, a double, b double, c double, d double, e double").repartition(6).cache()
+    fits = logistic.fit_logistic(df, columns, [F.lit(True), F.col("fold") != 2, F.col("fold") == 1], c=2.0)
+    for fit, used in zip(fits, (np.arange(n) >= 0, np.arange(n) % 5 != 2, np.arange(n) % 5 == 1)):
+        used = used & (np.arange(n) != 7)
+        away = 1 / (1 + np.exp(-(x[used] @ fit.coefficients + fit.intercept))) - label[used]
+        gradient = x[used].T @ away + fit.coefficients / 2.0
+        assert np.abs(gradient[:3] / x[used, :3].std(axis=0)).max() < 1e-4 and abs(away.sum()) < 1e-6 and fit.coefficients[3] == 0 and fit.steps < 25
+    slow = models.train_lr(df.filter("label is not null"), columns, scale=False, c=2.0)
+    assert np.allclose(slow.stages[-1].coefficients.toArray(), fits[0].coefficients, rtol=0.05, atol=0.02)
+    labelled = df.filter("label is not null")
+    by = lambda r: (r.fold, r.metric)
+    one = sorted(models.cross_validate(labelled, columns, models.train_lr_unscaled).collect(), key=by)
+    together = sorted(models.lr_cross_validate(labelled, columns).collect(), key=by)
+    assert [(by(r), round(r.value, 9)) for r in one] == [(by(r), round(r.value, 9)) for r in together]
+    apart = models.seed_suite(labelled, columns, [1, 2], models.train_lr_unscaled).collect()
+    assert sorted(map(tuple, apart)) == sorted(map(tuple, models.lr_seed_suite(labelled, columns, [1, 2]).collect()))
+
+
+def test_separable_rows_have_a_finite_fit(spark):
+    df = spark.createDataFrame([(i, int(i > 20), float(i)) for i in range(40)], "id int, label int, x double")
+    (fit,) = logistic.fit_logistic(df, ["x"], [F.lit(True)])
+    assert fit.steps < 60 and 0 < fit.coefficients[0] < 100
+    assert [f.steps for f in logistic.fit_logistic(df.limit(0), ["x"], [F.lit(True)])] == [1]
+
+
 def test_a_class_that_a_fold_lacks(spark):
     rows = [(0, 0, 1.0), (0, 0, 2.0), (1, 0, 3.0), (1, 1, 9.0), (2, 1, 8.0), (2, 1, 10.0), (2, None, 5.0)]
     df = spark.createDataFrame(rows, "fold int, label int, x double")
