@@ -146,3 +146,13 @@ def test_human_text_wins_when_both_corpora_count_from_zero(spark):
     both = dataset.union_corpora(human, generated)
     kept = {r.text_id for r in dataset.dedup_exact(both, order=dataset.corpus_order(both)).collect()}
     assert kept == {"h0", "h1", "a0"}
+
+
+def test_labels_are_bound_and_audited(spark):
+    texts = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (2, "bb", 9), (3, "c", 9), (None, "n", 9)], "id int, content string, label int").repartition(3)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (7, 1), (8, 0), (3, None), (None, 1)], "id int, label int").repartition(2)
+    bound = dataset.bind_labels(texts, labels, "id")
+    assert sorted(map(tuple, bound.rows.collect())) == [(1, "a", 0), (2, "b", 1), (2, "bb", 1)]
+    assert bound.counts() == {"matched": 3, "without_label": 2, "without_text": 3}
+    empty = dataset.bind_labels(texts.limit(0), labels, "id")
+    assert empty.rows.count() == 0 and empty.counts()["without_text"] == 5
