@@ -3,8 +3,8 @@
 A logistic classifier on text-shape features, fitted on labelled documents, gives each document evidence (a log
 likelihood ratio). Outcomes (the label, or the classifier's probability) are summed per host and per path by
 grouped aggregation; path rates are shrunk towards their host's and hosts' towards the whole by beta priors whose strength
-is estimated from the spread of the rates. The posterior of a document is its site's rate without the
-document itself, updated by its evidence.
+is estimated from the spread of the rates. The posterior of a document is its site's rate, to which the document itself
+adds nothing at any level, updated by its evidence.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from quillsift.llm.rows import text_key
 from quillsift.llm.encoding import texts_of
 from quillsift.session import materialise
 
-# The classifier is fitted on about this many labelled rows at most, drawn by a hash of the id.
+# The classifier is fitted on about this many labelled documents at most, drawn by a hash of the id.
 TRAIN_ROWS = 20_000
+# What the classifier's probability counts for in a site's rate, where a label counts for one.
+GUESS = 0.25
 THRESHOLD = 0.5
 # A document's evidence is bounded, so that one odd text cannot outweigh everything.
 MAX_EVIDENCE = 12.0
@@ -97,18 +99,19 @@ def hierarchical_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc
     ``labels`` has the id and a 0/1 label; null and repeated labels are dropped (of several for one id the largest
     counts). A text without words has quality 0 and is not kept. A null host or path is a site of its own.
     Without labels of both kinds there is no evidence and every other document is kept. Repeated rows are
-    each scored. Other columns are not read. The number of labelled rows used to fit is bounded; all
-    documents enter the site rates.
+    each scored. Other columns are not read. The number of labelled documents used to fit is bounded, one row for each id; all
+    documents enter the site rates, with weight ``GUESS`` where they have no label.
     """
     rows = materialise(document_features(df, id_column, text_column, {"_host": host_column, "_path": path_column}))
     marks = (
         labels.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{label_column}`").cast("int").alias("_label"))
         .filter("doc_id is not null and _label in (0, 1)").groupBy("doc_id").agg(F.max("_label").alias("_label"))
     )
-    total = max(1, marks.count())
-    share = min(1.0, train_rows / total)
-    drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    train = rows.filter("features is not null").join(drawn, "doc_id").select("features", "_label").toPandas()
+    most = (1 << 63) - 1
+    drawn = marks.filter(F.xxhash64("doc_id").bitwiseAND(F.lit(most)) <= min(most, train_rows * most // max(1, marks.count())))
+    # Of rows that share an id one teaches, so that the bound holds for rows as well.
+    train = rows.filter("features is not null").join(drawn, "doc_id").groupBy("doc_id", "_label").agg(
+        F.max("features").alias("features")).select("features", "_label").toPandas()
     weights, base = np.zeros(len(FEATURES) + 1), 0.0
     low, high = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
     if train["_label"].nunique() == 2:
@@ -121,25 +124,35 @@ def hierarchical_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc
         seen = F.least(F.greatest(F.col("features")[i], F.lit(float(low[i]))), F.lit(float(high[i])))
         score = score + seen * float(weight)
     score = F.when(F.col("features").isNotNull(), score)
-    evidence = F.least(F.greatest(score - base, F.lit(-MAX_EVIDENCE)), F.lit(MAX_EVIDENCE))
+    # The bounds would stand in for a null.
+    evidence = F.when(score.isNotNull(), F.least(F.greatest(score - base, F.lit(-MAX_EVIDENCE)), F.lit(MAX_EVIDENCE)))
     probability = 1 / (1 + F.exp(-(F.col("evidence") + base)))
     scored = rows.withColumn("evidence", evidence).join(marks, "doc_id", "left").withColumns({
         "_host": F.coalesce("_host", F.lit("\0")), "_path": F.coalesce("_path", F.lit("\0")),
         "_good": F.coalesce(F.col("_label").cast("double"), probability) if weights.any() else F.lit(None).cast("double"),
+        "_weight": F.when(F.col("_label").isNotNull(), F.lit(1.0)).otherwise(F.lit(GUESS)),
     }).drop("features", "_label")
-    scored = materialise(scored)
+    mine, weight = F.coalesce(F.col("_weight") * F.col("_good"), F.lit(0.0)), F.when(F.col("_good").isNotNull(), F.col("_weight")).otherwise(F.lit(0.0))
+    scored = materialise(scored.withColumns({"_good": mine, "_weight": weight}))
     # Rates of sites: _bad holds what is counted, here good documents.
-    paths = materialise(scored.groupBy("_host", "_path").agg(
-        F.count("_good").alias("_n"), F.coalesce(F.sum("_good"), F.lit(0.0)).alias("_bad")))
+    paths = materialise(scored.groupBy("_host", "_path").agg(F.sum("_weight").alias("_n"), F.sum("_good").alias("_bad")))
     up = [F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad")]
     hosts = paths.groupBy("_host").agg(*up).withColumn("_all", F.lit(0))
+    counted, good = paths.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("_n", "_bad")]).first()
     whole = hosts.groupBy("_all").agg(*up).withColumn("_mean", (F.col("_bad") + 1) / (F.col("_n") + 2))
-    hosts = shrunk_rates(hosts, whole, "_all").drop("_strength")
-    paths = shrunk_rates(paths, hosts, "_host", keep_prior=True).select(
-        "_host", "_path", "_n", "_bad", "_strength", "_prior")
-    joined = scored.join(paths, ["_host", "_path"], "left")
-    others = (F.col("_strength") * F.col("_prior") + F.col("_bad") - F.col("_good")) / (F.col("_strength") + F.col("_n") - 1)
-    rate = F.least(F.greatest(F.coalesce(others, F.col("_prior")), F.lit(1e-6)), F.lit(1 - 1e-6))
+    hosts = shrunk_rates(hosts, whole, "_all")
+    paths = shrunk_rates(paths, hosts, "_host")
+    above = hosts.select("_host", F.col("_n").alias("_host_n"), F.col("_bad").alias("_host_good"), F.col("_strength").alias("_host_strength"))
+    joined = scored.join(paths.select("_host", "_path", "_n", F.col("_bad").alias("_all_good"), "_strength").join(above, "_host"), ["_host", "_path"])
+
+    def without(prior, strength, total, n):
+        """A rate shrunk towards ``prior``, less what the document itself adds."""
+        return (strength * prior + total - F.col("_good")) / (strength + n - F.col("_weight"))
+
+    rate = without(F.lit(0.5), F.lit(2.0), F.lit(float(good)), F.lit(float(counted)))
+    rate = without(rate, F.col("_host_strength"), F.col("_host_good"), F.col("_host_n"))
+    rate = without(rate, F.col("_strength"), F.col("_all_good"), F.col("_n"))
+    rate = F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
     quality = F.when(F.col("evidence").isNull(), F.lit(0.0)).otherwise(
         1 / (1 + F.exp(-(F.log(F.col("site_rate") / (1 - F.col("site_rate"))) + F.col("evidence")))))
     out = joined.withColumn("site_rate", rate).withColumn("quality", quality)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quillsift.llm import components, fmindex, katz, minhash, quality, secretscan
+from quillsift.llm import components, fmindex, hosts, katz, minhash, quality, secretscan
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -178,6 +178,70 @@ def test_quality(spark):
     assert {r.doc_id for r in unlabelled} == {900, 901, 902}
 
 
+def test_site_rates_against_plain_sums(spark):
+    """All three levels by hand, each document left out of its own."""
+    rng = np.random.default_rng(6)
+    data = [(i, f"Words of text {i}, some more words here. And {'!!! $$$' if rng.random() < 0.4 else 'the end'} of it.",
+             f"h{min(int(rng.zipf(1.6)), 30)}", rng.choice(["a", "b", None])) for i in range(300)] + [(400, "", "h1", "a")]
+    df = spark.createDataFrame([(*d, 0.5) for d in data], "doc_id long, text string, source string, lang string, site_rate double")
+    labels = {i: int("$" not in data[i][1]) for i in range(0, 300, 3)}
+    got = {r.doc_id: r for r in quality.hierarchical_quality(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    base = np.log(np.mean(list(labels.values())) / (1 - np.mean(list(labels.values()))))
+    seen = {i: (1.0, labels[i]) if i in labels else (quality.GUESS, 1 / (1 + np.exp(-(got[i].evidence + base)))) for i, t, *_ in data if t}
+
+    def sums(rows):
+        return sum(seen[i][0] for i in rows if i in seen), sum(seen[i][0] * seen[i][1] for i in rows if i in seen)
+
+    def strength(groups, priors):
+        counts = [(*sums(rows), priors[key]) for key, rows in groups.items()]
+        counts = [(n, g, p) for n, g, p in counts if n > 0]
+        total, squares = sum(n for n, *_ in counts), sum(n * n for n, *_ in counts)
+        room = total - squares / total - (len(counts) - 1)
+        if len(counts) < 2 or room <= 0:
+            return (1 - hosts.RHO_DEFAULT) / hosts.RHO_DEFAULT
+        spread = sum(n * (g / n - p) ** 2 / (p * (1 - p)) for n, g, p in counts)
+        rho = min(max((spread - (len(counts) - 1)) / room, hosts.RHO_MIN), hosts.RHO_MAX)
+        return (1 - rho) / rho
+
+    every = [i for i, *_ in data]
+    by_host, by_path = {}, {}
+    for i, _, h, path in data:
+        by_host.setdefault(h, []).append(i)
+        by_path.setdefault((h, path), []).append(i)
+    n, g = sums(every)
+    host_strength = strength(by_host, dict.fromkeys(by_host, (g + 1) / (n + 2)))
+    means = {h: (host_strength * (g + 1) / (n + 2) + sums(rows)[1]) / (host_strength + sums(rows)[0]) for h, rows in by_host.items()}
+    path_strength = strength(by_path, {key: means[key[0]] for key in by_path})
+    for i, _, h, path in data:
+        rate = 0.5
+        for rows, weight in ((every, 2.0), (by_host[h], host_strength), (by_path[h, path], path_strength)):
+            n, g = sums([k for k in rows if k != i])
+            rate = (weight * rate + g) / (weight + n)
+        assert got[i].site_rate == pytest.approx(rate, abs=1e-9)
+
+
+def test_a_label_says_nothing_about_its_own_site(spark):
+    rows = [(i, f"Some words in document {i % 5}, and more of them.", f"host{i}", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = quality.hierarchical_quality(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")).collect()
+    rates = [np.mean([r.site_rate for r in got if r.doc_id % 2 == side]) for side in (0, 1)]
+    assert abs(rates[0] - rates[1]) < 0.05
+
+
+def test_repeated_rows_do_not_break_the_bound(spark):
+    rows = [(7, f"Some words {k} here.", "h", "en") for k in range(3000)] + [(i, f"Other words {i}!", "h", "en") for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 200)], "doc_id long, quality int")
+    fitted = []
+    real = quality.fit_logistic
+    quality.fit_logistic = lambda x, y: fitted.append(len(x)) or real(x, y)
+    try:
+        assert quality.hierarchical_quality(df, labels, train_rows=60).count() == len(rows)
+    finally:
+        quality.fit_logistic = real
+    assert fitted and fitted[0] <= 101
+
+
 # --- near-duplicates ----------------------------------------------------------------------------
 
 def brute_groups(docs, percent, n=5):
