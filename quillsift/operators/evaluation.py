@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillsift.operators.ordering import running_totals
+from quillsift.operators.ordering import join_null_safe, running_totals
 
 METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 
@@ -111,7 +111,7 @@ def roc_auc(scored: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def roc_curve(scored: DataFrame, groups: Sequence[str] = (), bins: int | None = None) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, from (infinity, 0, 0) on.
+    """(threshold, fpr, tpr) per distinct score, from (infinity, 0, 0) on. A null group is a group.
 
     A point is left out where the step after it repeats the step to it, except at the ends.
     ``bins`` rounds scores in [0, 1] down to that many steps, to plot very large tables.
@@ -122,11 +122,8 @@ def roc_curve(scored: DataFrame, groups: Sequence[str] = (), bins: int | None =
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
     corners = points.filter(first | F.col("next_pos").isNull() | turns)
-    totals = (
-        scored.groupBy(*groups).agg(_count(F.col("label") == 1).alias("_p"), _count(F.col("label") != 1).alias("_n"))
-        .withColumn("_k", F.lit(0))
-    )
-    curve = corners.withColumn("_k", F.lit(0)).join(totals, [*groups, "_k"]).select(
+    totals = scored.groupBy(*groups, F.lit(0).alias("_k")).agg(_count(F.col("label") == 1).alias("_p"), _count(F.col("label") != 1).alias("_n"))
+    curve = join_null_safe(corners.withColumn("_k", F.lit(0)), totals, [*groups, "_k"]).select(
         *groups,
         F.col("score").cast("double").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.col("_n")).alias("fpr"),

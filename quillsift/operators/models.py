@@ -9,6 +9,7 @@ stage it before training.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -16,15 +17,16 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillsift.operators.evaluation import classification_metrics
+from quillsift.operators.evaluation import classification_metrics, cv_summary, model_comparison, model_metrics
 from quillsift.operators.logistic import as_ml_model, fit_logistic, score_column
 from quillsift.operators.matrix import absolute_values, standard_scaler
 from quillsift.operators.ordering import class_targets, hash_limits, within_limits
+from quillsift.operators.splits import stratified_folds, stratified_split
 from quillsift.session import materialise
 
 # Training defaults.
@@ -208,6 +210,24 @@ def lr_cross_validate(df: DataFrame, columns: Sequence[str], folds: Sequence[int
         F.lit(model).alias("model"), F.col(fold).alias("fold"), "metric", "value")
 
 
+@dataclass
+class Prepared:
+    """A split whose features are scaled by what the training rows say; ``scaler`` does the same to new rows."""
+
+    train: DataFrame
+    test: DataFrame
+    scaler: SQLTransformer
+
+
+def split_and_scale(df: DataFrame, columns: Sequence[str], id_column: str = "text_id", test_size: float = 0.2,
+                    seed: int = 42) -> Prepared:
+    """Split by class, fit the scaler on the training rows and apply it to both parts."""
+    rows = materialise(stratified_split(df, id_column, test_size=test_size, seed=seed))
+    train, test = rows.filter(~F.col("is_test")).drop("is_test"), rows.filter("is_test").drop("is_test")
+    scaler = standard_scaler(train, columns)
+    return Prepared(scaler.transform(train), scaler.transform(test), scaler)
+
+
 DEFAULT_TRAINERS: dict[str, Trainer] = {
     "Logistic Regression": train_lr, "Naive Bayes": train_nb, "Random Forest": train_rf,
 }
@@ -225,6 +245,18 @@ def model_suite(train: DataFrame, test: DataFrame, columns: Sequence[str],
     return models, reduce(DataFrame.unionByName, scored)
 
 
+def suite_summary(train: DataFrame, test: DataFrame, columns: Sequence[str], trainers: dict[str, Trainer] = DEFAULT_TRAINERS,
+                  id_column: str = "text_id", k: int = FOLDS, seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """One row per model: its test metrics, and mean and deviation of its accuracy over folds of the training rows."""
+    folded = materialise(stratified_folds(train, id_column, k=k, seed=seed))
+    scores = materialise(reduce(DataFrame.unionByName, [
+        cross_validate(folded, columns, trainer, range(k), model=name, parallelism=parallelism) for name, trainer in trainers.items()]))
+    accuracy = cv_summary(scores, factor=1.0).filter("metric = 'accuracy'").select(
+        "model", F.col("mean").alias("cv_mean"), F.col("std").alias("cv_std"))
+    _, scored = model_suite(train, test, columns, trainers, parallelism=parallelism)
+    return model_comparison(model_metrics(materialise(scored))).join(accuracy, "model")
+
+
 def _per_feature(columns: Sequence[str], values: Sequence[float], name: str) -> DataFrame:
     rows = [(feature, float(value)) for feature, value in zip(columns, values)]
     return SparkSession.active().createDataFrame(rows, f"feature string, {name} double")

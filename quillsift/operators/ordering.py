@@ -22,7 +22,7 @@ from quillsift.session import materialise
 BUCKET_DIGITS = 3
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which null groups meet too, with the key columns of ``left``."""
     renamed = right.withColumnsRenamed({key: f"_of_{key}" for key in keys})
     same = [F.col(f"`{key}`").eqNullSafe(F.col(f"`_of_{key}`")) for key in keys]
@@ -179,7 +179,7 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[st
     )
     rows = Window.partitionBy(*keys).orderBy("_seq")
     upto = rows.rowsBetween(Window.unboundedPreceding, 0)
-    return _join_null_safe(staged, edges, keys).select(
+    return join_null_safe(staged, edges, keys).select(
         *df.columns,
         *[(F.col(f"_before_{name}") + F.sum(column).over(upto)).alias(name) for name, column in totals.items()],
         *[
@@ -199,7 +199,7 @@ def _placed(df: DataFrame, order: Sequence[str | Column], groups: Sequence[str],
     before = parts.rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")).select(
         *keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
-    return _join_null_safe(staged, offsets, keys).select(
+    return join_null_safe(staged, offsets, keys).select(
         *[F.col(f"`{name}`") for name in keep], (F.col("_seq") + F.col("_offset")).alias(output))
 
 

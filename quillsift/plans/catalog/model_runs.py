@@ -126,9 +126,20 @@ def cross_validate_models(spark, sf_dir):
 
 @query("model_suite")
 def model_suite(spark, sf_dir):
+    """Test metrics and cross-validated accuracy of all three models."""
     train, test = _split(spark, sf_dir)
-    _, scored = models.model_suite(train, test, ALL_FEATURES)
-    return ev.model_comparison(ev.model_metrics(materialise(scored)))
+    return models.suite_summary(train, test, ALL_FEATURES)
+
+
+@query("split_and_scale", f"""{_RANKED},
+moments AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long WHERE r > round(0.2 * size) GROUP BY feature)
+SELECT id AS text_id, r <= round(0.2 * size) AS is_test, feature, round(CASE WHEN s > 0 THEN (value - m) / s ELSE 0 END, 6)::DOUBLE AS value
+FROM long JOIN moments USING (feature)""")
+def split_and_scale(spark, sf_dir):
+    """Both parts of the split, scaled by the training rows."""
+    parts = models.split_and_scale(_nine(bind.turn_features(spark, sf_dir)), ALL_FEATURES)
+    rows = parts.train.withColumn("is_test", F.lit(False)).unionByName(parts.test.withColumn("is_test", F.lit(True)))
+    return rows.unpivot(["text_id", "is_test"], ALL_FEATURES, "feature", "value")
 
 
 @query("seed_suite")

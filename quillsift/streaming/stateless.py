@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from quillsift.operators.features import extract_all_features
@@ -22,8 +21,3 @@ def featurise_stream(texts: DataFrame, easy_words: Sequence[str], text_column: s
     """Appends the preprocessed columns and all features to a stream of texts."""
     prepared = preprocess_dataset(texts, text_column)
     return sanitize_numeric(extract_all_features(prepared, easy_words=easy_words), ALL_FEATURES)
-
-
-def score_stream(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """Applies a fitted model to a featurised stream."""
-    return model.transform(features)

@@ -109,6 +109,13 @@ def test_undefined_metrics_are_zero(spark):
     assert cells == {(0, 0): 1, (0, 1): 1, (1, 0): 0, (1, 1): 0}
 
 
+def test_a_null_group_has_its_curve(spark):
+    rows = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.4), ("g", 1, 0.8), ("g", 0, 0.8)], "g string, label int, score double")
+    curve = evaluation.roc_curve(rows, ["g"]).collect()
+    assert sorted((r.threshold, r.fpr, r.tpr) for r in curve if r.g is None) == [(0.4, 1.0, 1.0), (0.9, 0.0, 1.0), (INF, 0.0, 0.0)]
+    assert sorted((r.threshold, r.fpr, r.tpr) for r in curve if r.g == "g") == [(0.8, 1.0, 1.0), (INF, 0.0, 0.0)]
+
+
 CORPUS = ["red fox runs fast", "red fox sleeps", "blue whale swims fast fast", "blue fox jumps a fox", "the red whale"]
 
 
