@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillsift.functions.cleaning import strip_blank
 from quillsift.functions.tokens import word_count
@@ -142,34 +142,30 @@ def dedup_report(df: DataFrame, column: str = "content") -> DataFrame:
 
 @dataclass
 class Binding:
-    """Labelled rows, and how many keys matched or lacked the other side: known once ``rows`` has been read in full."""
+    """Labelled rows, and the joined table that says which keys matched or lacked the other side."""
 
     rows: DataFrame
-    observed: Observation
+    joined: DataFrame
 
     def counts(self) -> dict[str, int]:
-        return {name: self.observed.get[name] for name in ("matched", "without_label", "without_text")}
+        sides = [F.count_if(F.col("_side") == name).alias(name) for name in ("matched", "without_label", "without_text")]
+        return self.joined.agg(*sides).first().asDict()
 
 
 def bind_labels(df: DataFrame, labels: DataFrame, key: str, label: str = "label") -> Binding:
     """The rows of ``df`` that have a label in ``labels(key, label)``, with it, and an audit of those that have none.
 
-    The counts are taken while the rows pass, not in another pass. A null key matches nothing, and a null label is no label;
-    a key that is repeated on one side matches each time.
+    The join is staged with the side that each row came from, so the audit reads one short column and joins nothing again.
+    (``DataFrame.observe`` would count while the rows pass, but a session that has observed cannot run the
+    closures of ``pyspark.ml`` models any more.) A null key matches nothing, and a null label is no label; a key
+    that is repeated on one side matches each time.
     """
     ours = df.withColumn("_ours", F.lit(True))
     theirs = labels.select(F.col(key), F.col(label).alias("_label")).filter(F.col("_label").isNotNull())
-    observed = Observation()
-
-    def rows(condition: Column) -> Column:
-        return F.count_if(condition)
-
-    both = ours.join(theirs, key, "full").observe(
-        observed, rows(F.col("_ours").isNotNull() & F.col("_label").isNotNull()).alias("matched"),
-        rows(F.col("_label").isNull()).alias("without_label"), rows(F.col("_ours").isNull()).alias("without_text"))
-    bound = both.filter(F.col("_ours").isNotNull() & F.col("_label").isNotNull())
+    side = F.when(F.col("_ours").isNull(), "without_text").when(F.col("_label").isNull(), "without_label").otherwise("matched")
+    joined = materialise(ours.join(theirs, key, "full").withColumn("_side", side))
     kept = [F.col(f"`{name}`") for name in df.columns if name != label]
-    return Binding(bound.select(*kept, F.col("_label").alias(label)), observed)
+    return Binding(joined.filter("_side = 'matched'").select(*kept, F.col("_label").alias(label)), joined)
 
 
 # --- balance ----------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from quillsift.operators.features import token_table, word_table
 from quillsift.operators.models import predict, train_nb
 from quillsift.plans.catalog import bindings as bind, sql
 from quillsift.plans.catalog.registry import query
-from quillsift.session import materialise, scratch_path
+from quillsift.session import scratch_path
 from quillsift.sources import articles, files
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -348,10 +348,9 @@ SELECT unnest(['matched', 'without_label', 'without_text']) AS rows, unnest([
   count(*) FILTER (d.doc_id IS NOT NULL AND quality IS NOT NULL), count(*) FILTER (quality IS NULL), count(*) FILTER (d.doc_id IS NULL)]) AS n
 FROM documents d FULL JOIN (SELECT * FROM labels WHERE quality IS NOT NULL) l ON d.doc_id = l.doc_id""")
 def label_bind_audit(spark, sf_dir):
-    """What the binding left out on either side, counted while it ran."""
+    """What the binding left out on either side."""
     labels = bind.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    bound = dataset.bind_labels(bind.documents(spark, sf_dir), labels, "doc_id")
-    materialise(bound.rows.select("doc_id", "label"))
+    bound = dataset.bind_labels(bind.documents(spark, sf_dir).select("doc_id"), labels, "doc_id")
     return spark.createDataFrame(list(bound.counts().items()), "rows string, n long")
 
 
