@@ -37,7 +37,7 @@ from quillsift.session import materialise
 K = 5
 TAIL = 0.1
 # Tokens of a chunk, and of a partition of the count table, about.
-CHUNK_TOKENS = 6 << 20
+CHUNK_TOKENS = 4 << 20
 PART_TOKENS = 1_500_000
 # Words and pairs with a larger share of all tokens than twice this are resolved where they occur: at most 1 / SHARE of each.
 SHARE = 1 / 20_000
@@ -97,13 +97,21 @@ class Chunk:
         self.sizes = np.array([len(h) + 1 for h in hashes], dtype=np.int64)
         start, end = np.array([START]), np.array([END])
         flat = np.concatenate([part for h in hashes for part in (start, h, end)])
-        self.words, number = np.unique(flat, return_inverse=True)
+        hashes.clear()  # the chunk is what memory is spent on
+        order = np.argsort(flat)
+        flat = flat[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        self.words = flat[new]
+        del flat
+        number = np.empty(len(order), dtype=np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
         last = np.cumsum(self.sizes + 1) - 1
         first = last - self.sizes
-        context, word = np.ones(len(flat), dtype=bool), np.ones(len(flat), dtype=bool)
+        context, word = np.ones(len(number), dtype=bool), np.ones(len(number), dtype=bool)
         context[last], word[first] = False, False
-        self.v, self.w = number[context].astype(np.int32), number[word].astype(np.int32)
-        self.doc = np.repeat(np.arange(len(docs)), self.sizes)
+        self.v, self.w = number[context], number[word]
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.sizes)
         self.learned = self.train[self.doc]
 
     def pairs(self, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -252,18 +260,22 @@ def _send(batches: Iterator[pa.RecordBatch], known, parts: int, chunk_tokens: in
             away[both[found > 0]] = False
             yield name % parts, name, META, _dump(chunk.docs, chunk.sizes, chunk.train, sums.dump())
             away = np.flatnonzero(away)
-            v, w, doc = chunk.v[away], chunk.w[away], chunk.doc[away]
+            w = chunk.w[away]
             route = np.where(listed[w], chunk.pairs(away), chunk.words[w])
-            part = (_mixed(route) % np.uint64(parts)).astype(np.int64)
+            del w
+            part = (_mixed(route) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+            del route
             order = np.argsort(part, kind="stable")
-            bounds = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for start, stop in zip(bounds, [*bounds[1:], len(order)]):
-                mine = order[start:stop]
-                vs, vi = np.unique(v[mine], return_inverse=True)
-                ws, wi = np.unique(w[mine], return_inverse=True)
-                held, n = np.unique(doc[mine], return_counts=True)
+            part, away = part[order], away[order]
+            del order
+            bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            for start, stop in zip(bounds, [*bounds[1:], len(away)]):
+                mine = away[start:stop]
+                vs, vi = np.unique(chunk.v[mine], return_inverse=True)
+                ws, wi = np.unique(chunk.w[mine], return_inverse=True)
+                held, n = np.unique(chunk.doc[mine], return_counts=True)
                 steps = np.diff(held, prepend=0)
-                yield int(part[mine[0]]), name, DOCS, _dump(
+                yield int(part[start]), name, DOCS, _dump(
                     _planes(chunk.words[vs]), _planes(chunk.words[ws]), _narrow(vi), _narrow(wi), _narrow(steps), _narrow(n), chunk.train[held])
 
     return _grow(rows())
@@ -463,7 +475,7 @@ def score_documents(df: DataFrame, train_column: str, id_column: str = "doc_id",
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`"), F.col(f"`{train_column}`"))
     # These two passes send little, so smaller chunks cost nothing.
-    small = max(1, chunk_tokens // 3)
+    small = max(1, chunk_tokens // 2)
     big = docs.mapInArrow(partial(_frequent, chunk_tokens=small), "kind int, item long, n long")
     big = materialise(big.groupBy("kind", "item").agg(F.sum("n").alias("n")))
     totals = {row["kind"]: row["n"] for row in big.filter("kind > 1").collect()}
