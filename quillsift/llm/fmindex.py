@@ -14,17 +14,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quillsift.session import materialise
+
 WINDOW = 10
 SHARD_WORDS = 4 << 20
 SAMPLE = 8
-# The benchmark goes to every task. A larger one is refused: split it, and search part by part.
-BENCHMARK_WORDS = 32 << 20
+# What one part of the benchmark may take of every task: WORD_BYTES for a word, and the word itself. A larger benchmark is
+# searched part by part.
+PART_BYTES = 64 << 20
+WORD_BYTES = 128
 
 # Every byte that is no word byte becomes a space; A-Z become a-z.
 _SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -135,19 +140,14 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of all benchmark items, each different one once, and the items that have it."""
+    """The windows of benchmark items, each different one once, and the items that have it."""
 
-    def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW, most: int = BENCHMARK_WORDS):
+    def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], int] = {}
         pairs: set[tuple[int, int]] = set()
         self.items: list = []
-        total = 0
-        for item, text in items:
-            words = words_of(text)
-            total += len(words)
-            if total > most:
-                raise ValueError(f"the benchmark has more than {most} words: search it in parts")
+        for item, words in items:
             ids = [self.vocabulary.setdefault(word, len(self.vocabulary) + 1) for word in words]
             if ids:
                 self.items.append(item)
@@ -162,6 +162,38 @@ class Phrases:
         self.shortest = int(self.lengths.min(initial=window))
 
 
+def parts_of(items: Iterable[tuple[object, str | None]], window: int = WINDOW, part_bytes: int = PART_BYTES) -> Iterator[Phrases]:
+    """The benchmark in parts of at most about ``part_bytes``; at least one, which may be empty.
+
+    A longer item is cut so that each of its windows lies in one piece. One window always fits.
+    """
+    most = max(window, part_bytes // WORD_BYTES)
+    held, size, made = [], 0, False
+    for item, text in items:
+        words = words_of(text)
+        for start in range(0, max(1, len(words) - window + 1), most - window + 1):
+            piece = words[start:start + most]
+            more = len(piece) * WORD_BYTES + sum(map(len, piece))
+            if held and size + more > part_bytes:
+                yield Phrases(held, window)
+                held, size, made = [], 0, True
+            held.append((item, piece))
+            size += more
+    if held or not made:
+        yield Phrases(held, window)
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order; those that overlap or touch become one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def find_phrases(shard: np.ndarray, phrases: Phrases, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(positions, phrase numbers) of all occurrences in a shard of word numbers, 0 for other words and bounds."""
     inside = np.concatenate([[0], (shard > 0).astype(np.int8), [0]])
@@ -211,7 +243,7 @@ SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
                        sample: int = SAMPLE, text_column: str = "text", item_column: str = "item_id",
-                       item_text: str = "text", cut: bool = False) -> DataFrame:
+                       item_text: str = "text", cut: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``df`` with ``n_words``, ``hit_spans`` (word positions, merged, end exclusive) and
     ``item_ids`` (items with a window in the text, ascending).
 
@@ -219,12 +251,28 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW
     hit; repeated rows are each reported; an empty table or benchmark gives no hits. Input columns
     of the output's names are replaced, all others kept. With ``cut`` the text loses its hit spans.
 
-    The benchmark is the stated set of queries: it is read to the driver, up to a documented number of words,
-    and searched in every shard. Documents are not shuffled.
+    The benchmark is the stated set of queries: it is read to the driver in parts of at most ``part_bytes``, and each part
+    is searched in every shard. Documents are not shuffled; where there is more than one part, they are written and
+    read again between parts, each of which adds its spans and items.
     """
     items = benchmark.select(F.col(f"`{item_column}`").cast("long"), F.col(f"`{item_text}`"))
-    shared = df.sparkSession.sparkContext.broadcast(Phrases(map(tuple, items.toLocalIterator()), window))
+    search = partial(_search, window=window, shard_words=shard_words, sample=sample, text_column=text_column)
     df = df.drop(*[c for c in df.columns if c in HIT_FIELDS])
+    part, more = None, False
+    for following in parts_of(map(tuple, items.toLocalIterator()), window, part_bytes):
+        if part is not None:
+            df, more = materialise(search(df, part, more=more)), True
+        part = following
+    return search(df, part, more=more, cut=cut)
+
+
+def _search(df: DataFrame, part: Phrases, window: int, shard_words: int, sample: int, text_column: str, more: bool,
+            cut: bool = False) -> DataFrame:
+    """What one part of the benchmark finds; with ``more``, added to what the columns hold from the parts before."""
+    shared = df.sparkSession.sparkContext.broadcast(part)
+    fields = [field for field in df.schema.fields if field.name not in HIT_FIELDS]
+    keep = [df.columns.index(field.name) for field in fields]
+    before = [df.columns.index(name) for name in HIT_FIELDS][1:] if more else None
     place = df.columns.index(text_column)
 
     def finish(held: list, words: list[np.ndarray], phrases: Phrases) -> Iterator[pa.RecordBatch]:
@@ -255,6 +303,10 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW
                 mine = slice(first[i], first[i + 1])
                 spans.append([(int(a - starts[i]), int(b - starts[i])) for a, b in zip(begins[mine], ends[mine])])
                 ids.append(sorted({phrases.items[o] for o in owner[from_[i]:from_[i + 1]]}, key=lambda x: (x is not None, x)))
+                if before:
+                    old = batch.column(before[0])[i - at].as_py()
+                    spans[-1] = merged([*spans[-1], *((span["start"], span["end"]) for span in old)])
+                    ids[-1] = sorted({*ids[-1], *batch.column(before[1])[i - at].as_py()}, key=lambda x: (x is not None, x))
                 if cut:
                     text = batch.column(place)[i - at].as_py()
                     texts.append(cut_words(text, spans[-1]) if spans[-1] else text)
@@ -263,8 +315,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW
                 columns[place] = pa.array(texts, batch.schema.field(place).type)
             rows = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPAN_TYPE)
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sizes[at:at + batch.num_rows]), rows, pa.array(ids, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, *HIT_FIELDS])
+                [*(columns[c] for c in keep), pa.array(sizes[at:at + batch.num_rows]), rows, pa.array(ids, pa.list_(pa.int64()))],
+                names=[*(field.name for field in fields), *HIT_FIELDS])
             at += batch.num_rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,5 +334,5 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW
         if held:
             yield from finish(held, words, phrases)
 
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in HIT_FIELDS.items()]])
+    schema = T.StructType([*fields, *[T.StructField(name, kind) for name, kind in HIT_FIELDS.items()]])
     return df.mapInArrow(task, schema)

@@ -136,8 +136,8 @@ def test_decontamination(spark):
     ]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n_words int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for shard_words in (50, 1 << 20):
-        got = fmindex.find_contamination(df, bench, shard_words=shard_words, cut=True).collect()
+    for shard_words, part_bytes in ((50, fmindex.PART_BYTES), (1 << 20, 3_000)):  # the second: several parts, and an item in two
+        got = fmindex.find_contamination(df, bench, shard_words=shard_words, part_bytes=part_bytes, cut=True).collect()
         flat = sorted(((r.doc_id, r.n_words, [k for s in r.hit_spans for k in range(s.start, s.end)], set(r.item_ids)) for r in got), key=str)
         assert flat == brute_hits(docs, items)
         texts = {(r.doc_id, r.n_words): r.text for r in got}
@@ -146,6 +146,25 @@ def test_decontamination(spark):
     assert fmindex.find_contamination(df.limit(0), bench).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=6), st.integers(1, 4), st.integers(1, 12))
+def test_parts_hold_every_window(lengths, window, most):
+    items = [(i, " ".join(f"w{(7 * i + k) % 11}" for k in range(n))) for i, n in enumerate(lengths)]
+
+    def windows(parts):
+        out = set()
+        for part in parts:
+            names = {number: word for word, number in part.vocabulary.items()}
+            for row, (a, b) in enumerate(zip(part.owner_starts, part.owner_starts[1:])):
+                phrase = tuple(names[x] for x in part.symbols[row] if x)
+                out |= {(part.items[o], phrase) for o in part.owners[a:b]}
+        return out
+
+    whole, parts = list(fmindex.parts_of(items, window)), list(fmindex.parts_of(items, window, most * fmindex.WORD_BYTES))
+    assert len(whole) == 1 and windows(whole) == windows(parts)
+    assert all(len(part.symbols) <= max(window, most) for part in parts)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=5), min_size=1, max_size=6))
 def test_index_finds_all_occurrences(symbols, phrases):
