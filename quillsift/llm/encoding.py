@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ CACHE_PIECES = 400_000
 CACHE_BYTES = 48 << 20
 # White space other than blanks and line ends: such texts are cut by pattern.
 OTHER_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
-STOPS = frozenset(".,")
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# A single line end between visible characters is a piece of its own, and so is a run of signs after letters.
+LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,28 +42,33 @@ class Pieces(dict):
     Two generations: when this one is full it becomes the old one, from which pieces still in use move back.
     """
 
-    def __init__(self, tokenizer, lead: str, packed: list[bytes]):
+    def __init__(self, tokenizer, lead: str, packed: list[bytes], unled: Pieces | None = None):
         super().__init__()
+        self.unled = self if unled is None else unled  # for what follows inside a piece
         self.tokenizer, self.lead, self.old, self.size = tokenizer, lead, {}, 0
         self.model, self.letter = tokenizer.model, lead.translate(BYTE_LETTERS)
         self.packed = packed
 
-    def turned(self) -> Pieces:
+    def turned(self, unled: Pieces | None = None) -> Pieces:
         if len(self) < CACHE_PIECES and self.size < CACHE_BYTES:
+            self.unled = self if unled is None else unled
             return self
-        young = Pieces(self.tokenizer, self.lead, self.packed)
+        young = Pieces(self.tokenizer, self.lead, self.packed, unled)
         young.old, self.old = self, {}
         return young
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece) if self.old else None
         if ids is None:
-            # Letters are one piece of the pattern, which the model can merge directly; a stop after them is another.
+            # Letters are one piece of the pattern, which the model can merge directly.
             if piece.isalpha():
                 data = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
                 ids = b"".join([self.packed[token.id] for token in self.model.tokenize(self.letter + data)])
-            elif piece[-1:] in STOPS and piece[:-1].isalpha():
-                ids = self[piece[:-1]] + _encoded(self.tokenizer, piece[-1])
+            elif "\n" in piece and len(lines := LINE.split(piece)) > 1:
+                end = self.unled["\n"]
+                return self[lines[0]] + b"".join([end + self.unled[line] for line in lines[1:]])
+            elif (word := piece.rstrip(punctuation)).isalpha():
+                ids = self[word] + self.unled[piece[len(word):]]
             else:
                 ids = _encoded(self.tokenizer, self.lead + piece)
         self[piece] = ids
@@ -89,7 +96,8 @@ class Encoder:
             and not split.get("add_prefix_space") and made.get("normalizer") is None
         )
         packed = [i.to_bytes(4, "little") for i in range(self.vocabulary)]
-        self.first, self.later = Pieces(self.tokenizer, "", packed), Pieces(self.tokenizer, " ", packed)
+        self.first = Pieces(self.tokenizer, "", packed)
+        self.later = Pieces(self.tokenizer, " ", packed, self.first)
 
     @property
     def vocabulary(self) -> int:
@@ -105,7 +113,8 @@ class Encoder:
         rough = (text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text
                  or any(space in text for space in OTHER_SPACES))
         head, *pieces = CUT.split(text) if rough else text.split(" ")
-        self.first, self.later = self.first.turned(), self.later.turned()
+        self.first = self.first.turned()
+        self.later = self.later.turned(self.first)
         return self.first[head] + b"".join(map(self.later.__getitem__, pieces))
 
     def rest(self) -> None:

@@ -29,7 +29,7 @@ def pieces():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*"ab.,' \n\t1é日_\u00a0\x1c", "'s", "  ", "Word", "ﬁ", "<|endoftext|>"]), max_size=40))
+@given(st.lists(st.sampled_from([*"ab.,' \n\t1é日_\u00a0\x1c", "'s", "  ", "Word", "ﬁ", "<|endoftext|>", "&&&", "!\n?", "\u0301", "²", "Ⅷ", "\r\n"]), max_size=40))
 def test_pieces_encode_like_the_whole(whole, pieces, parts):
     text = "".join(parts)
     assert ids_of(pieces.encode(text)).tolist() == whole.encode(text, add_special_tokens=False).ids
