@@ -159,6 +159,18 @@ def is_signed_token(text: str) -> bool:
     return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str)
 
 
+def signed_tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where signed tokens lie; a candidate that fails is tried again from its second part, since words may stand before a token."""
+    spans, at = [], start
+    while match := JWT.search(text, at, end):
+        if is_signed_token(match[0]):
+            spans.append(match.span())
+            at = match.end()
+        else:
+            at = text.index(".", match.start()) + 1
+    return spans
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns: leftmost matches that do not overlap, too short ones dropped."""
     spans = []
@@ -181,7 +193,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for run in RUN.finditer(text):
         if run.end() - run.start() < 28:
             continue
-        spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text, *run.span()) if is_signed_token(m[0])]
+        spans += [(*span, "jwt") for span in signed_tokens(text, *run.span())]
         for m in HEX_ENCODED.finditer(text, *run.span()):
             if kind := key_kind(bytes.fromhex(m[0])):
                 spans.append((m.start(), m.end(), kind))

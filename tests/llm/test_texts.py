@@ -102,6 +102,16 @@ def test_secret_rows(spark):
     assert [s.kind for r in got if r.doc_id == 4 for s in r.spans] == ["jwt"]
 
 
+def test_signed_tokens_after_words():
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    token = ".".join([part('{"alg":"HS256"}'), part('{"sub":"someone"}'), "s" * 43])
+    for before in ("", "accesstoken.", "my-session.", "one-longer.two-longer.", "a."):
+        text = f"see {before}{token} and {token}."
+        spans = [(a, b) for a, b, kind in secretscan.confirmed_spans(text) if kind == "jwt"]
+        assert [text[a:b] for a, b in spans] == [token, token]
+    assert secretscan.confirmed_spans("longer-words." * 2000) == []
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 def words(text):
