@@ -3,9 +3,11 @@
 import math
 import re
 import statistics
+import tracemalloc
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,16 @@ def test_features_need_no_shuffle(spark):
     plan = extract_all_features(preprocess_dataset(df), easy_words=["the"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_nfkd_holds_few_texts_of_a_batch_at_a_time():
+    texts = [None, "", "plain", "é́ﬁẛ̣", *["é a" * 3000] * 4000]
+    batch = pa.array(texts)
+    tracemalloc.start()
+    made = cleaning._nfkd_batch.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.to_pylist() == [text and unicodedata.normalize("NFKD", text) for text in texts]
+    assert peak < 10e6  # all of them are 100 MB and more as Python strings
+    assert cleaning._nfkd_batch.func(pa.array([], pa.string())).to_pylist() == []
+    assert cleaning._nfkd_batch.func(pa.nulls(3, pa.string())).to_pylist() == [None] * 3
