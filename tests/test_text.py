@@ -170,6 +170,21 @@ def test_nfkd_holds_few_texts_of_a_batch_at_a_time():
     assert cleaning._nfkd_batch.func(pa.nulls(3, pa.string())).to_pylist() == [None] * 3
 
 
+def test_nfkd_of_assigned_characters_stays_out_of_python(spark, monkeypatch):
+    """Texts went to Python by the batch; only characters newer than Java's tables do now, and no form differs."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    marked = [f"e{c}\u0323\u0301" for c in points if unicodedata.combining(c)]
+    df = spark.createDataFrame(pa.table({"t": [None, "", *points, *marked]}))
+    made = df.select("t", cleaning.nfkd(F.col("t")).alias("n")).collect()
+    assert [row.t for row in made if row.n != (row.t and unicodedata.normalize("NFKD", row.t))] == []
+
+    crossed = F.arrow_udf(lambda texts: pa.array([text and "python" for text in texts.to_pylist()], pa.string()), "string")
+    monkeypatch.setattr(cleaning, "_nfkd_batch", crossed)
+    df = spark.createDataFrame([(0, "plain"), (1, "é ﬁ 한"), (2, "é \U0010fffe"), (3, None)], "i int, t string")
+    made = [row.n for row in df.select("i", cleaning.nfkd(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert made == ["plain", unicodedata.normalize("NFKD", "é ﬁ 한"), "python", None]
+
+
 def test_cleaning_searches_only_texts_that_hold_something(spark):
     """The patterns for addresses cost most where there are none; results stay those of the patterns alone."""
     texts = [*TEXTS, "a  b", " a b ", "a \n b\n c", "@", "a@b", "x@ @y", "http", "http:", "wwww", "cannot", "cannots 's", "dog's's"]
