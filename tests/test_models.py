@@ -120,6 +120,29 @@ def test_a_null_group_has_its_curve(spark):
 CORPUS = ["red fox runs fast", "red fox sleeps", "blue whale swims fast fast", "blue fox jumps a fox", "the red whale"]
 
 
+def test_neighbours_are_joined_by_their_weights(spark):
+    """The coordinates of a document are many times wider than its weights: none are staged or shuffled."""
+    rows = [(i, f"common word{i % 3} word{i % 5} other{i % 2}") for i in range(40)]
+    texts = spark.createDataFrame(rows, "text_id long, normalized_text string")
+    vectors, names = tfidf.tfidf_vectors(texts, tfidf.tfidf_vocabulary(texts))
+    vectors = vectors.select("text_id", "tfidf").localCheckpoint()
+    after = vectors.select((F.col("text_id") - 1).alias("text_id"), F.col("tfidf").alias("_after"))
+    pairs = vectors.join(after, "text_id", "left")
+    reduced, basis = tfidf.svd_reduce(pairs, len(names), len(names), learn=vectors, also={"_after": "_next"})
+    plan = reduced._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Join")[0] and "MapInArrow" not in plan.split("Join", 1)[1]
+    alone = {r.text_id: r.svd for r in tfidf.svd_reduce(vectors, len(names), len(names))[0].collect()}
+    for row in reduced.collect():
+        assert row.svd == pytest.approx(alone[row.text_id], abs=1e-12)
+        assert row._next == pytest.approx(alone.get(row.text_id + 1, [0.0] * len(names)), abs=1e-12)
+    spread = tfidf.svd_explained_variance(reduced)
+    assert spread._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2  # read once; three times before
+    row = spread.first()
+    table = np.array([alone[i] for i in range(40)])
+    assert row.kept_variance == pytest.approx(table.var(axis=0, ddof=1).sum())
+    assert row.total_variance == pytest.approx(row.kept_variance)
+
+
 def test_tfidf_and_svd_against_numpy(spark):
     df = spark.createDataFrame(list(enumerate(CORPUS)), "text_id int, normalized_text string")
     docs = []
