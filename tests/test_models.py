@@ -1,8 +1,10 @@
 """Matrix steps, quantiles, metrics, TF-IDF, SVD and classifiers on small generated tables."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -120,6 +122,30 @@ def test_a_null_group_has_its_curve(spark):
 CORPUS = ["red fox runs fast", "red fox sleeps", "blue whale swims fast fast", "blue fox jumps a fox", "the red whale"]
 
 
+def test_terms_are_counted_as_numbers(spark, monkeypatch):
+    """Each occurrence was a string of its own, sorted and sent on; now a task sends a term once for some documents."""
+    monkeypatch.setattr(tfidf, "SLICE_WORDS", 5)
+    texts = ["a1 b1 a1 b1 c1", "", None, "a1 b1", "x1", "b1 a1 b1 a1 b1 a1 b1 a1"]
+    words = pa.array([None if text is None else text.split() for text in texts])
+    made = Counter()
+    for part in tfidf._slices(words):
+        for terms, number, document in tfidf._occurrences(part, 3):
+            assert len(set(terms.to_pylist())) == len(terms)
+            made.update(terms[int(i)].as_py() for i in number)
+    wanted = Counter(" ".join(text.split()[i:i + n]) for text in texts if text for n in (1, 2, 3) for i in range(len(text.split()) - n + 1))
+    assert made == wanted
+
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, normalized_text string")
+    rows = {r.term: (r.tf, r.df, r.n_docs) for r in tfidf.tfidf_vocabulary(df.coalesce(1), max_n=3).collect()}
+    holders = {term: sum(f" {term} " in f" {text} " for text in texts if text) for term in wanted}
+    assert rows == {term: (wanted[term], n, 6) for term, n in holders.items() if n >= 2}
+    plan = tfidf.tfidf_vocabulary(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    vectors, names = tfidf.tfidf_vectors(df, tfidf.tfidf_vocabulary(df))
+    assert [r.tfidf.indices for r in vectors.filter("text_id in (1, 2, 4)").collect()] == [[], [], []]
+    assert tfidf.tfidf_vocabulary(df.filter("false")).collect() == []
+
+
 def test_neighbours_are_joined_by_their_weights(spark):
     """The coordinates of a document are many times wider than its weights: none are staged or shuffled."""
     rows = [(i, f"common word{i % 3} word{i % 5} other{i % 2}") for i in range(40)]
