@@ -185,6 +185,19 @@ def test_nfkd_of_assigned_characters_stays_out_of_python(spark, monkeypatch):
     assert made == ["plain", unicodedata.normalize("NFKD", "é ﬁ 한"), "python", None]
 
 
+def test_contractions_are_sought_only_behind_an_apostrophe(spark):
+    texts = [*TEXTS, "can't won't", "wont", "n't", "i'd've", "'", "they're we'll i'm", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cleaning.expand_contractions(F.col("t")).alias("e"))
+    assert "Contains" in rows._jdf.queryExecution().executedPlan().toString()
+
+    def plain(text):
+        for short, full in cleaning.CONTRACTIONS.items():
+            text = text.replace(short, full)
+        return text
+
+    assert [row.e for row in rows.collect()] == [text and plain(text) for text in texts]
+
+
 def test_cleaning_searches_only_texts_that_hold_something(spark):
     """The patterns for addresses cost most where there are none; results stay those of the patterns alone."""
     texts = [*TEXTS, "a  b", " a b ", "a \n b\n c", "@", "a@b", "x@ @y", "http", "http:", "wwww", "cannot", "cannots 's", "dog's's"]
