@@ -416,3 +416,33 @@ def test_a_forest_of_one_class_and_of_bad_rows(spark, noisy):
         forest.fit_forest(noisy.withColumn("label", F.lit(None).cast("int")), FIVE, 3, 30, 1)
     three = forest.fit_forest(noisy.withColumn("label", F.col("e").cast("int")), FIVE, 3, 30, 1)
     assert three.transform(noisy).filter("prediction = e").count() == 3000
+
+
+def test_a_grid_of_points_shares_its_passes(spark, noisy):
+    """Each point and fold took passes of its own, thousands in all; fits are the least values of their objectives."""
+    folded = splits.stratified_folds(noisy, k=3).cache()
+    columns = FIVE[:3]
+    uses = [F.col("fold") != i for i in range(3)]
+    points = [(i, *w) for i in range(3) for w in ((40.0, 0.0), (0.0, 9.0), (5.0, 5.0), (1e6, 0.0))]
+    fits = logistic.fit_logistic(folded, columns, uses, points=points)
+    rows = folded.select("fold", "label", *columns).toPandas()
+    for fit, (i, l1, l2) in zip(fits, points):
+        mine = rows[rows.fold != i]
+        x = mine[columns].to_numpy()
+        away = 1 / (1 + np.exp(-(x @ fit.coefficients + fit.intercept))) - mine.label.to_numpy()
+        gradient, zero = x.T @ away + l2 * fit.coefficients, fit.coefficients == 0
+        assert abs(away.sum()) < 1e-3 and np.all(np.abs(gradient[zero]) <= l1 + 1e-3) and fit.steps < 25
+        assert np.allclose(gradient[~zero], -l1 * np.sign(fit.coefficients[~zero]), atol=1e-3) and (l1 < 1e6 or zero.all())
+    spark.sparkContext.setJobGroup("grid", "grid")
+    model, grid = models.tune_lr(folded, FIVE, grid_c=[0.001, 1.0])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150, jobs
+    got = {(r.c, r.penalty): r.f1 for r in grid.collect()}
+    slow = models.train_lr(folded, FIVE, *max(got, key=got.get)[::-1])
+    assert np.allclose(model.stages[-1].coefficients.toArray(), slow.stages[-1].coefficients.toArray(), atol=0.03)
+    for (c, penalty), f1 in got.items():
+        one = [evaluation.classification_metrics(models.predict(models.train_lr(folded.filter(F.col("fold") != i), FIVE, penalty, c), folded.filter(F.col("fold") == i))).first().f1_score for i in range(3)]
+        assert f1 == pytest.approx(np.mean(one), abs=0.005)
+    with pytest.raises(ValueError):
+        models.tune_lr(folded.withColumn("fold", F.lit(None).cast("int")), FIVE)
