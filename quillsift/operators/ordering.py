@@ -114,8 +114,8 @@ def within_limits(df: DataFrame, limits: DataFrame, strata: Sequence[str], id_co
                   seed: int | Column = 42, output: str = "chosen") -> DataFrame:
     """Marks the rows up to the limits of ``hash_limits``; rows without a stratum get a null.
 
-    There is one row of limits per stratum; where those are few, adaptive execution broadcasts them and each
-    row is marked where it lies.
+    There is one row of limits per stratum. Stage them: where they are few, their size is then known beforehand and each row is
+    marked where it lies. Else all rows are dealt out by stratum, so that two classes keep two tasks busy.
     """
     h = hash_order(id_column, seed)
     upto_cut = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(id_column) <= F.col("_cut_id")))
@@ -131,9 +131,9 @@ def flag_first(df: DataFrame, strata: Sequence[str], id_column: str, target: Col
     """Marks the first ``target`` rows of each stratum in hash order, moving no data rows.
 
     ``df`` is read three times, twice for strata and id only. Stage it first when it is
-    expensive.
+    expensive. The limits, a row per stratum, are staged at once.
     """
-    limits = hash_limits(df, strata, id_column, target, seed)
+    limits = materialise(hash_limits(df, strata, id_column, target, seed))
     return within_limits(df, limits, strata, id_column, seed, output)
 
 

@@ -159,3 +159,17 @@ def test_split_passes_read_only_what_they_need(spark):
     assert sum("text:string" in read for read in reads) == 1
     wide = [line for line in plan.splitlines() if "text#" in line and "Exchange" in line]
     assert wide == []
+
+
+def test_rows_are_marked_where_they_lie(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(threshold)
+    spark.conf.set(threshold, "100k")  # so that the table is large beside it
+    try:
+        df = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label")).repartition(7)
+        split = splits.stratified_split(df, "doc_id")
+        assert "SortMergeJoin" not in split._jdf.queryExecution().executedPlan().toString()
+        tasks = split.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(tasks) == 7 and max(row["count"] for row in tasks) < 8000  # two tasks, one per class, before
+    finally:
+        spark.conf.set(threshold, held)
