@@ -10,13 +10,13 @@ normalised: for each context the freed mass over what the lower order gives to w
 
 Counts above K lose a fixed tenth, so that every context keeps something to give.
 
-How it is computed. Documents are read in chunks inside tasks. Every occurrence (context, word) goes once, in packed arrays,
-to the partition of the count table that holds its word, so c(w), c(vw) and all that follows from them are found there, and
-sums per document travel back. Discounts are not known yet, so what they weigh is kept as numbers of
-occurrences per count. Words and pairs with a large share of all tokens would make one partition large: they
-are counted first by aggregation (a bounded list) and resolved where they occur; other pairs of such words are
-spread by the pair. What a context has freed is summed over partitions, and goes to the held-out
-occurrences that back off.
+How it is computed. Texts are read once and staged in chunks, as numbers of the chunk's different words. Each chunk asks the
+partitions of the word table once for each of its words, and gets back a number that is the same everywhere and the word's
+training count. It then asks the partitions of the pair table once for each of its different pairs, under these numbers, and gets
+back their counts, and what a context has freed where a pair was not seen in training. Scores are added up where the chunk lies. So
+what moves are a chunk's different words and pairs, not occurrences, and its body twice, whatever the number of partitions.
+A pair lies with its context, so that the context's mass is summed there; pairs of contexts with a large share of all
+tokens (a bounded list) are spread by the pair, and their sums are added up over partitions.
 """
 
 from __future__ import annotations
@@ -36,90 +36,93 @@ from quillsift.session import materialise
 
 K = 5
 TAIL = 0.1
-# Tokens of a chunk, and of a partition of the count table, about.
+# Tokens of a chunk, and of a partition of the pair table, about.
 CHUNK_TOKENS = 4 << 20
-PART_TOKENS = 1_500_000
-# Words and pairs with a larger share of all tokens than twice this are resolved where they occur: at most 1 / SHARE of each.
+PART_TOKENS = 2_000_000
+# Contexts with a larger share of all training tokens than this, at least, are spread: at most 1 / SHARE.
 SHARE = 1 / 20_000
-START, END = np.uint64(0x5CA1AB1E00000001), np.uint64(0x5CA1AB1E00000002)
+END = np.uint64(0x5CA1AB1E00000002)
 
-DOCS, META, FREED, FIX, STATS = range(5)
-ROW_SCHEMA = "part long, chunk long, kind int, payload binary"
+BODY, WORDS, PAIRS, FREED, STATS = range(5)
+CHUNK_SCHEMA = "chunk long, tokens long, learned long, starts long, words binary, body binary"
+ASK_SCHEMA = "part long, chunk long, payload binary"
+TOLD_SCHEMA = "chunk long, part long, kind int, payload binary"
 
 
-def _dump(*values) -> bytes:
-    return zstandard.compress(pickle.dumps(values, protocol=5), 1)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 up, as planes of as many bytes as the largest needs: upper planes are mostly zeros."""
+    head, planes = [], []
+    for values in arrays:
+        width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+        head += [len(values), width]
+        planes.append(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return zstandard.compress(np.array(head, dtype="<u4").tobytes() + b"".join(planes), 1)
 
 
-def _load(data: bytes) -> tuple:
-    return pickle.loads(zstandard.decompress(data))
+def _unpack(data: bytes, arrays: int) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    at, out = 8 * arrays, []
+    for size, width in np.frombuffer(data, "<u4", 2 * arrays).reshape(-1, 2).astype(int):
+        wide = np.zeros((size, 8), dtype=np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T
+        out.append(wide.view("<i8").reshape(-1))
+        at += size * width
+    return out
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    top = int(values.max(initial=0))
-    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "payload": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(name, pa.int64())) for c, name in zip(zip(*rows), names)], names=names)
 
 
-def _planes(ordered: np.ndarray) -> np.ndarray:
-    """Ascending 64-bit hashes as byte planes of their differences: the upper planes are mostly zeros."""
-    steps = np.diff(ordered, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-
-
-def _hashes(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    part, chunk, kind, payload = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()),
-                                       pa.array(payload, pa.binary())], names=["part", "chunk", "kind", "payload"])
-
-
-def _grow(rows: Iterator[tuple[int, int, int, bytes]], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _grow(rows: Iterator[tuple], schema: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    names = [field.split()[0] for field in schema.split(", ")]
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[3])
+        size += len(row[-1])
         if size >= most:
-            yield _batch(held)
+            yield _batch(held, names)
             held, size = [], 0
     if held:
-        yield _batch(held)
-
-
-class Chunk:
-    """Documents of one chunk as word numbers: ``words`` are the different hashes, ``v`` and ``w`` the context and word
-    of each token, ``doc`` its document."""
-
-    def __init__(self, docs: list, hashes: list[np.ndarray], train: list[bool]):
-        self.docs, self.train = docs, np.array(train, dtype=bool)
-        self.sizes = np.array([len(h) + 1 for h in hashes], dtype=np.int64)
-        start, end = np.array([START]), np.array([END])
-        flat = np.concatenate([part for h in hashes for part in (start, h, end)])
-        hashes.clear()  # the chunk is what memory is spent on
-        order = np.argsort(flat)
-        flat = flat[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        self.words = flat[new]
-        del flat
-        number = np.empty(len(order), dtype=np.int32)
-        number[order] = np.cumsum(new, dtype=np.int32) - 1
-        del order, new
-        last = np.cumsum(self.sizes + 1) - 1
-        first = last - self.sizes
-        context, word = np.ones(len(number), dtype=bool), np.ones(len(number), dtype=bool)
-        context[last], word[first] = False, False
-        self.v, self.w = number[context], number[word]
-        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.sizes)
-        self.learned = self.train[self.doc]
-
-    def pairs(self, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return _mixed(self.words[self.v[chosen]] * STEP + self.words[self.w[chosen]])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[Chunk]:
+        yield _batch(held, names)
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each partition, ascending."""
+    order = np.argsort(part, kind="stable")
+    bounds = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
+    for start, stop in zip(bounds, [*bounds[1:], len(order)]):
+        yield int(part[order[start]]), order[start:stop]
+
+
+def _part_of(items: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(_mixed(items * STEP)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+
+
+def _chunk(number: int, docs: list, hashes: list[np.ndarray], train: list[bool]) -> pa.RecordBatch:
+    """Words by falling number of occurrences, so that frequent ones have small numbers; a document ends with the end."""
+    sizes, learns = np.array([len(h) + 1 for h in hashes]), np.array(train, dtype=bool)
+    end = np.array([END])
+    flat = np.concatenate([part for h in hashes for part in (h, end)])
+    hashes.clear()  # the chunk is what memory is spent on
+    words, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    del flat
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    place = rank[place]
+    learned = np.bincount(place[np.repeat(learns, sizes)], minlength=len(words))
+    body = zstandard.compress(pickle.dumps((docs, learns, sizes), protocol=5), 1)
+    body = len(body).to_bytes(8, "little") + body + _pack(place)
+    row = [number, len(place), int(learned.sum()), int(learns.sum()), _pack(words[order], learned), body]
+    names = [field.split()[0] for field in CHUNK_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names=names)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
     docs, hashes, train, held = [], [], [], 0
+    number = TaskContext.get().partitionId() << 24
     for batch in batches:
         for doc, text, flag in zip(*(batch.column(i) for i in range(3))):
             docs.append(doc.as_py())
@@ -127,172 +130,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[Ch
             train.append(bool(flag.as_py()))
             held += len(hashes[-1]) + 1
             if held >= chunk_tokens:
-                chunk = Chunk(docs, hashes, train)
-                docs, hashes, train, held = [], [], [], 0
-                yield chunk
+                yield _chunk(number, docs, hashes, train)
+                docs, hashes, train, held, number = [], [], [], 0, number + 1
     if docs:
-        yield Chunk(docs, hashes, train)
-
-
-def _frequent(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """(kind, item, n): words (0) and pairs (1) with a large share of a chunk; its tokens (2) and training tokens (3)."""
-    for chunk in _chunks(batches, chunk_tokens):
-        least = max(2.0, SHARE * len(chunk.w))
-        count = np.bincount(chunk.w, minlength=len(chunk.words))
-        big = count >= least
-        both = np.flatnonzero(big[chunk.w] & (np.bincount(chunk.v, minlength=len(chunk.words)) >= least)[chunk.v])
-        pair, n = np.unique(chunk.pairs(both), return_counts=True)
-        keep = n >= least
-        kinds = np.concatenate([np.zeros(int(big.sum())), np.ones(int(keep.sum())), [2, 3]]).astype(np.int32)
-        items = np.concatenate([chunk.words[big], pair[keep], np.zeros(2, dtype=np.uint64)])
-        counts = np.concatenate([count[big], n[keep], [len(chunk.w), int(chunk.learned.sum())]])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(items.view(np.int64)), pa.array(counts.astype(np.int64))],
-                                         names=["kind", "item", "n"])
-
-
-class Known:
-    """Training counts of frequent words and pairs."""
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        self.words, self.word_counts, self.pairs, self.pair_counts = words, word_counts, pairs, pair_counts
-
-    @staticmethod
-    def _find(keys: np.ndarray, counts: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """The count of each item, -1 where it is not among the keys."""
-        if not len(keys):
-            return np.full(len(items), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(keys, items), len(keys) - 1)
-        return np.where(keys[at] == items, counts[at], -1)
-
-    def word(self, items: np.ndarray) -> np.ndarray:
-        return self._find(self.words, self.word_counts, items)
-
-    def pair(self, items: np.ndarray) -> np.ndarray:
-        return self._find(self.pairs, self.pair_counts, items)
-
-
-def _count_known(batches: Iterator[pa.RecordBatch], known, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """(kind, item, v, w, n): training counts of the listed words and pairs in each chunk."""
-    lists: Known = known.value
-    for chunk in _chunks(batches, chunk_tokens):
-        listed = lists.word(chunk.words) >= 0
-        count = np.bincount(chunk.w[chunk.learned], minlength=len(chunk.words))
-        before = listed | (chunk.words == START)
-        both = np.flatnonzero(before[chunk.v] & listed[chunk.w] & chunk.learned)
-        pair, at, n = np.unique(chunk.pairs(both), return_index=True, return_counts=True)
-        keep = lists.pair(pair) >= 0
-        at = both[at[keep]]
-        zeros = np.zeros(int(listed.sum()), dtype=np.uint64)
-        columns = [np.concatenate([chunk.words[listed], pair[keep]]), np.concatenate([zeros, chunk.words[chunk.v[at]]]),
-                   np.concatenate([zeros, chunk.words[chunk.w[at]]])]
-        kinds = np.concatenate([zeros, np.ones(len(at), dtype=np.uint64)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds), *[pa.array(c.view(np.int64)) for c in columns],
-             pa.array(np.concatenate([count[listed], n[keep]]).astype(np.int64))], names=["kind", "item", "v", "w", "n"])
-
+        yield _chunk(number, docs, hashes, train)
 
-class Sums:
-    """What a document's occurrences add up to, for ``slots`` documents.
 
-    ``base``: log(c + 1) of its words. ``logs``: all that no discount weighs. ``known``: words seen in training.
-    ``seen[r]``: pairs counted r times; ``low[r]``: words counted r times that are backed off to, 0 unknown, K + 1 more.
-    """
+def _ask_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for chunk, payload in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                words, learned = _unpack(payload, 2)
+                for part, mine in _by_part(_part_of(words.view(np.uint64), parts)):
+                    yield part, chunk, _pack(np.diff(mine, prepend=0), words[mine].view(np.uint64), learned[mine])
 
-    def __init__(self, slots: int):
-        self.slots = slots
-        self.base, self.logs = np.zeros(slots), np.zeros(slots)
-        self.known = np.zeros(slots, dtype=np.int64)
-        self.seen = np.zeros((K + 1, slots), dtype=np.int64)
-        self.low = np.zeros((K + 2, slots), dtype=np.int64)
-
-    def _add(self, slot: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(slot, weights, self.slots)
-
-    def words(self, slot: np.ndarray, count: np.ndarray, is_end: np.ndarray) -> None:
-        """Occurrences of words with these counts; each but the end is also the context of the next."""
-        self.base += self._add(slot, np.log10(count + 1))
-        seen = count > 0
-        self.known += np.bincount(slot[seen], minlength=self.slots)
-        context = seen & ~is_end
-        self.logs -= self._add(slot[context], np.log10(count[context]))
-
-    def pairs(self, slot: np.ndarray, count: np.ndarray) -> None:
-        """Occurrences of pairs that were seen in training."""
-        for r in range(1, K + 1):
-            self.seen[r] += np.bincount(slot[count == r], minlength=self.slots)
-        more = count > K
-        self.logs += self._add(slot[more], np.log10(count[more] - TAIL))
-
-    def backed_off(self, slot: np.ndarray, count: np.ndarray) -> None:
-        """Occurrences of words with these counts after a context in which they were not seen."""
-        for r in range(K + 1):
-            self.low[r] += np.bincount(slot[count == r], minlength=self.slots)
-        more = count > K
-        self.low[K + 1] += np.bincount(slot[more], minlength=self.slots)
-        self.logs += self._add(slot[more], np.log10(count[more] - TAIL))
-
-    def dump(self, part: slice = slice(None)) -> bytes:
-        return _dump(self.base[part], self.logs[part], _narrow(self.known[part]), _narrow(self.seen[:, part]), _narrow(self.low[:, part]))
-
-    def add(self, data: bytes) -> None:
-        for mine, other in zip((self.base, self.logs, self.known, self.seen, self.low), _load(data)):
-            mine += other
-
-
-def _send(batches: Iterator[pa.RecordBatch], known, parts: int, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Packed occurrences for each partition of the count table, and per chunk what was resolved here."""
-    lists: Known = known.value
-    task = TaskContext.get().partitionId()
-
-    def rows() -> Iterator[tuple[int, int, int, bytes]]:
-        for number, chunk in enumerate(_chunks(batches, chunk_tokens)):
-            name = (task << 24) + number
-            counts = lists.word(chunk.words)
-            ends = chunk.words == END
-            listed = counts >= 0
-            sums = Sums(len(chunk.docs))
-            here = np.flatnonzero(listed[chunk.w])
-            sums.words(chunk.doc[here], counts[chunk.w[here]], ends[chunk.w[here]])
-            away = np.ones(len(chunk.w), dtype=bool)
-            both = here[(listed | (chunk.words == START))[chunk.v[here]]]
-            found = lists.pair(chunk.pairs(both))
-            sums.pairs(chunk.doc[both[found > 0]], found[found > 0])
-            away[both[found > 0]] = False
-            yield name % parts, name, META, _dump(chunk.docs, chunk.sizes, chunk.train, sums.dump())
-            away = np.flatnonzero(away)
-            w = chunk.w[away]
-            route = np.where(listed[w], chunk.pairs(away), chunk.words[w])
-            del w
-            part = (_mixed(route) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
-            del route
-            order = np.argsort(part, kind="stable")
-            part, away = part[order], away[order]
-            del order
-            bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-            for start, stop in zip(bounds, [*bounds[1:], len(away)]):
-                mine = away[start:stop]
-                vs, vi = np.unique(chunk.v[mine], return_inverse=True)
-                ws, wi = np.unique(chunk.w[mine], return_inverse=True)
-                held, n = np.unique(chunk.doc[mine], return_counts=True)
-                steps = np.diff(held, prepend=0)
-                yield int(part[start]), name, DOCS, _dump(
-                    _planes(chunk.words[vs]), _planes(chunk.words[ws]), _narrow(vi), _narrow(wi), _narrow(steps), _narrow(n), chunk.train[held])
-
-    return _grow(rows())
-
-
-def _of_types(inverse: np.ndarray, groups: int, pair_counts: np.ndarray, word_counts: np.ndarray) -> np.ndarray:
-    """Per context: pair types by count (1 to K, more); words seen after it by count (1 to K, more), and the sum of the
-    latter less the tail."""
-    table = np.zeros((2 * K + 3, groups))
-    for r in range(1, K + 1):
-        table[r - 1] = np.bincount(inverse[pair_counts == r], minlength=groups)
-        table[K + r] = np.bincount(inverse[word_counts == r], minlength=groups)
-    table[K] = np.bincount(inverse[pair_counts > K], minlength=groups)
-    more = word_counts > K
-    table[2 * K + 1] = np.bincount(inverse[more], minlength=groups)
-    table[2 * K + 2] = np.bincount(inverse[more], word_counts[more] - TAIL, groups)
-    return table
+    return _grow(rows(), ASK_SCHEMA)
 
 
 def _histogram(counts: np.ndarray) -> np.ndarray:
@@ -300,81 +152,138 @@ def _histogram(counts: np.ndarray) -> np.ndarray:
     return np.array([*[(counts == r).sum() for r in range(1, K + 2)], (counts > 0).sum()], dtype=np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch], known, parts: int) -> Iterator[pa.RecordBatch]:
-    """One partition of the count table after the other: counts, sums per document, freed mass per context."""
-    lists: Known = known.value
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    ends = np.cumsum(sizes)
+    return (slice(end - size, end) for size, end in zip(sizes, ends))
+
 
-    def rows() -> Iterator[tuple[int, int, int, bytes]]:
+def _tell_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """A number from 1 up and the training count of each word asked for; small numbers are those of frequent words."""
+    def rows() -> Iterator[tuple]:
         for group in Groups(batches, 1):
-            cells = []
-            for part, chunk, kind, payload in zip(*(group.column(i).to_pylist() for i in range(4))):
-                if kind == META:
-                    yield part, chunk, META, payload
-                else:
-                    cells.append((chunk, _load(payload)))
-            del group
-            if not cells:
-                continue
-            v = np.concatenate([_hashes(c[0])[c[2]] for _, c in cells])
-            w = np.concatenate([_hashes(c[1])[c[3]] for _, c in cells])
-            slots, docs, chunks = [], [], []
-            total = 0
-            for chunk, (_, _, _, _, steps, n, _) in cells:
-                docs.append(np.cumsum(steps.astype(np.int64)))
-                slots.append(np.repeat(np.arange(total, total + len(n)), n))
-                chunks.append(chunk)
-                total += len(n)
-            slot = np.concatenate(slots)
-            learned = np.concatenate([c[6] for _, c in cells])[slot]
-            sizes = [len(d) for d in docs]
-            cells = None
-            words, wi = np.unique(w, return_inverse=True)
-            pair = _mixed(v * STEP + w)
-            _, at, pi = np.unique(pair, return_index=True, return_inverse=True)
-            pair = None
-            pair_counts = np.bincount(pi[learned], minlength=len(at))
-            word_counts = np.bincount(wi[learned], minlength=len(words))
-            elsewhere = lists.word(words)
-            light = elsewhere < 0
-            word_counts = np.where(light, word_counts, elsewhere)
-            yield 0, 0, STATS, _dump(_histogram(word_counts[light]), _histogram(pair_counts))
-
-            sums = Sums(total)
-            own = light[wi]
-            sums.words(slot[own], word_counts[wi[own]], w[own] == END)
-            c = pair_counts[pi]
-            sums.pairs(slot[c > 0], c[c > 0])
-            new = np.flatnonzero(c == 0)
-            sums.backed_off(slot[new], word_counts[wi[new]])
-            at_slot = 0
-            for chunk, doc in zip(chunks, docs):
-                yield chunk % parts, chunk, DOCS, _dump(_narrow(np.diff(doc, prepend=0)), sums.dump(slice(at_slot, at_slot + len(doc))))
-                at_slot += len(doc)
-
-            # Contexts: what their pair types free and how much the lower order gives to the words seen there.
-            seen = at[pair_counts > 0]
-            contexts, inverse = np.unique(v[seen], return_inverse=True)
-            table = _of_types(inverse, len(contexts), pair_counts[pair_counts > 0], word_counts[wi[seen]])
-            for part, chosen in _by_part(contexts, parts):
-                yield part, 0, FREED, _dump(_planes(contexts[chosen]), *[_narrow(row[chosen]) for row in table[:-1]], table[-1][chosen])
-            # Held-out occurrences that back off need their context's weight.
-            names, number = np.array(chunks, dtype=np.int64), np.repeat(np.arange(len(chunks)), sizes)
-            doc = np.concatenate(docs)
-            for part, chosen in _by_part(v[new], parts):
-                mine = new[chosen]
-                contexts, vi = np.unique(v[mine], return_inverse=True)
-                at_doc = slot[mine]
-                yield part, 0, FIX, _dump(_planes(contexts), _narrow(vi), names, _narrow(number[at_doc]), _narrow(doc[at_doc]))
-
-    return _grow(rows())
-
-
-def _by_part(items: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    part = (_mixed(items + np.uint64(7)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    bounds = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for start, stop in zip(bounds, [*bounds[1:], len(order)]):
-        yield int(part[order[start]]), order[start:stop]
+            part = group.column("part")[0].as_py()
+            cells = [_unpack(payload, 3) for payload in group.column("payload").to_pylist()]
+            words, place = np.unique(np.concatenate([c[1] for c in cells]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([c[2] for c in cells]), len(words)).astype(np.int64)
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+            number, count = (1 + part + parts * rank)[place], counts[place]
+            for chunk, cell, mine in zip(group.column("chunk").to_pylist(), cells, _slices([len(c[0]) for c in cells])):
+                yield chunk, part, WORDS, _pack(cell[0], number[mine], count[mine])
+            yield -1, part, STATS, _pack(_histogram(counts))
+
+    return _grow(rows(), TOLD_SCHEMA)
+
+
+class Numbered:
+    """A chunk whose words have their numbers and counts, from its body and what the word table told.
+
+    ``v`` and ``w`` are the context and the word of each different pair, ``pair`` the pair of each token. The start of a text
+    is the context after the last word, with the number 0.
+    """
+
+    def __init__(self, group: pa.Table, starts: int):
+        rows = list(zip(*(group.column(name).to_pylist() for name in ("kind", "part", "payload"))))
+        body = next(payload for kind, _, payload in rows if kind == BODY)
+        cut = 8 + int.from_bytes(body[:8], "little")
+        self.docs, self.train, self.sizes = pickle.loads(zstandard.decompress(body[8:cut]))
+        (word,) = _unpack(body[cut:], 1)
+        told = [_unpack(payload, 3) for kind, _, payload in rows if kind == WORDS]
+        self.pair_cells = {part: payload for kind, part, payload in rows if kind == PAIRS}
+        words = sum(len(cell[0]) for cell in told)
+        self.number, self.count = np.zeros(words + 1, dtype=np.int64), np.zeros(words + 1, dtype=np.int64)
+        for steps, number, count in told:
+            at = np.cumsum(steps)
+            self.number[at], self.count[at] = number, count
+        self.count[words] = starts
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[np.cumsum(self.sizes) - self.sizes] = words
+        pairs, self.pair = np.unique(context * (words + 1) + word, return_inverse=True)
+        self.v, self.w = np.divmod(pairs, words + 1)
+        self.word, self.start = word, words
+
+    def cells(self, parts: int, heavy_from: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The pairs for each partition of the pair table, and which of them have a heavy context. A context that training lacks has none."""
+        asked = np.flatnonzero(self.count[self.v] > 0)
+        v, w = self.v[asked], self.w[asked]
+        heavy = (self.count[v] >= heavy_from) | (v == self.start)
+        route = self.number[v].astype(np.uint64) * STEP
+        route = np.where(heavy, _mixed(route) + self.number[w].astype(np.uint64), route)
+        for part, mine in _by_part(_part_of(route, parts)):
+            yield part, asked[mine], heavy[mine]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and how long it is."""
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return first, np.diff(first, append=len(values))
+
+
+def _ask_pairs(batches: Iterator[pa.RecordBatch], parts: int, starts: int, heavy_from: float) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for group in Groups(batches, 1):
+            chunk = group.column("chunk")[0].as_py()
+            mine = Numbered(group, starts)
+            learned = np.bincount(mine.pair[mine.train[mine.doc]], minlength=len(mine.v))
+            for part, pairs, heavy in mine.cells(parts, heavy_from):
+                first, size = _runs(mine.v[pairs])
+                words, place = np.unique(mine.w[pairs], return_inverse=True)
+                yield part, chunk, _pack(mine.number[mine.v[pairs[first]]], size, heavy[first], mine.number[words], mine.count[words], place, learned[pairs])
+
+    return _grow(rows(), ASK_SCHEMA)
+
+
+def _less(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Counts after the discount."""
+    return np.where(counts <= K, factors[np.minimum(counts, K)] * counts, counts - TAIL)
+
+
+def _tell_pairs(batches: Iterator[pa.RecordBatch], words: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs; for light contexts of pairs that were not seen: pair types by count (1 to K, more) and what the lower order
+    gives to the words seen there. For heavy contexts the part of these that lies here."""
+    def rows() -> Iterator[tuple]:
+        for group in Groups(batches, 1):
+            part = group.column("part")[0].as_py()
+            cells = [_unpack(payload, 7) for payload in group.column("payload").to_pylist()]
+            contexts, v = np.unique(np.concatenate([np.repeat(c[0], c[1]) for c in cells]), return_inverse=True)
+            heavy = np.zeros(len(contexts), dtype=bool)
+            heavy[v] = np.concatenate([np.repeat(c[2], c[1]) for c in cells]) > 0
+            different, w = np.unique(np.concatenate([c[3][c[5]] for c in cells]), return_inverse=True)
+            below = np.zeros(len(different), dtype=np.int64)
+            below[w] = np.concatenate([c[4][c[5]] for c in cells])
+            learned = np.concatenate([c[6] for c in cells])
+            sizes = [(len(c[0]), len(c[5])) for c in cells]
+            runs = [c[1] for c in cells]
+            del cells
+            pairs, pair = np.unique(v * len(different) + w, return_inverse=True)
+            counts = np.bincount(pair, learned, len(pairs)).astype(np.int64)
+            yield -1, part, STATS, _pack(_histogram(counts))
+
+            seen = np.flatnonzero(counts)
+            of, on = np.divmod(pairs[seen], len(different))
+            table = [np.bincount(of[counts[seen] == r], minlength=len(contexts)) for r in range(1, K + 1)]
+            table.append(np.bincount(of[counts[seen] > K], minlength=len(contexts)))
+            given = np.bincount(of, _less(below[on], words) / max(1, tokens), len(contexts))
+            if heavy.any():
+                yield -1, part, FREED, _pack(contexts[heavy], *[row[heavy] for row in table], given[heavy].view(np.uint64))
+            count = counts[pair]
+            for chunk, mine, run in zip(group.column("chunk").to_pylist(), _slices([n for _, n in sizes]), runs):
+                own = v[mine][np.cumsum(run) - run]
+                lacks = np.add.reduceat(count[mine] == 0, np.cumsum(run) - run) > 0
+                need = own[lacks & ~heavy[own]]
+                yield chunk, part, PAIRS, _pack(count[mine], *[row[need] for row in table], given[need].view(np.uint64))
+
+    return _grow(rows(), TOLD_SCHEMA)
+
+
+def _spread_freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column(0).to_pylist():
+            v, *table, given = _unpack(payload, K + 3)
+            yield pa.RecordBatch.from_arrays([pa.array(v), *map(pa.array, table), pa.array(given.view(np.float64))],
+                                             names=["v", *[f"t{k}" for k in range(K + 1)], "given"])
 
 
 def discounts(histogram: np.ndarray) -> np.ndarray:
@@ -394,75 +303,54 @@ def discounts(histogram: np.ndarray) -> np.ndarray:
     return factor
 
 
-def _weigh(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, words: np.ndarray, tokens: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Log of c(v) a(v) for every backed-off occurrence, summed per document."""
+def _weight(table: np.ndarray, given: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Log of c(v) a(v)."""
     r = np.arange(1, K + 1)
-
-    def rows() -> Iterator[tuple[int, int, int, bytes]]:
-        for group in Groups(batches, 1):
-            freed, fixes = [], []
-            for kind, payload in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
-                planes, *rest = _load(payload)
-                (freed if kind == FREED else fixes).append((_hashes(planes), *rest))
-            if not fixes or not freed:
-                continue
-            contexts, inverse = np.unique(np.concatenate([f[0] for f in freed]), return_inverse=True)
-            table = [np.bincount(inverse, np.concatenate([f[i] for f in freed]), len(contexts)) for i in range(1, 2 * K + 4)]
-            left = sum(table[k - 1] * k * (1 - pairs[k]) for k in r) + table[K] * TAIL
-            given = (sum(table[K + k] * k * words[k] for k in r) + table[2 * K + 2]) / max(1, tokens)
-            weight = np.log10(left / np.maximum(1 - given, 1e-300))
-            total: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for own, vi, names, number, doc in fixes:
-                at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-                value = np.where(contexts[at] == own, weight[at], 0.0)[vi]
-                for i, chosen in _by_value(number):
-                    docs, back = np.unique(doc[chosen], return_inverse=True)
-                    total.setdefault(int(names[i]), []).append((docs, np.bincount(back, value[chosen], len(docs))))
-            for chunk, found in total.items():
-                docs, back = np.unique(np.concatenate([d for d, _ in found]), return_inverse=True)
-                value = np.bincount(back, np.concatenate([x for _, x in found]), len(docs))
-                yield chunk % parts, chunk, FIX, _dump(_narrow(docs), value)
-
-    return _grow(rows())
-
-
-def _by_value(items: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(items, kind="stable")
-    bounds = np.flatnonzero(np.diff(items[order].astype(np.int64), prepend=-1))
-    for start, stop in zip(bounds, [*bounds[1:], len(order)]):
-        yield int(items[order[start]]), order[start:stop]
+    left = (r * (1 - pairs[1:])) @ table[:K] + table[K] * TAIL
+    return np.log10(left / np.maximum(1 - given, 1e-300))
 
 
 SCORE_SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, words: np.ndarray, unknown: float, tokens: int, types: int,
-            starts: int) -> Iterator[pa.RecordBatch]:
-    r = np.arange(1, K + 1)
-    log_pairs, log_words = np.log10(pairs[1:] * r), np.log10(words[1:] * r)
+def _finish(batches: Iterator[pa.RecordBatch], parts: int, starts: int, heavy_from: float, pairs: np.ndarray, words: np.ndarray, unknown: float,
+            tokens: int, types: int, heavy_weights) -> Iterator[pa.RecordBatch]:
+    heavies, weights = heavy_weights.value
     for group in Groups(batches, 1):
-        rows = list(zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()))
-        docs, sizes, train, own = next(_load(p) for kind, p in rows if kind == META)
-        sums = Sums(len(docs))
-        sums.add(own)
-        for kind, payload in rows:
-            if kind == DOCS:
-                steps, data = _load(payload)
-                held = np.cumsum(steps.astype(np.int64))
-                for mine, other in zip((sums.base, sums.logs, sums.known, sums.seen, sums.low), _load(data)):
-                    mine[..., held] += other
-            elif kind == FIX:
-                held, value = _load(payload)
-                sums.logs[held] += value
-        score = sums.logs + log_pairs @ sums.seen[1:] + log_words @ sums.low[1:K + 1] + np.log10(unknown) * sums.low[0]
-        score -= np.log10(max(1, tokens)) * sums.low[1:].sum(axis=0)
-        score -= np.log10(max(1, starts))
-        base = sums.base - sizes * np.log10(tokens + types + 1)
+        mine = Numbered(group, starts)
+        low = np.where(mine.count > 0, _less(mine.count, words) / max(1, tokens), unknown)
+        value = np.log10(low)[mine.w]
+        for part, asked, heavy in mine.cells(parts, heavy_from):
+            count, *table, given = _unpack(mine.pair_cells[part], K + 3)
+            v = mine.v[asked]
+            of = np.log10(mine.count[v])
+            seen = count > 0
+            value[asked[seen]] = np.log10(_less(count[seen], pairs)) - of[seen]
+            # The contexts that were told are those of unseen pairs, in their order.
+            far = np.flatnonzero(~seen & ~heavy)
+            if len(far):
+                first, size = _runs(v[far])
+                value[asked[far]] += np.repeat(_weight(np.array(table), given.view(np.float64), pairs), size) - of[far]
+            far = np.flatnonzero(~seen & heavy)
+            if len(far):
+                value[asked[far]] += weights[np.searchsorted(heavies, mine.number[v[far]])] - of[far]
+        docs = len(mine.docs)
+        known = np.bincount(mine.doc, mine.count[mine.word] > 0, docs).astype(np.int64)
+        base = np.bincount(mine.doc, np.log10(mine.count + 1.0)[mine.word], docs) - mine.sizes * np.log10(tokens + types + 1)
+        score = np.bincount(mine.doc, value[mine.pair], docs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(train), pa.array(sizes), pa.array(sums.known), pa.array(base), pa.array(score)],
+            [pa.array(mine.docs, pa.int64()), pa.array(mine.train), pa.array(mine.sizes), pa.array(known), pa.array(base), pa.array(score)],
             names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _types(told: DataFrame) -> np.ndarray:
+    """The sum of the histograms of all partitions: one short row of each."""
+    total = np.zeros(K + 2, dtype=np.int64)
+    for row in told.filter(F.col("kind") == STATS).select("payload").toLocalIterator():
+        total += _unpack(row["payload"], 1)[0]
+    return total
+
+
 def score_documents(df: DataFrame, train_column: str, id_column: str = "doc_id", text_column: str = "text",
                     chunk_tokens: int = CHUNK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """One row per input row: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score``.
@@ -470,61 +358,40 @@ def score_documents(df: DataFrame, train_column: str, id_column: str = "doc_id",
     The model learns from rows whose ``train_column`` is true (null: not). A text is its words, A-Z lower-cased and
     separated by ASCII white space, then one end; a null or empty text is the end alone. ``base_score`` is the
     add-one unigram log10 probability. Repeated rows each count. Without training rows every score is
-    that of unknown words, 0. Other columns are not read.
+    that of unknown words, 0. Other columns are not read. ``df`` is read once.
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`"), F.col(f"`{train_column}`"))
-    # These two passes send little, so smaller chunks cost nothing.
-    small = max(1, chunk_tokens // 2)
-    big = docs.mapInArrow(partial(_frequent, chunk_tokens=small), "kind int, item long, n long")
-    big = materialise(big.groupBy("kind", "item").agg(F.sum("n").alias("n")))
-    totals = {row["kind"]: row["n"] for row in big.filter("kind > 1").collect()}
-    tokens, learned = totals.get(2, 0), totals.get(3, 0)
-
-    def keys(rows: list, field: str) -> tuple[np.ndarray, np.ndarray]:
-        items = np.array([row[field] for row in rows], dtype=np.int64).view(np.uint64)
-        order = np.argsort(items)
-        return items[order], np.array([row["n"] for row in rows], dtype=np.int64)[order]
-
-    # At most 1 / SHARE words and as many pairs.
-    listed = big.filter((F.col("kind") < 2) & (F.col("n") >= SHARE * tokens)).collect()
-    context = spark.sparkContext
-    known = context.broadcast(Known(*keys([x for x in listed if x["kind"] == 0], "item"), *keys([x for x in listed if x["kind"] == 1], "item")))
-    exact = docs.mapInArrow(partial(_count_known, known=known, chunk_tokens=small), "kind int, item long, v long, w long, n long")
-    exact = exact.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.min("v").alias("v"), F.min("w").alias("w")).collect()
-    # Words that training lacks keep a count of 0; pairs it lacks are counted like any other.
-    of_words = [x for x in exact if x["kind"] == 0]
-    of_pairs = [x for x in exact if x["kind"] == 1 and x["n"] > 0]
-    lists = Known(*keys(of_words, "item"), *keys(of_pairs, "item"))
-    known = context.broadcast(lists)
-
+    chunks = materialise(docs.mapInArrow(partial(_chunks, chunk_tokens=chunk_tokens), CHUNK_SCHEMA))
+    tokens, learned, starts = (n or 0 for n in chunks.agg(F.sum("tokens"), F.sum("learned"), F.sum("starts")).first())
     parts = max(1, -(-tokens // part_tokens), int(spark.conf.get("spark.sql.shuffle.partitions")))
     by = lambda table, key: table.repartition(parts, key).sortWithinPartitions(key)
-    sent = docs.mapInArrow(partial(_send, known=known, parts=parts, chunk_tokens=chunk_tokens), ROW_SCHEMA)
-    counted = materialise(by(sent, "part").mapInArrow(partial(_count, known=known, parts=parts), ROW_SCHEMA))
-
-    word_types, pair_types = _histogram(lists.word_counts), _histogram(lists.pair_counts)
-    for row in counted.filter(F.col("kind") == STATS).select("payload").toLocalIterator():  # one short row per partition
-        more_words, more_pairs = _load(row["payload"])
-        word_types, pair_types = word_types + more_words, pair_types + more_pairs
-    words, pairs = discounts(word_types), discounts(pair_types)
-    types = int(word_types[-1])
-    r = np.arange(1, K + 1)
-    freed = float((word_types[:K] * r * (1 - words[1:])).sum() + TAIL * (types - word_types[:K].sum()))
+
+    # Different words are far fewer than tokens.
+    word_parts = -(-parts // 4)
+    asked = chunks.select("chunk", "words").mapInArrow(partial(_ask_words, parts=word_parts), ASK_SCHEMA)
+    told = materialise(by(asked, "part").mapInArrow(partial(_tell_words, parts=word_parts), TOLD_SCHEMA))
+    word_types = _types(told)
+    words, types = discounts(word_types), int(word_types[-1])
+    freed = float((word_types[:K] * np.arange(1, K + 1) * (1 - words[1:])).sum() + TAIL * (types - word_types[:K].sum()))
     unknown = freed / learned if learned else 1.0
-    starts = docs.filter(F.col(f"`{train_column}`")).count()
-
-    # Frequent pairs are types of their contexts too.
-    v = np.array([x["v"] for x in of_pairs], dtype=np.int64).view(np.uint64)
-    w = np.array([x["w"] for x in of_pairs], dtype=np.int64).view(np.uint64)
-    extra = []
-    if len(v):
-        contexts, inverse = np.unique(v, return_inverse=True)
-        table = _of_types(inverse, len(contexts), np.array([x["n"] for x in of_pairs]), lists.word(w))
-        extra = [(part, 0, FREED, bytearray(_dump(_planes(contexts[chosen]), *[row[chosen] for row in table]))) for part, chosen in _by_part(contexts, parts)]
-    weights = counted.filter(F.col("kind").isin(FREED, FIX)).unionByName(spark.createDataFrame(extra, ROW_SCHEMA))
-    weighed = by(weights, "part").mapInArrow(partial(_weigh, pairs=pairs, words=words, tokens=learned, parts=parts), ROW_SCHEMA)
-    ready = counted.filter(F.col("kind").isin(META, DOCS)).unionByName(weighed).select("chunk", "kind", "payload")
+
+    body = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), F.lit(BODY).alias("kind"), F.col("body").alias("payload"))
+    numbered = body.unionByName(told.filter(F.col("kind") == WORDS))
+    heavy_from = max(1.0, max(SHARE, 0.25 / parts) * learned)
+    asked = by(numbered, "chunk").mapInArrow(partial(_ask_pairs, parts=parts, starts=starts, heavy_from=heavy_from), ASK_SCHEMA)
+    answers = materialise(by(asked, "part").mapInArrow(partial(_tell_pairs, words=words, tokens=learned), TOLD_SCHEMA))
+    pairs = discounts(_types(answers))
+
+    # At most 1 / SHARE contexts, and the start; each was seen in training, so each has freed something.
+    schema = "v long, " + ", ".join(f"t{k} long" for k in range(K + 1)) + ", given double"
+    freed_rows = answers.filter(F.col("kind") == FREED).select("payload").mapInArrow(_spread_freed, schema)
+    sums = freed_rows.groupBy("v").agg(*[F.sum(name).alias(name) for name in freed_rows.columns[1:]]).collect()
+    table = np.array(sorted(tuple(row) for row in sums), dtype=float).reshape(-1, K + 3).T
+    heavy_weights = spark.sparkContext.broadcast((table[0].astype(np.int64), _weight(table[1:-1], table[-1], pairs)))
+
+    ready = numbered.unionByName(answers.filter(F.col("kind") == PAIRS))
     scored = by(ready, "chunk").mapInArrow(
-        partial(_finish, pairs=pairs, words=words, unknown=unknown, tokens=learned, types=types, starts=starts), SCORE_SCHEMA)
+        partial(_finish, parts=parts, starts=starts, heavy_from=heavy_from, pairs=pairs, words=words, unknown=unknown, tokens=learned, types=types,
+                heavy_weights=heavy_weights), SCORE_SCHEMA)
     return scored.withColumn("train_tokens", F.lit(learned).cast("long"))

@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
+from quillsift import session
 from quillsift.llm import components, fmindex, hosts, katz, minhash, quality, secretscan
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -405,3 +407,18 @@ def test_scores(spark, case, monkeypatch):
     if case == "hand":
         assert katz.score_documents(df.limit(0), "train").count() == 0
 
+
+
+def test_more_partitions_move_little_more(spark, monkeypatch):
+    """What is staged for the scores follows the different words and pairs of the chunks, not the partitions they are counted in."""
+    staged = []
+    monkeypatch.setattr(katz, "materialise", lambda df: staged.append(session.materialise(df)) or staged[-1])
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 7 != 2).alias("train"))
+    moved, scores = [], []
+    for part_tokens in (200_000, 10_000):
+        staged.clear()
+        rows = katz.score_documents(df, "train", chunk_tokens=100_000, part_tokens=part_tokens).collect()
+        scores.append({r.doc_id: round(r.score, 6) for r in rows})
+        moved.append(sum(t.agg(F.sum(F.length("payload"))).first()[0] for t in staged if "payload" in t.columns))
+    assert scores[0] == scores[1]
+    assert moved[1] < 1.6 * moved[0], moved
