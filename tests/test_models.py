@@ -146,6 +146,27 @@ def test_terms_are_counted_as_numbers(spark, monkeypatch):
     assert tfidf.tfidf_vocabulary(df.filter("false")).collect() == []
 
 
+def test_longer_terms_are_counted_among_frequent_words_only(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, 40)) for _ in range(60)]
+    among = pa.array(["w1", "w2"])
+    for terms, number, _ in tfidf._occurrences(pa.array([text.split() for text in texts]), 3, among):
+        assert {word for i in set(number.tolist()) for word in terms[i].as_py().split()} <= {"w1", "w2"}
+
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, normalized_text string")
+    split = [text.split() for text in texts]
+    tf, holders = Counter(), Counter()
+    for words in split:
+        grams = [" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        tf.update(grams)
+        holders.update(set(grams))
+    fits = [term for term, n in holders.items() if 2 <= n <= 0.95 * 60]
+    for size in (1, 5, 20, 45, 1000):  # the words alone fill all but the last
+        wanted = sorted(fits, key=lambda term: (-tf[term], term))[:size]
+        found = tfidf.tfidf_vocabulary(df, max_features=size, max_n=3).collect()
+        assert [(r.term, r.tf, r.df, r.n_docs) for r in found] == [(term, tf[term], holders[term], 60) for term in wanted]
+
+
 def test_neighbours_are_joined_by_their_weights(spark):
     """The coordinates of a document are many times wider than its weights: none are staged or shuffled."""
     rows = [(i, f"common word{i % 3} word{i % 5} other{i % 2}") for i in range(40)]
